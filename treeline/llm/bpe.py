@@ -10,8 +10,12 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
+import struct
+import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,6 +27,22 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 REMEMBER = 200_000
 
 
+#: Unicode white space, spelled out as engines differ in the control characters U+001C to U+001F (fixed values).
+_SPACES = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def _pattern(letters: str, numbers: str) -> str:
+    """PATTERN with its classes spelled out."""
+    classes = {r"[^\s\p{L}\p{N}]": f"[^{_SPACES}{letters}{numbers}]", r"\s": f"[{_SPACES}]", r"\S": f"[^{_SPACES}]", r"\p{L}": f"[{letters}]", r"\p{N}": f"[{numbers}]"}
+    return re.sub("|".join(map(re.escape, classes)), lambda m: classes[m[0]], PATTERN)
+
+
+def _latin():
+    """The same pattern over code points below U+0250, with letters and numbers from the Unicode categories."""
+    letters, numbers = ("".join(re.escape(chr(c)) for c in range(0x250) if unicodedata.category(chr(c))[0] == kind) for kind in "LN")
+    return re.compile(_pattern(letters, numbers)).findall, re.compile("[^\x00-\u024f]").search
+
+
 def byte_alphabet() -> list[str]:
     """The printable character that stands for each byte: itself if printable in Latin-1, else one from U+0100 on."""
     plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
@@ -56,10 +76,16 @@ class ForcedBoundaryBPE:
             for a, b in zip(token, token[1:], strict=False):
                 meets[a << 8 | b] = 1
         self.meets = meets
-        self.words = regex.compile(PATTERN).findall
+        self._words = regex.compile(_pattern(r"\p{L}", r"\p{N}")).findall
+        self._latin_words, self._beyond = _latin()
         self.special = regex.compile("(" + "|".join(regex.escape(x) for x in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
         self.known: dict[bytes, list[int]] = {}
         self.as_text: dict[str, tuple[str, bytes]] = {}
+        self.as_array: dict[str, bytes] = {}
+
+    def words(self, text: str) -> list[str]:
+        """The pattern's matches; texts within Latin scripts take the standard library's faster engine."""
+        return self._words(text) if self._beyond(text) else self._latin_words(text)
 
     def fragments(self, word: bytes) -> list[bytes]:
         """The pieces between forced boundaries."""
@@ -120,6 +146,23 @@ class ForcedBoundaryBPE:
     def encode(self, text: str | None) -> list[int]:
         return [int(x) for ids, _ in self.pieces(text or "") for x in ids.split(",")]
 
+    def encode_array(self, text: str) -> np.ndarray:
+        """The ids as an array; words and their ids are remembered as in ``pieces``, in another form."""
+        known, out = self.as_array, []
+        parts = self.special.split(text) if self.special and "<" in text else [text]
+        for k, part in enumerate(parts):
+            if k % 2:
+                out.append(struct.pack("<I", self.added[part]))
+                continue
+            for word in self.words(part):
+                ids = known.get(word)
+                if ids is None:
+                    if len(known) >= 2 * REMEMBER:
+                        known.clear()
+                    ids = known[word] = struct.pack(f"<{len(i := self.word_ids(word.encode('utf-8', 'surrogatepass')))}I", *i)
+                out.append(ids)
+        return np.frombuffer(b"".join(out), "<u4")
+
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.table.__getitem__, ids)).decode("utf-8", "replace")
 

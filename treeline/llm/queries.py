@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, mixing, ngram_join, substring_dedup
+from . import bpe, langid, mixing, ngram_join, sst, substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": bpe.op1_bpe,
     "op2_substring_dedup": substring_dedup.op2_substring_dedup,
+    "op3_token_shards": sst.op3_token_shards,
     "op5_mixing": mixing.op5_mixing,
     "op6_ngram_join": ngram_join.op6_ngram_join,
     "op10_language_id": langid.op10_language_id,
