@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, mixing, ngram_join, sst, substring_dedup
+from . import ann, bpe, embed_dedup, langid, mixing, ngram_join, sst, substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": bpe.op1_bpe,
@@ -14,6 +14,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_shards": sst.op3_token_shards,
     "op5_mixing": mixing.op5_mixing,
     "op6_ngram_join": ngram_join.op6_ngram_join,
+    "op7_embedding_dedup": embed_dedup.op7_embedding_dedup,
+    "op9_nearest": ann.op9_nearest,
     "op10_language_id": langid.op10_language_id,
 }
 
