@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, embed_dedup, langid, mixing, ngram_join, sst, substring_dedup
+from . import ann, bpe, embed_dedup, langid, mixing, ngram_join, sst, substring_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": bpe.op1_bpe,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_mixing": mixing.op5_mixing,
     "op6_ngram_join": ngram_join.op6_ngram_join,
     "op7_embedding_dedup": embed_dedup.op7_embedding_dedup,
+    "op8_toxicity": toxicity.op8_toxicity,
     "op9_nearest": ann.op9_nearest,
     "op10_language_id": langid.op10_language_id,
 }
