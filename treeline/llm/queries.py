@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, embed_dedup, langid, mixing, ngram_join, sst, substring_dedup, toxicity
+from . import ann, bpe, embed_dedup, html_extract, langid, mixing, ngram_join, sst, substring_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": bpe.op1_bpe,
     "op2_substring_dedup": substring_dedup.op2_substring_dedup,
     "op3_token_shards": sst.op3_token_shards,
+    "op4_html_extract": html_extract.op4_html_extract,
     "op5_mixing": mixing.op5_mixing,
     "op6_ngram_join": ngram_join.op6_ngram_join,
     "op7_embedding_dedup": embed_dedup.op7_embedding_dedup,
