@@ -17,7 +17,7 @@ def informative_state(a: Column, b: Column, c: Column) -> Column:
 
 def site_masks(aln: DataFrame) -> DataFrame:
     """site, seen (bits of the bases seen), taxa (with a base)."""
-    return aln.groupBy("site").agg(F.coalesce(F.bit_or(F.shiftleft(F.lit(1), F.col("base"))), F.lit(0)).alias("seen"), F.count("base").alias("taxa"))
+    return aln.groupBy("site").agg(F.coalesce(F.bit_or(F.call_function("shiftleft", F.lit(1), F.col("base"))), F.lit(0)).alias("seen"), F.count("base").alias("taxa"))
 
 
 def variable_sites(aln: DataFrame, start: int | None = None, end: int | None = None) -> DataFrame:
@@ -38,7 +38,7 @@ def informative_mask_sites(masks: DataFrame) -> DataFrame:
 def bit_planes(aln: DataFrame, word: int = 32) -> DataFrame:
     """taxon, base, word, bits: sites of each base, ``word`` to an integer."""
     at = F.expr(f"(site - 1) div {word}").cast("int")
-    bit = F.shiftleft(F.lit(1).cast("long"), ((F.col("site") - 1) % word).cast("int"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), ((F.col("site") - 1) % word).cast("int"))
     return aln.filter("base IS NOT NULL").groupBy("taxon", "base", at.alias("word")).agg(F.bit_or(bit).alias("bits"))
 
 

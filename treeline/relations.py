@@ -62,7 +62,7 @@ def clades(spark: SparkSession, sf_dir: str) -> DataFrame:
     """tree_id, clade, tip: two groupings of the nations, by region and by key."""
     nation = table(spark, sf_dir, "nation")
     one = nation.select(F.lit("A").alias("tree_id"), F.col("n_regionkey").alias("clade"), F.col("n_name").alias("tip"))
-    two = nation.select(F.lit("B").alias("tree_id"), F.when(F.col("n_nationkey") < 15, F.col("n_regionkey")).otherwise((F.col("n_nationkey") % 5)).alias("clade"), F.col("n_name").alias("tip"))
+    two = nation.select(F.lit("B").alias("tree_id"), F.when(F.col("n_nationkey") < 10, F.col("n_regionkey")).otherwise(F.col("n_nationkey") % 3).alias("clade"), F.col("n_name").alias("tip"))
     return one.unionByName(two)
 
 
@@ -149,7 +149,7 @@ RELATION_SQL = {
         UNION ALL SELECT 1 + r_regionkey, 0, r_name, (1 + r_regionkey % 7) / 10.0::DOUBLE, 1 FROM region
         UNION ALL SELECT 100 + n_nationkey, 1 + n_regionkey, n_name, (1 + n_nationkey % 7) / 10.0::DOUBLE, 2 FROM nation""",
     "clades": """SELECT 'A' AS tree_id, n_regionkey AS clade, n_name AS tip FROM nation
-        UNION ALL SELECT 'B', CASE WHEN n_nationkey < 15 THEN n_regionkey ELSE n_nationkey % 5 END, n_name FROM nation""",
+        UNION ALL SELECT 'B', CASE WHEN n_nationkey < 10 THEN n_regionkey ELSE n_nationkey % 3 END, n_name FROM nation""",
     "grid": """SELECT (a.i * 5 + b.i)::INT AS category, a.i AS alpha_idx, b.i AS beta_idx, a.v AS alpha, b.v AS beta
         FROM (SELECT i, greatest(power(10.0::DOUBLE, -1.3010299956639813 + i * 0.6505149978319906) - 0.05, 0.0)::DOUBLE AS v FROM (SELECT unnest(range(5))::INT AS i)) a
         CROSS JOIN (SELECT i, greatest(power(10.0::DOUBLE, -1.3010299956639813 + i * 0.6505149978319906) - 0.05, 0.0)::DOUBLE AS v FROM (SELECT unnest(range(5))::INT AS i)) b""",
