@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, map_arrow, map_groups
 from .components import components
-from .words import mix64, shingle_sets, words_of
+from .words import by_bytes, mix64, shingle_sets, words_of
 
 WIDTH, THRESHOLD, RECALL = 5, 0.8, 0.9999
 #: Texts and shingles in a tile at most, but for single texts that are larger.
@@ -73,8 +73,7 @@ def signed(docs: DataFrame, bands: int, rows: int) -> DataFrame:
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, len(batch), 512):
-                part = batch.slice(lo, 512)
+            for part in by_bytes(batch, 2):
                 sets, begin = shingle_sets(words_of(part.column(2)), WIDTH)
                 hashes = band_hashes(sets, begin, bands, rows)
                 flat = pa.array(hashes.ravel().view(np.int64))

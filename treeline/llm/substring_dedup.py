@@ -29,13 +29,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import Scratch, map_arrow, map_groups, partitions
-from .words import Words, sequence_hash, starts_of, words_of
+from .words import Words, by_bytes, sequence_hash, starts_of, words_of
 
 WIDTH, GRAM = 35, 8
 #: Bytes of text in a bucket, on average; a longer text is a bucket's only large one.
 BUCKET_BYTES = 1_500_000
-#: Bytes of text that are hashed at a time.
-CHUNK_BYTES = 4_000_000
 
 
 def _sliding_least(value: np.ndarray, width: int) -> np.ndarray:
@@ -68,24 +66,10 @@ def runs_of(words: Words, width: int = WIDTH, gram: int = GRAM) -> tuple[np.ndar
     return first, size, text[begin], grams[least[begin]].view(np.int64), sequence_hash(words.hash, first, size).view(np.int64)
 
 
-def _chunks(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
-    size = np.array([x or 0 for x in pa.compute.binary_length(batch.column(text)).to_pylist()], np.int64)
-    lo, held = 0, 0
-    for k, s in enumerate(size):
-        if held and held + s > CHUNK_BYTES:
-            yield batch.slice(lo, k - lo)
-            lo, held = k, 0
-        held += int(s)
-    if lo < len(size):
-        yield batch.slice(lo)
-
-
 def _anchor_rows(width: int, gram: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pyarrow.compute  # noqa: F401
-
         for batch in batches:
-            for part in _chunks(batch, 0):
+            for part in by_bytes(batch, 0):
                 _, _, _, anchor, run = runs_of(words_of(part.column(0)), width, gram)
                 if len(anchor):
                     order = np.lexsort((run, anchor))
@@ -100,10 +84,8 @@ def _anchor_rows(width: int, gram: int):
 def _reference_rows(width: int, gram: int):
     def refer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """One occurrence of each run for each bucket and chunk."""
-        import pyarrow.compute  # noqa: F401
-
         for batch in batches:
-            for part in _chunks(batch, 2):
+            for part in by_bytes(batch, 2):
                 words = words_of(part.column(2))
                 first, size, text, anchor, run = runs_of(words, width, gram)
                 if not len(anchor):
@@ -234,7 +216,7 @@ def _locate(names: list[str], width: int, digest: bool):
 def _finish(columns: list[str], width: int, digest: bool):
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Open documents with the windows of theirs that recur."""
-        for batch in batches:
+        for batch in (part for whole in batches for part in by_bytes(whole, whole.schema.get_field_index("_text"))):
             words = words_of(batch.column("_text"), hashed=False)
             cover, again = batch.column("_cover").to_pylist(), batch.column("_again").to_pylist()
             gone, kept = [], []

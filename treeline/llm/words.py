@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 _U = np.uint64
 _P = _U(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2^64
@@ -39,6 +41,19 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
     return known[:n]
 
 
+def by_bytes(batch: pa.RecordBatch, column: int, most: int = 1_000_000) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about so many bytes of text; a longer text is a slice of its own."""
+    size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    lo, held = 0, 0
+    for k, s in enumerate(size):
+        if k > lo and held + s > most:
+            yield batch.slice(lo, k - lo)
+            lo, held = k, 0
+        held += int(s)
+    if lo < len(size):
+        yield batch.slice(lo)
+
+
 @dataclass
 class Words:
     """Words of the texts of a batch. Word w is data[start[w]:end[w]]; text t has words first[t]:first[t + 1]."""
