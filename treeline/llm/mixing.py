@@ -69,8 +69,9 @@ def takes(rows: DataFrame, weights: tuple[int, ...], max_epochs: int, bin_bits:
     placed = placed.withColumn("_until", F.col("_before") + F.sum("_words").over(within))
     epochs = F.transform(F.sequence(F.lit(0), F.lit(max_epochs - 1)), lambda e: F.struct(e.alias("epoch"), (F.col("_until") + e * F.col("source_size")).alias("sent")))
     sends = placed.withColumn("_copy", F.explode(epochs)).withColumn("_finish", F.when(F.col("target") > 0, F.col("_copy.sent") / F.col("target")).otherwise(F.lit(0.0)))
-    slots = 4 << bin_bits  # of equal width in time; the budget ends near time 1
-    sends = sends.withColumn("_slot", F.least(F.floor(F.col("_finish") * slots), F.lit(2 * slots)))
+    slots = 4 << bin_bits  # of equal width in time up to 2 (the budget ends near time 1), then by its logarithm
+    late = 2 * slots + F.floor(F.log2(F.greatest("_finish", F.lit(2.0))) * (slots >> 4))
+    sends = sends.withColumn("_slot", F.when(F.col("_finish") < 2, F.floor(F.col("_finish") * slots)).otherwise(late))
     by_slot = sends.groupBy("_slot").agg(F.sum("_words").alias("_slot_words"))
     passed = by_slot.withColumn("_earlier", F.coalesce(F.sum("_slot_words").over(Window.orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     sends = sends.join(passed, "_slot")
