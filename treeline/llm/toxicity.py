@@ -23,8 +23,8 @@ from .common import held_out, map_arrow
 from .words import mix64
 
 BUCKETS, DIMS, SIZES = 1 << 17, 8, (3, 4, 5)
-#: Learning reads about this many labelled documents of each class, those with the smallest hashes. They are gathered
-#: in the driver as bucket counts, some 30 kB each.
+#: Learning reads about this many labelled documents of each class, those with the smallest hashes. One task holds them
+#: as bucket weights, about 20 kB each.
 LEARN_DOCS = 3000
 #: What an average is multiplied by before the softmax: a few telling words in a hundred must reach a verdict.
 GAIN = 40.0
@@ -183,8 +183,17 @@ def learn(docs: DataFrame, labels: DataFrame, learn_docs: int = LEARN_DOCS, seed
     # the chosen ids are few by their bound, so this join reads the documents without a shuffle
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))), "doc_id")
     rows = map_arrow(rows.select("doc_id", "toxic", "text").filter("text is not null"), gather, "doc_id long, toxic int, buckets binary, weights binary")
-    got = sorted(rows.collect(), key=lambda r: (r.doc_id, bytes(r.buckets)))
-    return train([(np.frombuffer(r.buckets, np.int32), np.frombuffer(r.weights, np.float32)) for r in got], np.array([r.toxic for r in got], np.int64), counts.get(1, 0) / sum(counts.values()), seed)
+    toxic_share = counts.get(1, 0) / sum(counts.values())
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [r for b in batches for r in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True)]
+        got.sort(key=lambda r: (r[0], r[2]))
+        model = train([(np.frombuffer(r[2], np.int32), np.frombuffer(r[3], np.float32)) for r in got], np.array([r[1] for r in got], np.int64), toxic_share, seed)
+        yield pa.RecordBatch.from_arrays([pa.array([model.buckets.tobytes()], pa.binary()), pa.array([model.bias])], ["buckets", "bias"])
+
+    # the sample is bounded, so one task trains on it; the driver gets a float for each bucket
+    made = map_arrow(rows.repartition(1), fit, "buckets binary, bias double").first()
+    return Model(np.frombuffer(made.buckets, np.float32), made.bias)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
