@@ -64,6 +64,29 @@ class Scratch:
         return df
 
 
+def quoted(names: list[str]) -> list[Column]:
+    """Columns by their exact names, dots and backticks included."""
+    return [F.col("`" + n.replace("`", "``") + "`") for n in names]
+
+
+def hide(df: DataFrame, *keep: str) -> tuple[DataFrame, Callable[..., DataFrame]]:
+    """``keep`` as they are and all other columns packed into one, and what unpacks them in place.
+
+    Whatever those are named, they can't clash with an operator's own columns. ``back(out, *more)``
+    gives the columns of df and then ``more``; a column of df of one of these names is replaced.
+    """
+    names = df.columns
+    rest = [n for n in names if n not in keep]
+    packed = "packed" + uuid.uuid4().hex[:8]
+    columns = quoted([n for n in names if n in keep]) + ([F.struct(*quoted(rest)).alias(packed)] if rest else [])
+
+    def back(out: DataFrame, *more: str, without: tuple[str, ...] = ()) -> DataFrame:
+        stay = [n for n in names if n not in more and n not in without]
+        return out.select(*[F.col(packed).getField(n).alias(n) if n in rest else F.col(n) for n in stay], *more)
+
+    return df.select(*columns), back
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

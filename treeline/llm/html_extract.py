@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, map_arrow
+from .common import Scratch, hide, map_arrow
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)"
@@ -283,7 +283,7 @@ def main_text(pages: DataFrame) -> DataFrame:
     columns pass through, and a column named text or n_chars is replaced. An empty table gives an
     empty result. A page without an article or main element gives all that is no boilerplate.
     """
-    pages = pages.drop("text", "n_chars")
+    pages, back = hide(pages, "page_id", "url", "html")
     scratch = Scratch(pages.sparkSession, "html-extract")
     known = scratch.write(templates(pages), "templates")
     address = F.regexp_extract(F.coalesce("url", F.lit("")), r"^\s*(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]*)", 1)
@@ -307,7 +307,8 @@ def main_text(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *added], [*names, "text", "n_chars"])
 
     schema = T.StructType([*pages.schema.fields, T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
-    return scratch.keep(map_arrow(joined, run, schema))
+    found = map_arrow(joined, run, schema)
+    return scratch.keep(back(found, "text", "n_chars"))
 
 
 def op4_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import held_out, map_arrow
+from .common import held_out, hide, map_arrow
 
 #: n-grams in a profile and in a document's list.
 PROFILE = 400
@@ -46,16 +46,15 @@ def grams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     is_letter = _letters(codes)
     if not is_letter.any():
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    x = np.where(is_letter, codes, 0).astype(np.int64)
-    x = np.concatenate([[0], x[is_letter | np.concatenate([[False], is_letter[:-1]])], [0]])  # one blank for each run
-    if x[1] == 0:
-        x = x[1:]
-    if x[-2] == 0:
+    # a blank is code 1, so n-grams of different lengths have different codes; one stands for each run of other characters
+    x = np.where(is_letter, codes, 1).astype(np.int64)
+    x = np.concatenate([[1], x[is_letter | np.concatenate([[False], is_letter[:-1]])], [1]])
+    if x[-2] == 1:
         x = x[:-1]
     two = x[:-1] | x[1:] << 21
     three = two[:-1] | x[2:] << 42
-    # a blank alone is no unigram; a blank inside means that words are mixed
-    found = np.concatenate([x[x > 0] | 1 << 62, two, three[x[1:-1] > 0]])
+    # a blank alone is no unigram; a blank in the middle is no n-gram of one word
+    found = np.concatenate([x[x > 1], two, three[x[1:-1] > 1]])
     return np.unique(found, return_counts=True)
 
 
@@ -147,7 +146,7 @@ def identify(docs: DataFrame, profiles: Profiles) -> DataFrame:
     learned. Ties between languages go to the first in code point order. Other columns pass through; a
     column named lang_pred or score is replaced. Nothing but the text decides.
     """
-    docs = docs.drop("lang_pred", "score")
+    docs, back = hide(docs, "text")
     at = docs.columns.index("text")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,7 +156,7 @@ def identify(docs: DataFrame, profiles: Profiles) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, *added], [*batch.schema.names, "lang_pred", "score"])
 
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return map_arrow(docs, score, schema)
+    return back(map_arrow(docs, score, schema), "lang_pred", "score")
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -168,5 +167,6 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a letter and those that are like no language learned."""
-    found = identify(docs, learn(docs))
-    return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    slim, back = hide(docs, "doc_id", "text", "lang")
+    found = identify(slim, learn(slim))
+    return back(found.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)))

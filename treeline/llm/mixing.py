@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, n_words, partitions
+from .common import Scratch, hide, n_words, partitions
 
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -92,8 +92,8 @@ def takes(rows: DataFrame, weights: tuple[int, ...], max_epochs: int, bin_bits:
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = 3, seed: int = 17, bin_bits: int | None = None, columns: list[str] | None = None) -> DataFrame:
     """``columns`` of ``docs`` (all) plus _size, _source_size, _target and _takes (how often the mix reads the row).
 
-    Needs doc_id, text and source; other columns pass through, whatever their names without a leading
-    underscore. A null text has size 0; a null source is a source of its own, the last; null and
+    Needs doc_id, text and source; other columns pass through, and one of a name that is added is
+    replaced. A null text has size 0; a null source is a source of its own, the last; null and
     repeated doc_ids are rows like others, and rows equal in doc_id, text and source are taken
     together. Rows of size 0 may be taken, at no cost. An empty table gives an empty result. Reruns
     agree, as the shuffle is a hash.
@@ -106,15 +106,17 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = 3
     thin = docs.select("source", "doc_id", shuffle_key(F.col("doc_id"), F.col("text"), seed).alias("_key"), n_words(F.col("text")).alias("_size"))
     thin = scratch.write(thin, "rows")
     taken = scratch.write(takes(thin, weights, max_epochs, bin_bits), "takes")
-    columns = columns or docs.columns
-    if set(columns) <= {"doc_id", "source"}:
+    if columns is not None:
+        docs = docs.select(*columns)
+    slim, back = hide(docs, "doc_id", "text", "source")
+    if set(docs.columns) <= {"doc_id", "source"}:
         sized = thin
     else:
-        sized = docs.select(*[F.col(c) for c in docs.columns], shuffle_key(F.col("doc_id"), F.col("text"), seed).alias("_key"), n_words(F.col("text")).alias("_size"))
+        sized = slim.withColumn("_key", shuffle_key(F.col("doc_id"), F.col("text"), seed)).withColumn("_size", n_words(F.col("text")))
     d, t = sized.alias("d"), taken.alias("t")
     same = [F.col(f"d.{c}").eqNullSafe(F.col(f"t.{c}")) for c in ("_key", "doc_id", "source")]
-    joined = d.join(t, same[0] & same[1] & same[2])
-    return scratch.keep(joined.select(*[F.col(f"d.{c}") for c in columns], "d._size", "t._source_size", "t._target", "t._takes"))
+    joined = d.join(t, same[0] & same[1] & same[2]).select("d.*", "t._source_size", "t._target", "t._takes")
+    return scratch.keep(back(joined, "_size", "_source_size", "_target", "_takes"))
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -159,5 +161,6 @@ FROM r GROUP BY doc_id, source, k, size, source_size, target
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it, with the columns of documents."""
-    mixed = mix(docs).filter("_takes > 0")
-    return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_takes")))).select(*docs.columns)
+    slim, back = hide(docs, "doc_id", "text", "source")
+    mixed = mix(slim).filter("_takes > 0")
+    return back(mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_takes")))))

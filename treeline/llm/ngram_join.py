@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, map_arrow, map_groups
+from .common import Scratch, hide, map_arrow, map_groups
 from .components import components
 from .words import by_bytes, mix64, shingle_sets, words_of
 
@@ -234,6 +234,7 @@ def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class stays, the one with the smallest doc_id; documents without words all stay."""
+    docs, back = hide(docs, "doc_id", "text")
     rows, nodes, scratch = near_duplicates(docs)
     # the rows that stay, by doc_id and text; equal rows count as one
     best = rows.filter("set_key is not null").join(nodes.select("set_key", "class_key"), "set_key")
@@ -247,4 +248,4 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     kept = marked.filter(some).alias("d").join(best.alias("b"), same, "left_semi")
     if best.filter("_equal > 1").limit(1).count():
         kept = kept.dropDuplicates(["doc_id", "_hash"])
-    return scratch.keep(kept.drop("_hash").unionByName(docs.filter(~some)))
+    return scratch.keep(back(kept.drop("_hash").unionByName(docs.filter(~some))))

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, map_arrow, map_groups, partitions
+from .common import Scratch, hide, map_arrow, map_groups, partitions
 from .words import Words, by_bytes, sequence_hash, starts_of, words_of
 
 WIDTH, GRAM = 35, 8
@@ -240,9 +240,10 @@ def dedup(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, digest: bool =
     whose words also start anywhere else, in the same text or another; windows are judged on the
     input. A null, empty or short text has no window and keeps its words. Rows equal in doc_id and text are rows of
     their own, so their windows recur. Null doc_ids are rows like others. An empty table gives an
-    empty result. Columns beginning with an underscore are not allowed; other columns pass through.
+    empty result. Other columns pass through, and one of a name that is added is replaced.
     """
     spark = docs.sparkSession
+    docs, back = hide(docs, "doc_id", "text")
     scratch = Scratch(spark, "substring-dedup")
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, partitions(spark), -(-int(total) // bucket_bytes))
@@ -270,7 +271,7 @@ def dedup(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, digest: bool =
     again = windows.join(again, "hash").groupBy("_doc").agg(F.collect_list("first").alias("_again"))
     waiting = waiting.join(again, "_doc", "left").select(*columns, "_n_words", "_cover", "_again", "_text")
     finished = map_arrow(waiting, _finish(columns, width, digest), T.StructType([*fields, *done]))
-    return scratch.keep(ready.unionByName(finished))
+    return scratch.keep(back(ready.unionByName(finished), "_n_words", "_n_removed", "_kept", without=("text",)))
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -280,5 +281,6 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without their recurring passages; n_chars follows the text. A document of nothing else stays, with an empty text."""
-    kept = dedup(docs).withColumn("text", F.col("_kept")).withColumn("n_chars", F.length("text").cast("long"))
-    return kept.select(*docs.columns)
+    slim, back = hide(docs, "doc_id", "text", "n_chars")
+    kept = dedup(slim).withColumn("text", F.col("_kept")).withColumn("n_chars", F.length("text").cast("long"))
+    return back(kept)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import held_out, map_arrow
+from .common import held_out, hide, map_arrow
 from .words import mix64
 
 BUCKETS, DIMS, SIZES = 1 << 17, 8, (3, 4, 5)
@@ -229,7 +229,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     and digits gets what the bias alone says. A column named score or predicted is replaced; others
     pass through. An empty table gives an empty result.
     """
-    docs = docs.drop("score", "predicted")
+    docs, back = hide(docs, "text")
     at = docs.columns.index("text")
     spread = docs.sparkSession.sparkContext.broadcast((model.buckets, model.bias))  # one float for each of a fixed number of buckets
 
@@ -248,7 +248,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32))], [*batch.schema.names, "score", "predicted"])
 
     schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
-    return map_arrow(docs, run, schema)
+    return back(map_arrow(docs, run, schema), "score", "predicted")
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
