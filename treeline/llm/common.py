@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-import weakref
 from collections.abc import Callable, Iterator
+from typing import ClassVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,7 +23,9 @@ def shared_dir(spark: SparkSession) -> str:
     if not base:
         base = "file://" + tempfile.mkdtemp(prefix="treeline-")
         spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/")
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
+    store = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return store.makeQualified(path).toString().rstrip("/")  # with its scheme, for readers other than Spark's
 
 
 def _delete(spark: SparkSession, uri: str) -> None:
@@ -38,14 +40,16 @@ def _delete(spark: SparkSession, uri: str) -> None:
 class Scratch:
     """Intermediates written as Parquet into the shared folder: they cut lineage and survive lost executors.
 
-    A table can be dropped once what was made of it is written. What is left goes when the last
-    DataFrame that ``keep`` tied to this scratch is garbage.
+    A table is dropped once what was made of it is written. What a returned DataFrame still reads stays
+    until ``clean`` or until the folder's owner clears it, as with any checkpoint.
     """
 
+    roots: ClassVar[list[str]] = []
+
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-        self._finalizer = weakref.finalize(self, _delete, spark, self.root)
+        self.roots.append(self.root)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -59,11 +63,17 @@ class Scratch:
             _delete(self.spark, self.path(name))
 
     def keep(self, df: DataFrame) -> DataFrame:
+        """``df`` reads from here."""
         df._scratch = self
-        self._finalizer.detach()  # a derived DataFrame may outlive this one: leave the files to the shared folder's owner
         return df
 
 
+def clean(spark: SparkSession) -> None:
+    """Deletes the intermediates of all queries so far; their DataFrames can't be read again."""
+    while Scratch.roots:
+        _delete(spark, Scratch.roots.pop())
+
+
 def quoted(names: list[str]) -> list[Column]:
     """Columns by their exact names, dots and backticks included."""
     return [F.col("`" + n.replace("`", "``") + "`") for n in names]
