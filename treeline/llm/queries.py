@@ -21,6 +21,41 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language_id": langid.op10_language_id,
 }
 
+#: Every window of 35 words as one text, those that occur more than once, and the words that they cover.
+OP2_SQL = r"""
+WITH d AS (SELECT doc_id, COALESCE(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+x AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d),
+k AS (SELECT doc_id, i, w[i] AS word, CASE WHEN i + 34 <= len(w) THEN md5(array_to_string(w[i:i + 34], ' ')) END AS h FROM x),
+r AS (SELECT h FROM k WHERE h IS NOT NULL GROUP BY h HAVING COUNT(*) > 1),
+c AS (SELECT doc_id, i, word, COALESCE(MAX((r.h IS NOT NULL)::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 34 PRECEDING AND CURRENT ROW), 0) = 1 AS gone FROM k LEFT JOIN r USING (h)),
+g AS (SELECT doc_id, COUNT(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS kept FROM c GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, COALESCE(n_removed, 0)::BIGINT AS n_removed, sha256(COALESCE(kept, '')) AS kept_sha256 FROM d LEFT JOIN g USING (doc_id)
+"""
+
+#: All pairs that share a shingle, those at 0.8 or more, and the classes that they close to.
+OP6_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, COALESCE(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, md5(array_to_string(w[i:i + 4], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, COUNT(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, COUNT(*) AS k FROM s a JOIN s b ON a.h = b.h AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS MATERIALIZED (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE k >= 0.8 * (x.n + y.n - k)),
+c(doc_id, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT c.doc_id, l.b FROM c JOIN l ON l.a = c.other)
+SELECT doc_id, MIN(other) AS class_id, (SELECT COUNT(*) FROM l WHERE l.a = c.doc_id) AS n_links FROM c GROUP BY doc_id
+"""
+
+#: All pairs of one label by cosine in double precision.
+OP7_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+f AS (SELECT * FROM v WHERE label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+l AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM f a JOIN f b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) >= 0.98),
+c(vec_id, other) AS (SELECT vec_id, vec_id FROM v UNION SELECT c.vec_id, l.b FROM c JOIN l ON l.a = c.other)
+SELECT vec_id, (SELECT COUNT(*) FROM l WHERE l.a = c.vec_id) AS n_links, MIN(other) AS component_id, MIN(other) = vec_id AS kept FROM c GROUP BY vec_id
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op2_substring_dedup": OP2_SQL,
+    "op6_ngram_join": OP6_SQL,
+    "op7_embedding_dedup": OP7_SQL,
     "op5_mixing": mixing.OP5_SQL,
 }
