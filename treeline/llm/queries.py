@@ -53,9 +53,27 @@ c(vec_id, other) AS (SELECT vec_id, vec_id FROM v UNION SELECT c.vec_id, l.b FRO
 SELECT vec_id, (SELECT COUNT(*) FROM l WHERE l.a = c.vec_id) AS n_links, MIN(other) AS component_id, MIN(other) = vec_id AS kept FROM c GROUP BY vec_id
 """
 
+#: The CRC of doc_ids by bits, n-gram codes by character, profiles and out-of-place distances. It learns from all
+#: rows that are not held out, as the operator does while a language has no more than its bound of documents.
+OP10_SQL = r"""
+WITH bits AS (SELECT doc_id, lang, text, list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(doc_id::VARCHAR, ''), lambda ch: ascii(ch)::BIGINT)),
+    lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: xor(x >> 1, 3988292384::BIGINT * (x & 1)))) AS crc FROM documents),
+d AS (SELECT doc_id, lang, COALESCE(xor(crc, 4294967295::BIGINT) % 5 = 0, false) AS held_out, ' ' || trim(regexp_replace(lower(COALESCE(text, '')), '[^\p{L}]+', ' ', 'g')) || ' ' AS x, row_number() OVER () AS r FROM bits),
+i AS (SELECT r, unnest(range(1, length(x))) AS i, string_split(x, '') AS cs FROM d WHERE length(x) > 2),
+ch AS (SELECT r, i, CASE cs[i] WHEN ' ' THEN 1 ELSE unicode(cs[i]) END::BIGINT AS a, CASE cs[i + 1] WHEN ' ' THEN 1 ELSE unicode(cs[i + 1]) END::BIGINT AS b, CASE cs[i + 2] WHEN ' ' THEN 1 ELSE unicode(cs[i + 2]) END::BIGINT AS c FROM i),
+g AS (SELECT r, a AS code FROM ch WHERE a > 1 UNION ALL SELECT r, a + (b << 21) FROM ch UNION ALL SELECT r, a + (b << 21) + (c << 42) FROM ch WHERE b > 1 AND c > 0),
+n AS MATERIALIZED (SELECT r, code, COUNT(*) AS n FROM g GROUP BY r, code),
+p AS MATERIALIZED (SELECT lang, code, place FROM (SELECT lang, code, row_number() OVER (PARTITION BY lang ORDER BY SUM(n) DESC, code) - 1 AS place FROM n JOIN d USING (r) WHERE NOT held_out AND lang IS NOT NULL GROUP BY lang, code) WHERE place < 400),
+m AS MATERIALIZED (SELECT r, code, place, COUNT(*) OVER (PARTITION BY r) AS m FROM (SELECT r, code, row_number() OVER (PARTITION BY r ORDER BY n DESC, code) - 1 AS place FROM n) WHERE place < 400),
+s AS (SELECT r, l.lang, any_value(m) AS m, SUM(COALESCE(least(abs(m.place - p.place), 400), 400))::BIGINT AS away FROM m CROSS JOIN (SELECT DISTINCT lang FROM p) l LEFT JOIN p ON p.lang = l.lang AND p.code = m.code GROUP BY r, l.lang),
+b AS (SELECT r, lang, 1.0::DOUBLE - away::DOUBLE / (400 * m) AS score FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY away, lang) AS k FROM s) WHERE k = 1)
+SELECT doc_id, held_out, COALESCE(b.lang, 'und') AS lang_pred, COALESCE(score, 0.0) AS score FROM d LEFT JOIN b USING (r)
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op2_substring_dedup": OP2_SQL,
     "op6_ngram_join": OP6_SQL,
     "op7_embedding_dedup": OP7_SQL,
+    "op10_language_id": OP10_SQL,
     "op5_mixing": mixing.OP5_SQL,
 }
