@@ -185,9 +185,12 @@ def templates(pages: DataFrame) -> DataFrame:
     """host, template (JSON) of every host, from all its pages."""
     seen = map_arrow(pages.select("page_id", "url", "html"), _occurrences, "host string, role string, vector long, pages long, total long, place double")
     summed = seen.groupBy("host", "role").agg(F.bit_xor("vector").alias("vector"), F.sum("pages").alias("pages"), F.sum("total").alias("total"), F.sum("place").alias("place"))
-    own = F.when(F.col("role") == "", F.col("pages"))
-    # a token of too few pages is in no valid class: at most twice a page's tokens stay for each host
-    ranked = summed.groupBy("host").agg(F.max(own).alias("n")).join(summed, "host").filter((F.col("role") != "") & (2 * F.col("pages") >= F.col("n")))
+    # a token of too few pages is in no valid class: at most twice a page's tokens stay for each host;
+    # until then the tokens of a host are spread over several keys
+    salts = 32
+    sizes = summed.filter("role = ''").select("host", F.col("pages").alias("n"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    ranked = summed.filter("role <> ''").withColumn("salt", F.pmod(F.xxhash64("role"), F.lit(salts)).cast("int"))
+    ranked = ranked.join(sizes, ["host", "salt"]).filter(2 * F.col("pages") >= F.col("n"))
     member = F.struct("vector", "pages", "total", (F.col("place") / F.col("pages")).alias("place"), "role")
     return map_arrow(ranked.groupBy("host").agg(F.max("n").alias("n"), F.collect_list(member).alias("members")), _templates, "host string, template string")
 
