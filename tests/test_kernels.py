@@ -243,3 +243,31 @@ def test_simulation_is_seeded_and_sane():
         h = node.children[0].length
         heights.append(h)
     assert np.mean(heights) == pytest.approx(1.0, abs=0.2)
+
+
+def planted_mosaic(sites=60):
+    """Columns that favour ((a,b),(c,d),e) and then a moved to c."""
+    half = sites // 2
+    text = {"a": "A" * sites, "b": "A" * half + "C" * half, "c": "C" * half + "A" * half, "d": "C" * sites, "e": "C" * sites}
+    return {n: np.array([1 << "ACGT".index(c) for c in s]) for n, s in text.items()}
+
+
+def test_network_search_finds_a_planted_event():
+    from treeline.kernels import network
+
+    tree = ((("a", "b"), ("c", "d")), "e")
+    net, root, path, total = network.search(tree, planted_mosaic(), 3.0, 3.0, 1)
+    assert len(network.reticulations(net)) == 1
+    assert total < network.score(*network.from_tree(tree), planted_mosaic(), 3.0, 3.0)[0]
+    (bit, start, end), *_ = network.occurrences(path, 1)
+    assert bit == 0 and (abs(start - 31) <= 2 or abs(end - 30) <= 2)
+    assert len(network.displays(net, root)) == 2
+
+
+def test_stepwise_partition():
+    from treeline.kernels import network
+
+    x = np.array([0.0] * 20 + [5.0] * 20)
+    cost = lambda a, b: ((x[a - 1 : b] - x[a - 1 : b].mean()) ** 2).sum()
+    assert network.stepwise(cost, 40, 3, 1.0) == [(1, 20), (21, 40)]
+    assert network.stepwise(cost, 40, 3, 1e9) == [(1, 40)]

@@ -26,7 +26,7 @@ def _grouped(sequences: DataFrame, trees: DataFrame | None, fn, schema: str) ->
     def run(key, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("name")
         out = fn(key[0], rows["name"].tolist(), rows["sequence"].tolist(), rows["newick"].iloc[0] if "newick" in rows else None)
-        out.insert(0, "dataset", key[0])
+        out.insert(0, "dataset", np.array([key[0]] * len(out), dtype=object))
         return out
 
     return joined.groupBy("dataset").applyInPandas(run, "dataset string, " + schema)
@@ -370,3 +370,44 @@ def prune_to_taxa(root: Node, keep: set[str]) -> Node | None:
         kids[0].length = (kids[0].length or 0) + (root.length or 0)
         return kids[0]
     return Node(root.name, root.length, root.tag, kids)
+
+
+def joint_network(sequences: DataFrame, switch: float = 4.0, charge: float = 4.0, most: int = 2) -> DataFrame:
+    """dataset, event, start, end, displayed tree and network hash of each occurrence of a reticulation, from a parsimony network of the alignment."""
+    from ..kernels import network
+
+    def run(d, names, rows, _):
+        masks = {n: np.array([1 << "ACGT".find(c) if c in "ACGT" else 0 for c in s]) for n, s in zip(names, rows, strict=True)}
+        tree, _ = topology.search_parsimony(topology.canonical(topology.nested(topology.nj_tree(names, rows))), masks)
+        net, root, path, _total = network.search(tree, masks, switch, charge, most)
+        shown, own = network.displays(net, root), network.reticulations(net)
+        found = network.occurrences(path, len(own))
+        out = pd.DataFrame({
+            "event": np.array([b for b, _, _ in found], np.int32), "start": np.array([s for _, s, _ in found], np.int32), "end": np.array([e for _, _, e in found], np.int32),
+            "newick": [topology.unit_newick(shown[int(path[s - 1])]) for _, s, _ in found], "network": [topology.network_hash(net)] * len(found),
+        })
+        return out.astype({"newick": object, "network": object})
+
+    return _grouped(sequences, None, run, "event int, start int, end int, newick string, network string")
+
+
+def stepwise_regions(sequences: DataFrame, least: int = 40, charge: float = 12.0, grid: int = 10) -> DataFrame:
+    """dataset, start, end, newick: best-first partition by parsimony of a tree of each range's own, with cuts on a grid of sites."""
+    from ..kernels import network
+
+    def run(d, names, rows, _):
+        blocks = len(rows[0]) // grid
+        cut = lambda a, b: [s[(a - 1) * grid : (len(s) if b == blocks else b * grid)] for s in rows]
+
+        def tree(a: int, b: int):
+            return topology.canonical(topology.nested(topology.nj_tree(names, cut(a, b))))
+
+        def cost(a: int, b: int) -> float:
+            masks = {n: np.array([1 << "ACGT".find(c) if c in "ACGT" else 0 for c in s]) for n, s in zip(names, cut(a, b), strict=True)}
+            return float(topology.fitch(tree(a, b), masks).sum())
+
+        parts = network.stepwise(cost, blocks, max(1, least // grid), charge)
+        ends = [len(rows[0]) if b == blocks else b * grid for _, b in parts]
+        return pd.DataFrame({"start": np.array([(a - 1) * grid + 1 for a, _ in parts], np.int32), "end": np.array(ends, np.int32), "newick": [topology.unit_newick(tree(a, b)) for a, b in parts]})
+
+    return _grouped(sequences, None, run, "start int, end int, newick string")

@@ -115,3 +115,15 @@ def profile_alignment(spark, sf):
     letters = F.transform(F.array_sort(F.collect_list(F.struct("codon_site", F.coalesce(F.nullif(translate(F.col("codon")), F.lit("*")), F.lit("X")).alias("a")))), lambda x: x["a"])
     residues = chains.groupBy(F.col("taxon").cast("string").alias("chain")).agg(F.array_join(letters, "").alias("residues"))
     return rounded(X.align_profiles(profile, residues))
+
+
+@query("recombination_joint_network")
+def joint_network(spark, sf):
+    sequences, _, _, _ = _simulated(spark, 3, events=1, codons=80, taxa=5, scale=0.6)
+    return X.joint_network(sequences, 3.0, 2.0, 1)
+
+
+@query("recombination_stepwise")
+def stepwise(spark, sf):
+    sequences, _, _, _ = _simulated(spark, 2, events=1, codons=80)
+    return X.stepwise_regions(sequences)
