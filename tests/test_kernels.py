@@ -271,3 +271,42 @@ def test_stepwise_partition():
     cost = lambda a, b: ((x[a - 1 : b] - x[a - 1 : b].mean()) ** 2).sum()
     assert network.stepwise(cost, 40, 3, 1.0) == [(1, 20), (21, 40)]
     assert network.stepwise(cost, 40, 3, 1e9) == [(1, 40)]
+
+
+def test_linked_lengths():
+    from treeline.kernels.linked import LinkedTrees
+
+    rng = np.random.default_rng(12)
+    pi = np.array([0.3, 0.2, 0.2, 0.3])
+    system = codon.Reversible(codon.gtr_matrix(np.array([1, 2, 1, 1, 2, 1.0]), pi), pi)
+    texts = ("((a:1,b:1):1,c:1,d:1);", "((a:1,c:1):1,b:1,d:1);")
+    trees = [codon.Tree(parse_newick(t)) for t in texts]
+    name = {"a": 0, "b": 1, "c": 2, "d": 3, "": 4}
+    atoms = [[[] if k == 0 else [name[n.name]] if n.name else [4, 5][: 1 + i] for k, n in enumerate(t.nodes)] for i, t in enumerate(trees)]
+    truth = np.array([0.1, 0.2, 0.3, 0.15, 0.1, 0.08])
+    states = []
+    for tree, own in zip(trees, atoms, strict=True):
+        at = {0: rng.choice(4, 3000, p=pi)}
+        for k in range(1, len(tree.nodes)):
+            p = system.p(sum(truth[a] for a in own[k]))
+            at[k] = np.array([rng.choice(4, p=p[s] / p[s].sum()) for s in at[tree.parent[k]]])
+        states.append(np.stack([at[k] for k in tree.tips]))
+    linked = LinkedTrees(trees, states, atoms, system, pi)
+    x = np.full(6, 0.2)
+    value, gradient = linked.evaluate(x)
+    for k in range(6):
+        e = np.eye(6)[k] * 1e-5
+        assert gradient[k] == pytest.approx((linked.evaluate(x + e)[0] - linked.evaluate(x - e)[0]) / 2e-5, rel=1e-3)
+    fitted, best = linked.fit(x)
+    assert best > value and np.abs(fitted - truth).max() < 0.05
+
+
+def test_transition_table_is_close():
+    from treeline.kernels.linked import TransitionTable
+
+    pi = np.array([0.3, 0.2, 0.2, 0.3])
+    parts = [(w, codon.Reversible(codon.gtr_matrix(np.ones(6), pi) * r, pi)) for w, r in ((0.6, 0.5), (0.4, 1.7))]
+    table = TransitionTable(parts, pi)
+    for t in (0.0, 0.013, 0.4, 1.234):
+        assert table.p(t) == pytest.approx(sum(w * s.p(t) for w, s in parts), abs=2e-3)
+    assert table.p(9.0) == pytest.approx(np.tile(pi, (4, 1)))
