@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -195,40 +196,59 @@ def _locate(names: list[str], width: int, digest: bool):
                 kept.append(None)
             else:
                 open_first.append(None)
-                open_hash.append(None)
                 cover.append(None)
                 n_removed.append(int(removed.sum()))
                 text = _kept(words, t, removed)
                 kept.append(hashlib.sha256(text.encode()).hexdigest() if digest else text)
         is_open = [x is not None for x in open_first]
         text = docs.column("text").to_pylist()
-        out = {c: docs.column(c) for c in names if c != "text"}
+        out = {c: docs.column(c) for c in ["_bucket", *names] if c != "text"}
         out |= {
             "_n_words": pa.array(n_words, pa.int64()), "_n_removed": pa.array(n_removed, pa.int64()), "_kept": pa.array(kept, pa.string()),
             "_text": pa.array([x if o else None for x, o in zip(text, is_open, strict=True)], pa.string()),
-            "_first": pa.array(open_first, pa.list_(pa.int32())), "_hash": pa.array(open_hash, pa.list_(pa.int64())), "_cover": pa.array(cover, pa.list_(pa.int32())),
+            "_first": pa.array(open_first, pa.list_(pa.int32())), "_hash": pa.nulls(len(kept), pa.list_(pa.int64())), "_cover": pa.array(cover, pa.list_(pa.int32())),
         }
-        return pa.table(out)
+        out = pa.table(out)
+        if not open_hash:
+            return out
+        # one row more: the different open windows of the bucket (_hash) and how often each is there (_first)
+        different, n = np.unique(np.concatenate(open_hash), return_counts=True)
+        own = {"_bucket": group.column("_bucket")[:1], "_hash": pa.array([different], pa.list_(pa.int64())), "_first": pa.array([n.astype(np.int32)], pa.list_(pa.int32()))}
+        return pa.concat_tables([out, pa.table({c: own.get(c, pa.nulls(1, out.schema.field(c).type)) for c in out.column_names})])
 
     return locate
 
 
+def _lists(column: pa.ChunkedArray) -> list[np.ndarray]:
+    """Rows of a list column as int64 arrays, null as an empty one."""
+    if not len(column):
+        return []
+    whole = pa.concat_arrays(column.chunks)
+    sizes = pc.fill_null(pc.list_value_length(whole), 0).to_numpy(zero_copy_only=False)
+    return np.split(whole.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.cumsum(sizes)[:-1])
+
+
 def _finish(columns: list[str], width: int, digest: bool):
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Open documents with the windows of theirs that recur."""
-        for batch in (part for whole in batches for part in by_bytes(whole, whole.schema.get_field_index("_text"))):
-            words = words_of(batch.column("_text"), hashed=False)
-            cover, again = batch.column("_cover").to_pylist(), batch.column("_again").to_pylist()
-            gone, kept = [], []
-            for t in range(len(words)):
-                n = int(words.first[t + 1] - words.first[t])
-                edges = np.array(cover[t] or [], np.int64)
-                more = np.array(again[t] or [], np.int64)
-                removed = _cover(n, np.concatenate([edges[0::2], more]), np.concatenate([edges[1::2], more + width]))
-                gone.append(int(removed.sum()))
-                kept.append(_kept(words, t, removed))
-            out = [batch.column(c) for c in columns] + [batch.column("_n_words"), pa.array(gone, pa.int64()), _text_or_digest(kept, digest)]
-            yield pa.RecordBatch.from_arrays(out, [*columns, "_n_words", "_n_removed", "_kept"])
+    def finish(group: pa.Table) -> pa.Table | None:
+        """One bucket: the hashes of its windows that recur (one row) and its open documents."""
+        is_doc = np.asarray(group.column("_text").is_valid())
+        docs, rest = group.filter(pa.array(is_doc)), group.filter(pa.array(~is_doc))
+        if not docs.num_rows:
+            return None
+        again = np.sort(np.concatenate([np.empty(0, np.int64), *_lists(rest.column("_hash"))]))
+        words = words_of(docs.column("_text"))
+        gone, kept = [], []
+        for t, (edges, first) in enumerate(zip(_lists(docs.column("_cover")), _lists(docs.column("_first")), strict=True)):
+            a, b = int(words.first[t]), int(words.first[t + 1])
+            n, more = b - a, first[:0]
+            if len(again):
+                hashes = sequence_hash(words.hash[a:b], first, width).view(np.int64)
+                more = first[again[np.minimum(np.searchsorted(again, hashes), len(again) - 1)] == hashes]
+            removed = _cover(n, np.concatenate([edges[0::2], more]), np.concatenate([edges[1::2], more + width]))
+            gone.append(int(removed.sum()))
+            kept.append(_kept(words, t, removed))
+        out = {c: docs.column(c) for c in [*columns, "_n_words"]}
+        return pa.table(out | {"_n_removed": pa.array(gone, pa.int64()), "_kept": _text_or_digest(kept, digest)})
 
     return finish
 
@@ -262,15 +282,18 @@ def dedup(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, digest: bool =
     long, text = T.LongType(), T.StringType()
     done = [T.StructField("_n_words", long), T.StructField("_n_removed", long), T.StructField("_kept", text)]
     opened = [T.StructField("_text", text), T.StructField("_first", T.ArrayType(T.IntegerType())), T.StructField("_hash", T.ArrayType(long)), T.StructField("_cover", T.ArrayType(T.IntegerType()))]
-    located = map_groups(both, "_bucket", _locate(docs.columns, width, digest), T.StructType([*fields, *done, *opened]), spread=max(partitions(spark), min(buckets, 4 * partitions(spark))))
-    located = scratch.write(located.withColumn("_doc", F.monotonically_increasing_id()), "located")
-    ready = located.filter("_text is null").select(*columns, "_n_words", "_n_removed", "_kept")
-    waiting = located.filter("_text is not null")
-    windows = waiting.select("_doc", F.explode(F.arrays_zip("_first", "_hash")).alias("w")).select("_doc", F.col("w._first").alias("first"), F.col("w._hash").alias("hash"))
-    again = windows.select("hash").groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("hash")
-    again = windows.join(again, "hash").groupBy("_doc").agg(F.collect_list("first").alias("_again"))
-    waiting = waiting.join(again, "_doc", "left").select(*columns, "_n_words", "_cover", "_again", "_text")
-    finished = map_arrow(waiting, _finish(columns, width, digest), T.StructType([*fields, *done]))
+    spread = max(partitions(spark), min(buckets, 4 * partitions(spark)))
+    located = map_groups(both, "_bucket", _locate(docs.columns, width, digest), T.StructType([T.StructField("_bucket", long), *fields, *done, *opened]), spread=spread)
+    located = scratch.write(located, "located")
+    ready = located.filter("_text is null and _n_words is not null").select(*columns, "_n_words", "_n_removed", "_kept")
+    waiting = located.filter("_text is not null").select("_bucket", *columns, "_n_words", "_cover", "_first", "_hash", "_text")
+    # a window in very many documents is one row for each bucket, counted and judged there
+    windows = located.filter("_n_words is null").select("_bucket", F.explode(F.arrays_zip("_hash", "_first")).alias("w")).select("_bucket", F.col("w._hash").alias("hash"), F.col("w._first").alias("n"))
+    again = windows.groupBy("hash").agg(F.sum("n").alias("n")).filter("n > 1").select("hash")
+    again = windows.select("_bucket", "hash").join(again, "hash").groupBy("_bucket").agg(F.collect_list("hash").alias("_hash"))
+    empty = {f.name: F.lit(None).cast(f.dataType).alias(f.name) for f in waiting.schema.fields}
+    both = waiting.unionByName(again.select("_bucket", *[c for n, c in empty.items() if n not in ("_bucket", "_hash")], "_hash"))
+    finished = map_groups(both, "_bucket", _finish(columns, width, digest), T.StructType([*fields, *done]), spread=spread)
     return scratch.keep(back(ready.unionByName(finished), "_n_words", "_n_removed", "_kept", without=("text",)))
 
 
