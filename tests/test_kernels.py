@@ -219,15 +219,37 @@ def test_network_displays_and_time():
     assert not topology.temporally_feasible(net | {"v": ("u", None)})
 
 
-def test_alignment_matches_brute_force():
-    def score(a, b):
-        if not a and not b:
-            return {"h": 0.0}
-        return None
+def best_alignment(scores, opening, extension):
+    """Affine alignment by trying every path."""
+    def whole(i, j, after):
+        """Best score of prefixes; after: the layer of the step that follows, which pays for its own gap."""
+        if i == 0 and j == 0:
+            return 0.0
+        out = []
+        if i and j:
+            out.append(whole(i - 1, j - 1, "m") + scores[i - 1][j - 1])
+        for n in range(1, max(i, j) + 1):
+            cost = opening + extension * (n - 1)
+            if i >= n and after != "x":
+                out.append(whole(i - n, j, "x") + cost)
+            if j >= n and after != "y":
+                out.append(whole(i, j - n, "y") + cost)
+        return max(out) if out else -1e9
+
+    return whole(len(scores), len(scores[0]), "m")
+
 
+def test_alignment_matches_brute_force():
+    rng = np.random.default_rng(13)
+    for _ in range(12):
+        scores = rng.integers(-3, 4, (int(rng.integers(1, 5)), int(rng.integers(1, 5)))).astype(float)
+        got, pairs = align.align(scores, -2.5, -0.5)
+        assert got == pytest.approx(best_alignment(scores.tolist(), -2.5, -0.5))
+        assert [i for i, _ in pairs if i is not None] == list(range(len(scores)))
+        local, part = align.align(scores, -2.5, -0.5, local=True)
+        assert local >= max(0, scores.max()) - 1e-9 and all(i is None or j is None or scores[i, j] > -4 for i, j in part)
     x, y, s = align.align_text("ACGTT", "ACTT")
     assert x.replace("-", "") == "ACGTT" and y.replace("-", "") == "ACTT" and s == pytest.approx(2 * 4 - 4)
-    assert score("", "") == {"h": 0.0}
     left, right = align.seeded("ACGTTGCA" * 20 + "GGG", "ACGTTGCA" * 20)
     assert left.replace("-", "") == "ACGTTGCA" * 20 + "GGG" and len(left) == len(right)
     assert (align.blosum() == align.blosum().T).all() and align.blosum()[0, 0] == 4
