@@ -125,6 +125,18 @@ def test_zero_lengths_give_equilibrium():
     assert codon.grid_likelihood(tree, m, same, np.array([1.0]), np.array([1.0]))[0] == pytest.approx(np.log(m.pi[[3, 5]]))
 
 
+def test_batched_grid_is_the_plain_pruning():
+    m = model()
+    tree = codon.Tree(parse_newick("((a:0.1,b:0.3):0.2,c:0.4,d:0.1);"))
+    rng = np.random.default_rng(14)
+    states = rng.integers(-1, len(m.pi), (4, 9))
+    a, b = np.array([0.2, 0.5, 1.0, 2.0, 1.0]), np.array([0.3, 0.4, 1.0, 0.2, 5.0])
+    tips = {k: codon.tip_vectors(states[i], len(m.pi)) for i, k in enumerate(tree.tips)}
+    got = codon.grid_likelihood(tree, m, states, a, b, block=2)
+    for c in range(5):
+        assert got[c] == pytest.approx(codon.prune(tree, tips, lambda k: m.transition(a[c], b[c], float(tree.length[k])), m.pi), abs=1e-6)  # noqa: B023
+
+
 def test_pruning_matches_enumeration_and_messages():
     rates, pi = np.array([1, 2, 1, 1, 3, 1.0]), np.array([0.4, 0.2, 0.1, 0.3])
     system = codon.Reversible(codon.gtr_matrix(rates, pi), pi)

@@ -176,21 +176,47 @@ def compress(columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return different, at.ravel()
 
 
-def grid_likelihood(tree: Tree, model: CodonModel, states: np.ndarray, alphas: np.ndarray, betas: np.ndarray, weight=None) -> np.ndarray:
-    """[category, site] log likelihoods; states are [tip, site] in order of tree.tips. Equal columns are computed once."""
+def grid_likelihood(tree: Tree, model: CodonModel, states: np.ndarray, alphas: np.ndarray, betas: np.ndarray, block: int = 96) -> np.ndarray:
+    """[category, site] log likelihoods; states are [tip, site] in order of tree.tips. Equal columns are computed once.
+
+    Categories are batched: one stacked eigensystem for a block, one stacked product for a branch, and
+    tips read the columns of their states instead of multiplying.
+    """
     columns, at = compress(states)
-    tips = {k: tip_vectors(columns[i], len(model.pi)) for i, k in enumerate(tree.tips)}
+    row = {k: i for i, k in enumerate(tree.tips)}
+    root = np.sqrt(np.maximum(model.pi, 1e-300))
+    syn, non = (m * root[:, None] / root[None, :] / model.scale for m in (model.syn, model.non))
+    syn, non = (syn + syn.T) / 2, (non + non.T) / 2
+    syn_out, non_out = model.syn.sum(1) / model.scale, model.non.sum(1) / model.scale
+    diagonal = np.arange(len(model.pi))
     out = np.empty((len(alphas), columns.shape[1]))
-    for c, (a, b) in enumerate(zip(alphas, betas, strict=True)):
+    for lo in range(0, len(alphas), block):
+        a, b = np.asarray(alphas[lo : lo + block], float), np.asarray(betas[lo : lo + block], float)
+        q = a[:, None, None] * syn + b[:, None, None] * non
+        q[:, diagonal, diagonal] = -(a[:, None] * syn_out + b[:, None] * non_out)
+        values, u = np.linalg.eigh(q)
+        left, right = u / root[:, None], u.transpose(0, 2, 1) * root
         known: dict[float, np.ndarray] = {}
-
-        def transition(k: int, a: float = float(a), b: float = float(b), known: dict = known) -> np.ndarray:
-            t = float(tree.length[k])
-            if t not in known:
-                known[t] = model.transition(a, b, t)
-            return known[t]
-
-        out[c] = prune(tree, tips, transition, model.pi)
+        partial: dict[int, np.ndarray] = {}
+        log = np.zeros((len(a), columns.shape[1]))
+        for k in tree.post:
+            if tree.children[k]:
+                v = None
+                for c in tree.children[k]:
+                    t = float(tree.length[c])
+                    if t not in known:
+                        known[t] = np.maximum((left * np.exp(values * t)[:, None, :]) @ right, 0)
+                    if c in row:
+                        s = columns[row[c]]
+                        sent = known[t][:, :, np.maximum(s, 0)]
+                        sent[:, :, s < 0] = 1.0
+                    else:
+                        sent = known[t] @ partial.pop(c)
+                    v = sent if v is None else v * sent
+                top = np.maximum(v.max(1), 1e-300)
+                log += np.log(top)
+                partial[k] = v / top[:, None, :]
+        out[lo : lo + block] = log + np.log(np.maximum(np.einsum("s,cst->ct", model.pi, partial[0]), 1e-300))
     return out[:, at]
 
 

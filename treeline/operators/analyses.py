@@ -83,6 +83,30 @@ def site_selection(sequences: DataFrame, trees: DataFrame, method: str = "em", t
     return _grouped(sequences, trees, run, "site int, p_positive double, p_purifying double, mean_alpha double, mean_beta double, selection string, lrt double, direction int")
 
 
+def conditional_grid(sequences: DataFrame, trees: DataFrame, grid: DataFrame, block: int = 96) -> DataFrame:
+    """dataset, category, site, logl over a grid of (category, alpha, beta), with the grid of one alignment dealt to many tasks in blocks."""
+    packed = sequences.groupBy("dataset").agg(F.array_sort(F.collect_list(F.struct("name", "sequence"))).alias("rows")).join(trees, "dataset")
+    cell = F.struct("category", "alpha", "beta")
+    blocks = grid.groupBy(F.floor(F.col("category") / block).alias("block")).agg(F.array_sort(F.collect_list(cell)).alias("cells"))
+    spark = sequences.sparkSession
+    tasks = packed.crossJoin(F.broadcast(blocks)).repartition(max(1, spark.sparkContext.defaultParallelism), "dataset", "block")
+
+    def run(batches):
+        known: dict[str, tuple] = {}
+        for batch in batches:
+            out = []
+            for dataset, rows, newick, cells in zip(batch["dataset"], batch["rows"], batch["newick"], batch["cells"], strict=True):
+                if dataset not in known:
+                    known = {dataset: _prepared([r["name"] for r in rows], [r["sequence"] for r in rows], newick)}
+                tree, model, states = known[dataset]
+                logl = codon.grid_likelihood(tree, model, states, np.array([c["alpha"] for c in cells]), np.array([c["beta"] for c in cells]), block)
+                out += [(dataset, int(c["category"]), x) for c, x in zip(cells, logl, strict=True)]
+            yield pd.DataFrame(out, columns=["dataset", "category", "logl"])
+
+    table = tasks.mapInPandas(run, "dataset string, category int, logl array<double>")
+    return table.select("dataset", "category", F.posexplode("logl").alias("at", "logl")).select("dataset", "category", (F.col("at") + 1).alias("site"), "logl")
+
+
 def two_group_selection(sequences: DataFrame, trees: DataFrame, draws: int = 300, seed: int = 1) -> DataFrame:
     """Posteriors of two branch classes' ratios: branches tagged with the first tag in order, with the second, and the rest."""
 

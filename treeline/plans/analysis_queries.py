@@ -41,6 +41,17 @@ def site_selection(spark, sf):
     return rounded(X.site_selection(sequences, trees))
 
 
+@query("analysis_conditional_grid")
+def conditional_grid(spark, sf):
+    """8 taxa, 48 codons and a 36 x 36 grid."""
+    from ..operators.grids import LOW, axis
+
+    sequences, trees, _, _ = _simulated(spark, 1, taxa=8, codons=48)
+    a, b = axis(spark, 36, "alpha", LOW, 2.0 / 35), axis(spark, 36, "beta", LOW, 2.0 / 35)
+    grid = a.crossJoin(F.broadcast(b)).select((F.col("alpha_idx") * 36 + F.col("beta_idx")).alias("category"), "alpha", "beta")
+    return rounded(X.conditional_grid(sequences, trees, grid))
+
+
 @query("analysis_two_group")
 def two_group(spark, sf):
     sequences, trees, _, _ = _simulated(spark)
