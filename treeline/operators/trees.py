@@ -135,7 +135,8 @@ def bfs(edges: DataFrame, start: DataFrame, most: int) -> DataFrame:
     at = seen
     for level in range(1, most + 1):
         step = at.join(both, at["node"] == both["a"]).select("source", F.col("b").alias("node")).distinct()
-        at = step.join(seen.select("source", "node"), ["source", "node"], "left_anti").withColumn("level", F.lit(level))
+        # kept, as each frontier is read twice; it can be computed again from its lineage if an executor is lost
+        at = step.join(seen.select("source", "node"), ["source", "node"], "left_anti").withColumn("level", F.lit(level)).persist()
         seen = seen.unionByName(at)
     return seen
 

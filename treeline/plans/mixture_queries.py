@@ -18,8 +18,13 @@ def _em(steps: int) -> str:
     return ", ".join(parts)
 
 
+def _cells(spark, sf):
+    """Normalised cells, kept because every step of EM reads them."""
+    return M.normalise(M.max_shift(relation(spark, sf, "lik"))).persist()
+
+
 def _posterior(spark, sf, steps: int = 5):
-    normal = M.normalise(M.max_shift(relation(spark, sf, "lik")))
+    normal = _cells(spark, sf)
     return M.posterior(normal, M.em(normal, steps))
 
 
@@ -48,8 +53,7 @@ def sparse(spark, sf):
 
 @query("em_weights", oracle(f"WITH {_em(5)} SELECT category, round(theta, 6) AS theta FROM t5"))
 def weights(spark, sf):
-    normal = M.normalise(M.max_shift(relation(spark, sf, "lik")))
-    return rounded(M.em(normal, 5))
+    return rounded(M.em(_cells(spark, sf), 5))
 
 
 @query("posterior_mass", oracle(f"WITH {_em(3)} SELECT site, category, round(mass, 6) AS mass FROM post"))
@@ -82,8 +86,7 @@ def episodic(spark, sf):
 
 @query("prior_mass_positive", oracle(f"WITH {_em(5)} SELECT round(SUM(theta) FILTER (beta > alpha), 6) AS positive, round(SUM(theta) FILTER (beta <= alpha), 6) AS other FROM t5 JOIN grid USING (category)"))
 def prior_mass(spark, sf):
-    normal = M.normalise(M.max_shift(relation(spark, sf, "lik")))
-    t = M.em(normal, 5).join(relation(spark, sf, "grid"), "category")
+    t = M.em(_cells(spark, sf), 5).join(relation(spark, sf, "grid"), "category")
     return rounded(t.agg(F.sum(F.when(F.col("beta") > F.col("alpha"), F.col("theta"))).alias("positive"), F.sum(F.when(F.col("beta") <= F.col("alpha"), F.col("theta"))).alias("other")))
 
 
