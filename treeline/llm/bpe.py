@@ -13,6 +13,7 @@ import json
 import re
 import struct
 import unicodedata
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -81,7 +82,7 @@ class ForcedBoundaryBPE:
         self.special = regex.compile("(" + "|".join(regex.escape(x) for x in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
         self.known: dict[bytes, list[int]] = {}
         self.as_text: dict[str, tuple[str, bytes]] = {}
-        self.as_array: dict[str, bytes] = {}
+        self.as_array = _Arrays(self)
 
     def words(self, text: str) -> list[str]:
         """The pattern's matches; texts within Latin scripts take the standard library's faster engine."""
@@ -154,19 +155,31 @@ class ForcedBoundaryBPE:
             if k % 2:
                 out.append(struct.pack("<I", self.added[part]))
                 continue
-            for word in self.words(part):
-                ids = known.get(word)
-                if ids is None:
-                    if len(known) >= 2 * REMEMBER:
-                        known.clear()
-                    ids = known[word] = struct.pack(f"<{len(i := self.word_ids(word.encode('utf-8', 'surrogatepass')))}I", *i)
-                out.append(ids)
+            out += map(known.__getitem__, self.words(part))
         return np.frombuffer(b"".join(out), "<u4")
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.table.__getitem__, ids)).decode("utf-8", "replace")
 
 
+class _Arrays(dict):
+    """Words and their ids as bytes of unsigned 32-bit integers, made by the library's model when first asked for."""
+
+    def __init__(self, bpe: ForcedBoundaryBPE):
+        super().__init__()
+        self.tokenize, self.alphabet = bpe.model.tokenize, bpe.alphabet
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= 2 * REMEMBER:
+            self.clear()
+        if word.isascii() and word.isprintable():
+            letters = word.replace(" ", self.alphabet[0x20])  # other printable ASCII stands for itself
+        else:
+            letters = word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.alphabet)
+        ids = self[word] = array("I", [t.id for t in self.tokenize(letters)]).tobytes()
+        return ids
+
+
 _LOADED: dict[str, ForcedBoundaryBPE] = {}
 
 
