@@ -167,6 +167,30 @@ def test_pages(spark):
     assert html_extract.main_text(pages.limit(0)).count() == 0
 
 
+def texts_of(spark, htmls, url="http://h.example/"):
+    pages = spark.createDataFrame([(k, None if url is None else url + str(k), h) for k, h in enumerate(htmls)], "page_id long, url string, html string")
+    return [r.text for r in html_extract.main_text(pages).orderBy("page_id").collect()]
+
+
+def test_copies_are_no_template(spark):
+    copy = "<body><nav>menu {}</nav><p>The whole article.</p><p>Its end.</p></body>"
+    other = "<body><p>Another text {}.</p></body>"
+    for url in ("http://h.example/", None):
+        for copies, others in ((2, 1), (2, 2), (3, 1), (4, 0), (5, 3)):
+            got = texts_of(spark, [copy.format(k) for k in range(copies)] + [other.format(k) for k in range(others)], url)
+            assert got == ["The whole article.\nIts end."] * copies + [f"Another text {k}." for k in range(others)]
+    # versions of one text
+    lines = [f"Paragraph {k}." for k in range(10)]
+    versions = ["\n".join(f"Changed {v}." if k == v else x for k, x in enumerate(lines)) for v in range(4)]
+    assert texts_of(spark, ["".join(f"<p>{x}" for x in v.split("\n")) for v in versions]) == versions
+
+
+@pytest.mark.parametrize("n", [2, 3, 4, 9])
+def test_template_text_is_dropped_on_hosts_of_any_size(spark, n):
+    page = "<body><p>All about us</p><p>Body {0}.</p><ul><li>same<li>own {0}</ul></body>"
+    assert texts_of(spark, [page.format(k) for k in range(n)]) == [f"Body {k}.\nsame\nown {k}" for k in range(n)]
+
+
 def test_template_classes():
     found = [(1, 4, 4, 0.1, "a"), (1, 4, 4, 0.9, "z"), (2, 4, 12, 0.3, "li"), (2, 4, 12, 0.35, "/li"), (3, 3, 3, 0.5, "x")]
     assert html_extract.nest(found, 4) == {"pages": 4, "root": ["a", "z"], "slots": [[1, ["li", "/li"]], [1, ["x"]]]}

@@ -1,22 +1,22 @@
-"""Main text of web pages by equivalence-class template deduction.
-
-1. Each page becomes tokens: tags with their path of open elements, and whole text nodes. Over all
-   pages of a host, a token's occurrence vector is how often each page has it. A vector is held as
-   the XOR of one hash for each page and count, so it is summed up before any shuffle and a host of any
-   number of pages is no large group.
-2. Tokens of one host that share a vector are an equivalence class. A class is valid if at least half
-   of the host's pages have it and its tokens keep their order; the class of all pages is the root,
-   and each other valid class is nested into the slot of the root that its mean place falls into.
-3. A page is walked with its host's template. Template tags open and close regions; what lies between
-   is the slots. The slots of the article are extracted; regions of menus, headers, footers, sidebars,
-   notices, adverts, forms, scripts, styles and reader comments, and template text outside an article,
-   are not.
+"""Main text of web pages by equivalence classes of repeated blocks.
+
+1. Each page becomes units: blocks of text, a whole list (and a table within an article) being one unit.
+   Tag names and the words of class, id and role label regions: menus, headers, footers, sidebars, notices,
+   adverts, forms, scripts, styles and reader comments are left out, and a page with an article or main
+   element gives only what lies in it.
+2. Pages of one host with the same units are copies and count once. Over the distinct pages of a host, a
+   unit's occurrence vector is how often each page has it, held as the XOR of one hash for each page and count.
+3. Units of one host that share a vector are an equivalence class. A class is valid if at least half of the
+   host's distinct pages, and two at least, have it, its units keep their order on all of them, and it and the
+   classes of as many or more pages make up at most half of the units there: pages that agree on more are
+   versions of one text. The units of valid classes are the template's and are dropped, also within an article.
 """
 
 from __future__ import annotations
 
 import hashlib
 import html as entities
+import itertools
 import json
 import re
 from collections import Counter
@@ -54,6 +54,8 @@ MARKS = frozenset(
 #: Elements that a p start tag, or any block, closes (fixed values of HTML).
 _CLOSES = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}}
 ARTICLE = frozenset(("article", "main"))
+#: Elements that are one unit with all their items.
+LISTS = frozenset(("ul", "ol", "dl"))
 
 
 class Tag:
@@ -87,21 +89,21 @@ def tokens(page: str | None) -> Iterator[Tag | str]:
             yield m[0]
 
 
-def walk(page: str | None) -> Iterator[tuple[str, Tag | str, list[Tag]]]:
-    """(role, token, open elements) of each token; a role is a token and the path that leads to it."""
+def walk(page: str | None) -> Iterator[tuple[Tag | str, list[Tag]]]:
+    """(token, open elements) of each token; an element that closes is still open."""
     open_: list[Tag] = []
     for token in tokens(page):
         if isinstance(token, str):
-            yield "#" + hashlib.blake2b(" ".join(token.split()).encode("utf-8", "replace"), digest_size=8).hexdigest(), token, open_
+            yield token, open_
             continue
         if token.closing:
             at = next((k for k in range(len(open_) - 1, -1, -1) if open_[k].name == token.name), None)
             if at is not None:
                 del open_[at + 1 :]
-                yield ">".join(t.token for t in open_[:at] if t.name in BLOCKS) + ">" + token.token, token, open_
+                yield token, open_
                 del open_[at:]
             else:
-                yield token.token, token, open_
+                yield token, open_
             continue
         closes = _CLOSES.get(token.name, {"p"} if token.name in BLOCKS else ())
         while closes:
@@ -110,7 +112,7 @@ def walk(page: str | None) -> Iterator[tuple[str, Tag | str, list[Tag]]]:
             if at is None or any(t.name in BLOCKS and t.name not in closes for t in open_[at + 1 :]):
                 break
             del open_[at:]
-        yield ">".join(t.token for t in open_ if t.name in BLOCKS) + ">" + token.token, token, open_
+        yield token, open_
         if token.name not in VOID:
             open_.append(token)
 
@@ -120,50 +122,82 @@ def host_of(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
-def _vector_hash(page_key: bytes, count: int) -> int:
-    return int.from_bytes(hashlib.blake2b(page_key + count.to_bytes(8, "big"), digest_size=8).digest(), "big", signed=True)
+def verdict(path: list[Tag]) -> tuple[bool, bool]:
+    inside = any(t.name in ARTICLE for t in path)
+    # a header within the article may hold its heading
+    out = any(t.boilerplate and not (t.name == "header" and inside and not t.marks & MARKS) for t in path)
+    return inside and not out, out
 
 
-def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """page_id, url, html -> host, role, vector, pages, total, place: summed within a batch."""
+def units(page: str | None) -> list[tuple[int, list[str]]]:
+    """(hash, blocks) of each unit of the page's labelled main text, in order."""
+    steps = []
+    for token, open_ in walk(page):
+        inside, out = verdict(open_)
+        whole = None
+        if isinstance(token, str) and not out:
+            whole = next((t for t in open_ if t.name in LISTS or t.name == "table" and inside), None)
+        steps.append((token, inside, out, whole))
+    has_article = any(inside for _, inside, _, _ in steps)
+    found: list[tuple[Tag | None, list[str]]] = []
+    held: list[str] = []
+    holder: Tag | None = None
+
+    def end() -> None:
+        text = " ".join(entities.unescape("".join(held)).split())
+        if text:
+            if holder is not None and found and found[-1][0] is holder:
+                found[-1][1].append(text)
+            else:
+                found.append((holder, [text]))
+        held.clear()
+
+    for token, inside, out, whole in steps:
+        if isinstance(token, str):
+            if not out and (inside or not has_article):
+                held.append(token)
+                holder = whole
+        elif token.name in BLOCKS:
+            end()
+        elif token.name == "br":
+            held.append(" ")
+    end()
+    return [(_hash("\n".join(blocks).encode("utf-8", "replace")), blocks) for _, blocks in found]
+
+
+def _hash(data: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "big", signed=True)
+
+
+_UNIT = pa.struct([("unit", pa.int64()), ("count", pa.int32()), ("place", pa.int32())])
+
+
+def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """url, html -> host, content, size, units (hash, count, first place) of each page that has some."""
     for batch in batches:
-        sums: dict[tuple[str, str], list] = {}
-        for page_id, url, page in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-            host, seen, first = host_of(url), Counter(), {}
-            key = hashlib.blake2b(f"{page_id}\n{url}\n{page}".encode("utf-8", "replace"), digest_size=16).digest()
-            n = 0
-            for n, (role, _, _) in enumerate(walk(page), 1):
-                seen[role] += 1
-                first.setdefault(role, n)
-            seen[""] = 1  # the page itself
-            for role, count in seen.items():
-                s = sums.setdefault((host, role), [0, 0, 0, 0.0])
-                s[0] ^= _vector_hash(key, count)
-                s[1] += 1
-                s[2] += count
-                s[3] += first.get(role, 0) / max(n, 1)
-        keys = list(sums)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string())]
-            + [pa.array([sums[k][j] for k in keys], kind) for j, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.float64()))],
-            ["host", "role", "vector", "pages", "total", "place"],
-        )
+        out = []
+        for url, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            seen = [u for u, _ in units(page)]
+            if seen:
+                first = {u: k for k, u in reversed(list(enumerate(seen)))}
+                rows = [{"unit": u, "count": c, "place": first[u]} for u, c in Counter(seen).items()]
+                out.append((host_of(url), _hash(b"".join(u.to_bytes(8, "big", signed=True) for u in seen)), len(seen), rows))
+        kinds = (pa.string(), pa.int64(), pa.int32(), pa.list_(_UNIT))
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], ["host", "content", "size", "units"])
 
 
 def nest(found: list[tuple[int, int, int, float, str]], pages: int) -> dict:
     """The template of one host from (vector, pages, total, mean place, role) of its frequent tokens.
 
     root: roles of the class of most pages that occurs once on each, in order; slots: for each other
-    valid class, the slot of the root it falls into and its roles.
+    class, the slot of the root it falls into and its roles. Only valid classes are given.
     """
     classes: dict[int, list] = {}
     for vector, n, total, place, role in found:
         classes.setdefault(vector, []).append((place, role, n, total))
     once = {v: sorted(c) for v, c in classes.items() if c[0][2] == c[0][3]}
-    if not once:
-        return {"pages": pages, "root": [], "slots": []}
-    root_vector = max(once, key=lambda v: (once[v][0][2], len(once[v]), v))
-    root = once[root_vector]
+    root_vector = max(once, key=lambda v: (once[v][0][2], len(once[v]), v), default=None)
+    root = once.get(root_vector, [])
     slots = []
     for vector, members in sorted(classes.items()):
         if vector != root_vector:
@@ -172,110 +206,92 @@ def nest(found: list[tuple[int, int, int, float, str]], pages: int) -> dict:
     return {"pages": pages, "root": [m[1] for m in root], "slots": sorted(slots)}
 
 
-def _templates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        found = []
-        for pages, members in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            rows = [(m["vector"], m["pages"], m["total"], m["place"], m["role"]) for m in members]
-            found.append(json.dumps(nest(rows, pages)))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string())], ["host", "template"])
+def sparse(members: list[dict]) -> list[dict]:
+    """Members of the classes that leave most of their pages' units to the pages, from the classes of most pages on."""
+    classes: dict[int, list[dict]] = {}
+    for m in members:
+        classes.setdefault(m["vector"], []).append(m)
+    kept, share = [], 0.0
+    for vector in sorted(classes, key=lambda v: (-classes[v][0]["pages"], v)):
+        share += sum(m["total"] for m in classes[vector]) / classes[vector][0]["units"]
+        if share <= 0.5:
+            kept += classes[vector]
+    return kept
 
 
-def templates(pages: DataFrame) -> DataFrame:
-    """host, template (JSON) of every host, from all its pages."""
-    seen = map_arrow(pages.select("page_id", "url", "html"), _occurrences, "host string, role string, vector long, pages long, total long, place double")
-    summed = seen.groupBy("host", "role").agg(F.bit_xor("vector").alias("vector"), F.sum("pages").alias("pages"), F.sum("total").alias("total"), F.sum("place").alias("place"))
-    # a token of too few pages is in no valid class: at most twice a page's tokens stay for each host;
-    # until then the tokens of a host are spread over several keys
-    salts = 32
-    sizes = summed.filter("role = ''").select("host", F.col("pages").alias("n"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    ranked = summed.filter("role <> ''").withColumn("salt", F.pmod(F.xxhash64("role"), F.lit(salts)).cast("int"))
-    ranked = ranked.join(sizes, ["host", "salt"]).filter(2 * F.col("pages") >= F.col("n"))
-    member = F.struct("vector", "pages", "total", (F.col("place") / F.col("pages")).alias("place"), "role")
-    return map_arrow(ranked.groupBy("host").agg(F.max("n").alias("n"), F.collect_list(member).alias("members")), _templates, "host string, template string")
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """host, pages, members -> host, pages, members of sparse classes by vector and mean place."""
+    for batch in batches:
+        found = [json.dumps(sorted((m["vector"], m["place"], int(m["unit"]), m["pages"], m["total"]) for m in sparse(members or []))) for members in batch.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.string())], ["host", "n", "members"])
 
 
-class Slot:
-    """What a root token of the template opens: whether it lies in an article and in boilerplate."""
+def in_order(members: list, places: dict[int, int]) -> Iterator[tuple[int, bool]]:
+    """(vector, whether this page has the class in its order) of each class of several units, from members by vector and mean place."""
+    for vector, group in itertools.groupby(members, key=lambda m: m[0]):
+        at = [places[m[2]] for m in group if m[2] in places]
+        if len(at) > 1:
+            yield vector, at == sorted(at)
 
-    __slots__ = ("inside", "out")
 
-    def __init__(self, path: list[Tag]):
-        self.inside, self.out = verdict(path)
+def _broken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """host, members, units -> host, vector of classes whose order a page breaks, once for each batch."""
+    for batch in batches:
+        known: dict[str, list] = {}
+        found = set()
+        for host, members, seen in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            if host not in known:
+                known[host] = json.loads(members)
+            found |= {(host, v) for v, kept in in_order(known[host], {u["unit"]: u["place"] for u in seen}) if not kept}
+        rows = sorted(found)
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64())], ["host", "vector"])
 
 
-def verdict(path: list[Tag]) -> tuple[bool, bool]:
-    inside = any(t.name in ARTICLE for t in path)
-    # a header within the article may hold its heading
-    out = any(t.boilerplate and not (t.name == "header" and inside and not t.marks & MARKS) for t in path)
-    return inside and not out, out
+def _templates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = []
+        for pages, members, broken in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
+            bad = set(broken or ())
+            rows = [(v, n, total, place, str(unit)) for v, place, unit, n, total in json.loads(members) if v not in bad]
+            found.append(json.dumps(nest(rows, pages)))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string())], ["host", "template"])
 
 
-def _parsed(step: str) -> Tag:
-    name, _, marks = step.partition(".")
-    tag = Tag(name, False, "")
-    tag.marks = frozenset(marks.split(".")) - {""}
-    return tag
+def templates(pages: DataFrame) -> DataFrame:
+    """host, template (JSON) of every host with a text, from all its pages."""
+    scratch = Scratch(pages.sparkSession, "html-units")
+    rows = map_arrow(pages.select("url", "html"), _units, "host string, content long, size int, units array<struct<unit: long, count: int, place: int>>")
+    distinct = scratch.write(rows.groupBy("host", "content").agg(F.first("size").alias("size"), F.first("units").alias("units")), "units")
+    each = distinct.select("host", "content", "size", F.inline("units"))
+    summed = each.groupBy("host", "unit").agg(
+        F.bit_xor(F.xxhash64("content", "count")).alias("vector"), F.count(F.lit(1)).alias("pages"), F.sum("count").alias("total"),
+        F.avg(F.col("place") / F.col("size")).alias("place"), F.sum("size").alias("units"),
+    )
+    # a unit of too few pages is in no valid class: at most twice a page's units stay for each host;
+    # until then the units of a host are spread over several keys
+    salts = 32
+    sizes = distinct.groupBy("host").agg(F.count(F.lit(1)).alias("n")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    ranked = summed.filter("pages > 1").withColumn("salt", F.pmod(F.xxhash64("unit"), F.lit(salts)).cast("int"))
+    ranked = ranked.join(sizes, ["host", "salt"]).filter(2 * F.col("pages") >= F.col("n"))
+    member = F.struct("vector", "pages", "total", F.round("place", 9).alias("place"), "units", "unit")
+    listed = sizes.filter("salt = 0").join(ranked.groupBy("host").agg(F.collect_list(member).alias("members")), "host", "left").select("host", "n", "members")
+    candidates = scratch.write(map_arrow(listed, _candidates, "host string, n long, members string"), "candidates")
+    broken = map_arrow(distinct.join(candidates, "host").select("host", "members", "units"), _broken, "host string, vector long")
+    broken = broken.groupBy("host").agg(F.collect_set("vector").alias("broken"))
+    return map_arrow(candidates.join(broken, "host", "left").select("host", "n", "members", "broken"), _templates, "host string, template string")
 
 
 class Template:
-    """Slots of a host's template by the root role that they follow, and the template's text."""
+    """The units of a host's template."""
 
     def __init__(self, text: str | None):
-        spec = json.loads(text) if text else {"pages": 0, "root": [], "slots": []}
-        self.slots: dict[str, Slot] = {}
-        for role in spec["root"]:
-            if role[0] != "#":
-                steps = [s for s in role.split(">") if s]
-                closing = steps[-1][0] == "/"
-                self.slots[role] = Slot([_parsed(s) for s in (steps[:-1] if closing else steps) if s[0] != "/"])
-        #: text that several pages agree on is the template's
-        known = [*spec["root"], *(r for _, roles in spec["slots"] for r in roles)]
-        self.text = frozenset(r for r in known if r[0] == "#") if spec["pages"] >= 4 else frozenset()
-
-
-def slotted(page: str | None, template: Template) -> Iterator[tuple[str, Tag | str, bool, bool]]:
-    """(role, token, in an article slot, in boilerplate) of each token.
-
-    A slot runs from a root token of the template to the next. Elements that the page opens within a
-    slot are judged on top of it; before the first root token only they are.
-    """
-    slot, depth = None, 0
-    for role, token, open_ in walk(page):
-        if isinstance(token, Tag) and role in template.slots:
-            slot = template.slots[role]
-            depth = len(open_) - 1 if token.closing else len(open_) + (token.name not in VOID)
-            yield role, token, slot.inside, slot.out
-            continue
-        inside, out = verdict(open_[depth:])
-        if slot is not None:
-            inside, out = (inside or slot.inside) and not out, out or slot.out
-        yield role, token, inside and not out, out
+        spec = json.loads(text) if text else {"root": [], "slots": []}
+        self.units = frozenset(map(int, [*spec["root"], *(r for _, roles in spec["slots"] for r in roles)]))
 
 
 def extract(page: str | None, template: Template) -> str:
-    """Blocks of the page's article slots, one for each line."""
-    steps = list(slotted(page, template))
-    has_article = any(inside for _, _, inside, _ in steps)
-    blocks: list[str] = []
-    held: list[str] = []
-
-    def end() -> None:
-        text = " ".join(entities.unescape("".join(held)).split())
-        if text:
-            blocks.append(text)
-        held.clear()
-
-    for role, token, inside, out in steps:
-        if isinstance(token, str):
-            if not out and (inside if has_article else role not in template.text):
-                held.append(token)
-        elif token.name in BLOCKS:
-            end()
-        elif token.name == "br":
-            held.append(" ")
-    end()
-    return "\n".join(blocks)
+    """Blocks of the page's main text without the template's units, one for each line."""
+    return "\n".join(b for unit, blocks in units(page) if unit not in template.units for b in blocks)
 
 
 def main_text(pages: DataFrame) -> DataFrame:
