@@ -191,6 +191,16 @@ def test_template_text_is_dropped_on_hosts_of_any_size(spark, n):
     assert texts_of(spark, [page.format(k) for k in range(n)]) == [f"Body {k}.\nsame\nown {k}" for k in range(n)]
 
 
+def test_template_text_is_dropped_within_articles(spark):
+    page = "<body><article><h1>Title {0}</h1><p>Body {0}.</p><p>Read our newsletter</p><p>More {0}.</p><p>All rights kept</p></article></body>"
+    got = texts_of(spark, [page.format(k) for k in range(5)] + ["<article><p>Alone"])
+    assert got == [f"Title {k}\nBody {k}.\nMore {k}." for k in range(5)] + ["Alone"]
+    # a class that doesn't keep its order is no template's
+    parts = ["<p>north</p><p>own {0}</p><p>south</p><p>x {0}</p>", "<p>south</p><p>own {0}</p><p>north</p><p>x {0}</p>"]
+    got = texts_of(spark, ["<article>" + parts[k == 3].format(k) + "</article>" for k in range(5)])
+    assert got == [("south\nown {0}\nnorth\nx {0}" if k == 3 else "north\nown {0}\nsouth\nx {0}").format(k) for k in range(5)]
+
+
 def test_template_classes():
     found = [(1, 4, 4, 0.1, "a"), (1, 4, 4, 0.9, "z"), (2, 4, 12, 0.3, "li"), (2, 4, 12, 0.35, "/li"), (3, 3, 3, 0.5, "x")]
     assert html_extract.nest(found, 4) == {"pages": 4, "root": ["a", "z"], "slots": [[1, ["li", "/li"]], [1, ["x"]]]}
