@@ -119,8 +119,8 @@ def spr_path(spark, sf):
 def profile_alignment(spark, sf):
     from ..operators.alignment import amino_acid_profile
 
-    profile = amino_acid_profile(relation(spark, sf, "codons").filter("codon_site <= 30")).select(F.lit("aln").alias("profile"), "codon_site", "aa", "frequency")
-    chains = relation(spark, sf, "codons").filter("codon_site BETWEEN 5 AND 25 AND taxon < 3")
+    profile = amino_acid_profile(relation(spark, sf, "codons")).select(F.lit("aln").alias("profile"), "codon_site", "aa", "frequency")
+    chains = relation(spark, sf, "codons")
     from ..functions.codes import translate
 
     letters = F.transform(F.array_sort(F.collect_list(F.struct("codon_site", F.coalesce(F.nullif(translate(F.col("codon")), F.lit("*")), F.lit("X")).alias("a")))), lambda x: x["a"])
