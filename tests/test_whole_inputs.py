@@ -21,3 +21,21 @@ def test_profile_alignment_takes_all_taxa_and_sites(spark, sf_dir, monkeypatch):
     found = {r.chain: r for r in QUERIES["profile_alignment"](spark, sf_dir).collect()}
     assert set(found) == {str(t) for t in range(TAXA)} and all(r.pairs > 0 for r in found.values())
     assert seen["residues"] == {str(t): SITES // 3 for t in range(TAXA)} and max(seen["sites"]) == SITES // 3 and len(seen["sites"]) > 30
+
+
+def peaks_of(spark, scores):
+    rows = [("d", 0, 1, 2, site, float(g)) for site, g in scores]
+    return spark.createDataFrame(rows, "dataset string, a int, b int, c int, site int, g double")
+
+
+def test_consensus_is_the_heaviest_separated_set(spark):
+    # more than 10 separated centres all stay
+    found = X.consensus_breakpoints(peaks_of(spark, [(100 * k, 10 + k) for k in range(1, 31)])).collect()
+    assert sorted(r.breakpoint for r in found) == [100 * k for k in range(1, 31)] and [r.rank for r in found] == list(range(1, 31))
+    assert found[0].breakpoint == 3000
+    # a strong centre between two that are heavier together; the limit; the penalty
+    near = peaks_of(spark, [(100, 8), (110, 10), (120, 8)])
+    taken = lambda **options: [r.breakpoint for r in X.consensus_breakpoints(near, bandwidth=1.0, **options).collect()]
+    assert taken() == [100, 120]
+    assert taken(sites=130) == [110] and taken(sites=114) == []
+    assert taken(most=1) == [110] and taken(penalty=7.0) == [110] and taken(penalty=11.0) == []

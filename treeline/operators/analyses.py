@@ -308,20 +308,27 @@ def tree_segments(profiles: DataFrame, expected: tuple[float, ...] = (1.0, 3.0,
     return profiles.groupBy("dataset").applyInPandas(run, "dataset string, start int, end int, state int")
 
 
-def consensus_breakpoints(peaks: DataFrame, bandwidth: float = 20.0, apart: float = 15.0, most: int = 10) -> DataFrame:
-    """dataset, rank, breakpoint, score: peaks of triplets vote with a quadratic kernel, one vote for each triplet and centre, then the best separated centres."""
+def consensus_breakpoints(peaks: DataFrame, bandwidth: float = 20.0, apart: int = 15, most: int = 64, penalty: float = 2.5, sites: int | None = None) -> DataFrame:
+    """dataset, rank, breakpoint, score: peaks of triplets vote with a quadratic kernel, one vote for each triplet and centre.
+
+    Of the centres at least ``apart`` sites from each other, the set with the largest sum of score less ``penalty`` and
+    at most ``most`` centres, best first. With ``sites``, no centre is nearer than ``apart`` to an end of the alignment.
+    """
     p = peaks.select("dataset", F.concat_ws("-", "a", "b", "c").alias("triplet"), "site", "g")
     centres = p.select("dataset", F.col("site").alias("centre")).distinct()
     bin_ = lambda c: F.floor(F.col(c) / bandwidth)
     spread = p.withColumn("_bin", F.explode(F.array(bin_("site") - 1, bin_("site"), bin_("site") + 1)))
     near = centres.withColumn("_bin", bin_("centre")).join(spread, ["dataset", "_bin"]).withColumn("u", (F.col("site") - F.col("centre")) / bandwidth).filter("abs(u) < 1")
+    if sites is not None:
+        near = near.filter(F.col("centre").between(apart, sites - apart))
     votes = near.groupBy("dataset", "centre", "triplet").agg(F.max((1 - F.col("u") * F.col("u")) * F.col("g")).alias("v"))
     scores = votes.groupBy("dataset", "centre").agg(F.sum("v").alias("score"))
 
     def run(key, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("centre")
         at, s = rows["centre"].to_numpy(), rows["score"].round(9).to_numpy()
-        taken = hmm.suppress(at, s, apart, most)
+        taken = hmm.weighted_intervals(at, at, s - penalty, apart, min(most, len(at)))
+        taken = sorted(taken, key=lambda k: (-s[k], at[k]))
         return pd.DataFrame({"dataset": key[0], "rank": np.arange(1, len(taken) + 1, dtype=np.int32), "breakpoint": at[taken].astype(np.int32), "score": s[taken]})
 
     return scores.groupBy("dataset").applyInPandas(run, "dataset string, rank int, breakpoint int, score double")

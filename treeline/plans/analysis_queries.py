@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ..operators import analyses as X
+from ..relations import SITES
 from .helpers import F, query, relation, rounded
 
 
@@ -106,7 +107,7 @@ def consensus(spark, sf):
     from ..operators.windows import rolling_scan
 
     peaks = rolling_scan(triplet_events(relation(spark, sf, "aln")), 10).filter("peak AND g > 3").withColumn("dataset", F.lit("aln"))
-    return rounded(X.consensus_breakpoints(peaks))
+    return rounded(X.consensus_breakpoints(peaks, sites=SITES))
 
 
 @query("recombination_spr_path")
