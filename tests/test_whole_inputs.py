@@ -1,8 +1,7 @@
 """Queries and analyses take their whole input."""
 
-import pytest
-
 from treeline.operators import analyses as X
+from treeline.operators import grids as G
 from treeline.plans import registry
 from treeline.relations import SITES, TAXA
 
@@ -39,3 +38,16 @@ def test_consensus_is_the_heaviest_separated_set(spark):
     assert taken() == [100, 120]
     assert taken(sites=130) == [110] and taken(sites=114) == []
     assert taken(most=1) == [110] and taken(penalty=7.0) == [110] and taken(penalty=11.0) == []
+
+
+def test_site_grids_are_whole_and_arguments(spark):
+    rates, highs = G.site_rates(), G.transformed_rates(0.01, 10, 4)
+    assert len(rates) == 20 and abs(rates[0] - 0.00235) < 1e-5 and abs(rates[-1] - 34.472) < 1e-3
+    assert len(highs) == 8 and abs(highs[4] - 1) < 1e-12 and len(G.transformed_rates(0.01, 13, 6)) == 12
+    sequences, trees, _, _ = X.simulate_datasets(spark, 1, seed=11, taxa=5, codons=12)
+    whole = X.site_selection(sequences, trees).toPandas()
+    assert len(whole) == 12 and whole[["mean_alpha", "mean_beta"]].to_numpy().max() > 5  # the largest rate was 5
+    cut = X.site_selection(sequences, trees, rates=[1.0, 1.5, 2.0]).toPandas()
+    assert cut[["mean_alpha", "mean_beta"]].to_numpy().min() >= 1 and cut[["mean_alpha", "mean_beta"]].to_numpy().max() <= 2
+    found = X.episodic_selection(sequences, trees, alphas=[3.0], lows=[0.2], highs=[0.5, 4.0]).toPandas()
+    assert abs(found["mean_alpha"] - 3).max() < 1e-9 and abs(found["mean_low"] - 0.6).max() < 1e-9

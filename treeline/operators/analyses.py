@@ -15,8 +15,7 @@ from ..functions.codes import sense_codons
 from ..kernels import align as align_kernel
 from ..kernels import codon, hmm, inference, simulate, topology
 from ..sources.parsers import Node, parse_newick, write_newick
-
-GRID = [0.0, 0.1, 0.4, 0.7, 1.0, 2.0, 5.0]
+from .grids import site_rates, transformed_rates
 
 
 def _grouped(sequences: DataFrame, trees: DataFrame | None, fn, schema: str) -> DataFrame:
@@ -59,21 +58,22 @@ def fit_scale(tree: codon.Tree, model: codon.CodonModel, states: np.ndarray) ->
     return at
 
 
-def site_selection(sequences: DataFrame, trees: DataFrame, method: str = "em", threshold: float = 0.9, concentration: float = 0.5, fit: bool = True, seed: int = 1) -> DataFrame:
-    """Site posteriors of alpha and beta under a grid mixture, with a likelihood ratio of alpha = beta from the same surface."""
+def site_selection(sequences: DataFrame, trees: DataFrame, method: str = "em", threshold: float = 0.9, concentration: float = 0.5, fit: bool = True, seed: int = 1, rates: list[float] | None = None) -> DataFrame:
+    """Site posteriors of alpha and beta under a mixture over the grid rates x rates (20 x 20 by default), with a likelihood ratio of alpha = beta from the same surface."""
+    axis = np.array(site_rates() if rates is None else rates)
 
     def run(dataset, names, rows, newick):
         tree, model, states = _prepared(names, rows, newick)
         if fit:
             tree.length = tree.length * fit_scale(tree, model, states)[0]
-        a, b = (v.ravel() for v in np.meshgrid(GRID, GRID, indexing="ij"))
+        a, b = (v.ravel() for v in np.meshgrid(axis, axis, indexing="ij"))
         logl = codon.grid_likelihood(tree, model, states, a, b)
         l = inference.normal_columns(logl)  # noqa: E741
         theta = inference.dirichlet_em(l, concentration) if method == "em" else inference.gibbs(l, concentration, seed=seed)[0]
         post = theta[:, None] * l
         post /= post.sum(0)
         p, q = post[b > a].sum(0), post[b < a].sum(0)
-        fel = [inference.approximate_fel(logl[:, k].reshape(len(GRID), len(GRID)), np.array(GRID), np.array(GRID)) for k in range(logl.shape[1])]
+        fel = [inference.approximate_fel(logl[:, k].reshape(len(axis), len(axis)), axis, axis) for k in range(logl.shape[1])]
         out = pd.DataFrame({"site": np.arange(1, len(p) + 1, dtype=np.int32), "p_positive": p, "p_purifying": q, "mean_alpha": a @ post, "mean_beta": b @ post})
         out["selection"] = np.where(p > threshold, "positive", np.where(q > threshold, "purifying", "neutral"))
         out["lrt"] = [f["lrt"] for f in fel]
@@ -134,14 +134,20 @@ def two_group_selection(sequences: DataFrame, trees: DataFrame, draws: int = 300
     return _grouped(sequences, trees, run, "site int, p_first_greater double, p_second_greater double, p_first_positive double, p_second_positive double, mean_alpha double, mean_first double, mean_second double")
 
 
-def episodic_selection(sequences: DataFrame, trees: DataFrame, nodes: int = 4) -> DataFrame:
-    """Two-rate mixtures on every branch: posterior that the second ratio exceeds 1, with an empirical Bayes factor."""
+def episodic_selection(sequences: DataFrame, trees: DataFrame, nodes: int = 4, alphas: list[float] | None = None, lows: list[float] | None = None, highs: list[float] | None = None) -> DataFrame:
+    """Two-rate mixtures on every branch: posterior that the second ratio exceeds 1, with an empirical Bayes factor.
+
+    The grid is alphas x lows x highs, by default 8 x 8 x 8 transformed rates up to 10, 1 and 10.
+    """
+    alphas = transformed_rates(0.01, 10, 4) if alphas is None else alphas
+    lows = transformed_rates(0.01, 1, 7) if lows is None else lows
+    highs = transformed_rates(0.01, 10, 4) if highs is None else highs
 
     def run(dataset, names, rows, newick):
         tree, model, states = _prepared(names, rows, newick)
         x, w = np.polynomial.legendre.leggauss(nodes)
         x, w = (x + 1) / 2, w / 2
-        cells = [(a, low, high) for a in (0.5, 1.5) for low in (0.1, 0.7) for high in (0.5, 1.0, 3.0, 8.0)]
+        cells = [(a, low, high) for a in alphas for low in lows for high in highs]
         logl = []
         for a, low, high in cells:
             parts = [codon.mixture_likelihood(tree, model, states, [(1 - p, a, a * low), (p, a, a * high)]) + np.log(q) for p, q in zip(x, w, strict=True)]
@@ -151,7 +157,8 @@ def episodic_selection(sequences: DataFrame, trees: DataFrame, nodes: int = 4) -
         post = theta[:, None] * l
         post /= post.sum(0)
         a, low, high = np.array(cells).T
-        p, prior = post[high > 1].sum(0), float(np.clip(theta[high > 1].sum(), 1e-9, 1 - 1e-9))
+        above = high > 1 + 1e-9  # the transform of 1 need not be 1
+        p, prior = post[above].sum(0), float(np.clip(theta[above].sum(), 1e-9, 1 - 1e-9))
         bf = np.minimum(p, 1 - 1e-12) / np.maximum(1 - p, 1e-12) / (prior / (1 - prior))
         return pd.DataFrame({"site": np.arange(1, len(p) + 1, dtype=np.int32), "p_positive": p, "bayes_factor": bf, "mean_alpha": a @ post, "mean_low": (a * low) @ post, "mean_high": (a * high) @ post, "detected": bf > 100})
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +21,18 @@ def axis(spark: SparkSession, n: int, name: str, low: float = LOW, step: float =
     return spark.range(n).select(F.col("id").cast("int").alias(f"{name}_idx"), rate(F.lit(low) + F.col("id") * step).alias(name))
 
 
+def site_rates(n: int = 20) -> list[float]:
+    """Rates of the axes of a site-selection grid (fixed transform: 0.002 to 34.5 at n = 20, with a step near 1)."""
+    return [10 ** ((i + 1) / 6.578947368421053 - 1.502) - 0.0423174293933042 for i in range(n)]
+
+
+def transformed_rates(low: float, high: float, below_one: int) -> list[float]:
+    """Rates of equal steps of log10(rate + 0.05) from low, below_one of them up to 1, and on to high at most."""
+    start, stop = math.log10(low + OFFSET), math.log10(high + OFFSET)
+    step = (math.log10(1 + OFFSET) - start) / below_one
+    return [max(0.0, 10 ** (start + step * i) - OFFSET) for i in range(math.floor((stop - start) / step + 1e-12) + 1)]
+
+
 def selection_grid(spark: SparkSession, n: int) -> DataFrame:
     """n x n grid of synonymous and nonsynonymous rates, alpha-major."""
     a, b = axis(spark, n, "alpha"), axis(spark, n, "beta")
