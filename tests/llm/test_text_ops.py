@@ -8,11 +8,12 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from treeline.llm import bpe, common, langid, mixing, ngram_join, sst, substring_dedup, toxicity
+from treeline.llm import bpe, common, langid, mixing, ngram_join, sst, substring_dedup, toxicity, words
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -128,6 +129,58 @@ def test_substring_dedup(odd_docs, bucket):
     assert max(n for _, _, n, _ in want) > 0
 
 
+def thue_morse(n, letters="ab"):
+    return [letters[k.bit_count() % 2] for k in range(n)]
+
+
+def test_hashes_of_thue_morse_words():
+    """Words and sequences that differ in nothing but their pattern, which powers of an odd base modulo 2^64 can't tell apart."""
+    for n in (512, 1024, 4096):
+        pair = ["".join(thue_morse(n)), "".join(thue_morse(n, "ba"))]
+        found = words.words_of(pa.array(pair))
+        assert found.hash[0] != found.hash[1]
+        a, b = (words.words_of(pa.array([" ".join(thue_morse(n, ("x", "y")[::k]))])).hash for k in (1, -1))
+        for lane in (0, 1):
+            assert words.sequence_hash(a, np.array([0]), n, lane) != words.sequence_hash(b, np.array([0]), n, lane)
+        sets, begin = words.shingle_sets(words.words_of(pa.array([f"{w} a b c d e f" for w in pair])))
+        keys = ngram_join.set_keys(sets, begin)
+        assert keys[0] != keys[1]
+
+
+def test_sequence_hashes_are_of_the_words():
+    rng = random.Random(11)
+    text = [f"w{rng.randrange(3)}" for _ in range(400)]
+    found = words.words_of(pa.array([" ".join(text)]))
+    at = np.array([rng.randrange(300) for _ in range(3000)])
+    length = np.array([rng.choice([0, 1, 2, 3, 5, 8, 9, 35, 64, 70]) for _ in at])
+    one, two = (words.sequence_hash(found.hash, at, length, lane) for lane in (0, 1))
+    by_words = {}
+    for k, (a, n) in enumerate(zip(at, length, strict=True)):
+        by_words.setdefault(tuple(text[a : a + n]), set()).add((int(one[k]), int(two[k])))
+    assert all(len(v) == 1 for v in by_words.values())
+    assert len({h for v in by_words.values() for h in v}) == len(by_words)
+
+
+def test_odd_words_in_substring_dedup_and_joins(spark):
+    pair = ["".join(thue_morse(1024)), "".join(thue_morse(1024, "ba"))]
+    base = [f"c{k}" for k in range(34)]
+    texts = [" ".join([*base, pair[0]]), " ".join([*base, pair[1]]), " ".join(thue_morse(512, ["x", "y"])), " ".join(thue_morse(512, ["y", "x"]))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert keyed(substring_dedup.dedup(docs), "doc_id", "_n_words", "_n_removed", "_kept") == [(k, *b) for k, b in enumerate(brute_dedup(texts, 35))]
+    rows, nodes, _ = ngram_join.near_duplicates(docs)
+    assert nodes.count() == rows.select("set_key").distinct().count() == len({frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) for w in map(str.split, texts)})
+
+
+def test_equal_rows_are_spread(spark):
+    rng = random.Random(12)
+    text = " ".join(f"r{rng.randrange(10**6)}" for _ in range(60))
+    rows = [(1, text)] * 40 + [(None, text)] * 40 + [(2, text + " end"), (3, "short")] + [(k, " ".join(f"u{rng.randrange(10**6)}" for _ in range(50))) for k in range(10, 20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted((-1 if i is None else i, *b) for (i, _), b in zip(rows, brute_dedup([t for _, t in rows], 35), strict=True))
+    got = substring_dedup.dedup(docs, bucket_bytes=2_000).select(F.coalesce("doc_id", F.lit(-1)).alias("i"), "_n_words", "_n_removed", "_kept")
+    assert keyed(got, "i", "_n_words", "_n_removed", "_kept") == want
+
+
 def test_substring_dedup_of_mixed_passages(spark):
     rng = random.Random(5)
     pool = [[f"p{rng.randrange(30)}" for _ in range(50)] for _ in range(4)]

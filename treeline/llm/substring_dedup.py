@@ -10,11 +10,12 @@ window can only recur under a recurring anchor, and two windows of one run are n
 2. Documents are dealt to buckets of bounded size by hash, and with them one occurrence of each
    confirmed or open passage of the bucket. Each bucket compiles its shard of the passages into an
    Aho-Corasick automaton and streams all its documents through it, which finds every occurrence.
-3. Windows of open passages are counted by their own hashes over all documents; those that recur are
-   removed too.
+3. Windows of open passages are counted by their own hashes (128 bits) over all documents; those that
+   recur are removed too.
 
 A passage in a third of all documents gives one counted row for each batch in step 1 and one pattern
-for each bucket in step 2.
+for each bucket in step 2. Rows equal in doc_id and text that are too many for a bucket are spread over
+several, each with the row's patterns.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import Scratch, hide, map_arrow, map_groups, partitions
-from .words import Words, by_bytes, sequence_hash, starts_of, words_of
+from .words import Words, blocks, by_bytes, sequence_hash, starts_of, words_of
 
 WIDTH, GRAM = 35, 8
 #: Bytes of text in a bucket, on average; a longer text is a bucket's only large one.
@@ -58,13 +59,14 @@ def runs_of(words: Words, width: int = WIDTH, gram: int = GRAM) -> tuple[np.ndar
         none = np.empty(0, np.int64)
         return none, none, none, none, none
     n = len(words.hash)
-    grams = sequence_hash(words.hash, np.arange(n - gram + 1), gram)
+    known = blocks(words.hash, max(width, 2 * width - gram))  # the longest run
+    grams = sequence_hash(words.hash, np.arange(n - gram + 1), gram, known=known)
     least = _sliding_least(grams, width - gram + 1)[at]
     new = np.concatenate([[True], (least[1:] != least[:-1]) | (text[1:] != text[:-1])])
     begin = np.flatnonzero(new)
     windows = np.diff(np.append(begin, len(at)))
     first, size = at[begin], windows + width - 1
-    return first, size, text[begin], grams[least[begin]].view(np.int64), sequence_hash(words.hash, first, size).view(np.int64)
+    return first, size, text[begin], grams[least[begin]].view(np.int64), sequence_hash(words.hash, first, size, known=known).view(np.int64)
 
 
 def _anchor_rows(width: int, gram: int):
@@ -154,6 +156,11 @@ def _cover(n: int, first: np.ndarray, last: np.ndarray) -> np.ndarray:
     return np.cumsum(step[:-1]) > 0
 
 
+def _window_hashes(hashes: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+    """[2, window]: two independent hashes of the windows at these words."""
+    return np.stack([sequence_hash(hashes, at, width, lane).view(np.int64) for lane in (0, 1)])
+
+
 def _text_or_digest(kept: list[str], digest: bool) -> pa.Array:
     return pa.array([hashlib.sha256(x.encode()).hexdigest() if digest else x for x in kept], pa.string())
 
@@ -190,7 +197,7 @@ def _locate(names: list[str], width: int, digest: bool):
             if windows:
                 at = np.unique(np.concatenate(windows))
                 open_first.append(at.astype(np.int32))
-                open_hash.append(sequence_hash(words.hash[a:b], at, width).view(np.int64))
+                open_hash.append(_window_hashes(words.hash[a:b], at, width))
                 cover.append(np.flatnonzero(np.diff(np.concatenate([[False], removed, [False]]).astype(np.int8))).astype(np.int32))
                 n_removed.append(None)
                 kept.append(None)
@@ -206,14 +213,21 @@ def _locate(names: list[str], width: int, digest: bool):
         out |= {
             "_n_words": pa.array(n_words, pa.int64()), "_n_removed": pa.array(n_removed, pa.int64()), "_kept": pa.array(kept, pa.string()),
             "_text": pa.array([x if o else None for x, o in zip(text, is_open, strict=True)], pa.string()),
-            "_first": pa.array(open_first, pa.list_(pa.int32())), "_hash": pa.nulls(len(kept), pa.list_(pa.int64())), "_cover": pa.array(cover, pa.list_(pa.int32())),
+            "_first": pa.array(open_first, pa.list_(pa.int32())), "_hash": pa.nulls(len(kept), pa.list_(pa.int64())), "_hash2": pa.nulls(len(kept), pa.list_(pa.int64())), "_cover": pa.array(cover, pa.list_(pa.int32())),
         }
         out = pa.table(out)
         if not open_hash:
             return out
-        # one row more: the different open windows of the bucket (_hash) and how often each is there (_first)
-        different, n = np.unique(np.concatenate(open_hash), return_counts=True)
-        own = {"_bucket": group.column("_bucket")[:1], "_hash": pa.array([different], pa.list_(pa.int64())), "_first": pa.array([n.astype(np.int32)], pa.list_(pa.int32()))}
+        # one row more: the different open windows of the bucket (_hash, _hash2) and how often each is there (_first)
+        one, two = np.concatenate(open_hash, axis=1)
+        order = np.lexsort((two, one))
+        one, two = one[order], two[order]
+        new = np.flatnonzero(np.concatenate([[True], (one[1:] != one[:-1]) | (two[1:] != two[:-1])]))
+        n = np.diff(np.append(new, len(one)))
+        own = {
+            "_bucket": group.column("_bucket")[:1], "_hash": pa.array([one[new]], pa.list_(pa.int64())), "_hash2": pa.array([two[new]], pa.list_(pa.int64())),
+            "_first": pa.array([n.astype(np.int32)], pa.list_(pa.int32())),
+        }
         return pa.concat_tables([out, pa.table({c: own.get(c, pa.nulls(1, out.schema.field(c).type)) for c in out.column_names})])
 
     return locate
@@ -235,15 +249,18 @@ def _finish(columns: list[str], width: int, digest: bool):
         docs, rest = group.filter(pa.array(is_doc)), group.filter(pa.array(~is_doc))
         if not docs.num_rows:
             return None
-        again = np.sort(np.concatenate([np.empty(0, np.int64), *_lists(rest.column("_hash"))]))
+        again, again2 = (np.concatenate([np.empty(0, np.int64), *_lists(rest.column(c))]) for c in ("_hash", "_hash2"))
+        order = np.argsort(again, kind="stable")
+        again, again2 = again[order], again2[order]
         words = words_of(docs.column("_text"))
         gone, kept = [], []
         for t, (edges, first) in enumerate(zip(_lists(docs.column("_cover")), _lists(docs.column("_first")), strict=True)):
             a, b = int(words.first[t]), int(words.first[t + 1])
             n, more = b - a, first[:0]
             if len(again):
-                hashes = sequence_hash(words.hash[a:b], first, width).view(np.int64)
-                more = first[again[np.minimum(np.searchsorted(again, hashes), len(again) - 1)] == hashes]
+                one, two = _window_hashes(words.hash[a:b], first, width)
+                at = np.minimum(np.searchsorted(again, one), len(again) - 1)
+                more = first[(again[at] == one) & (again2[at] == two)]
             removed = _cover(n, np.concatenate([edges[0::2], more]), np.concatenate([edges[1::2], more + width]))
             gone.append(int(removed.sum()))
             kept.append(_kept(words, t, removed))
@@ -267,11 +284,20 @@ def dedup(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, digest: bool =
     scratch = Scratch(spark, "substring-dedup")
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, partitions(spark), -(-int(total) // bucket_bytes))
-    marked = docs.withColumn("_row", F.xxhash64("doc_id", "text")).withColumn("_bucket", F.pmod("_row", F.lit(buckets)).cast("long"))
+    keyed = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
+    # rows equal in doc_id and text that fill more than a bucket, and over how many buckets they go
+    heavy = keyed.groupBy("_row").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes")).filter((F.col("n") > 1) & (F.col("bytes") > bucket_bytes))
+    heavy = scratch.write(heavy.select("_row", F.ceil(F.col("bytes") / bucket_bytes).cast("int").alias("_parts")), "heavy")
+    place = lambda part: F.pmod(F.when(F.col("_parts").isNull(), F.col("_row")).otherwise(F.xxhash64("_row", part)), F.lit(buckets)).cast("long")
+    marked = keyed.join(heavy, "_row", "left").withColumn("_bucket", place(F.monotonically_increasing_id() % F.col("_parts")))
     counted = map_arrow(docs.select("text").filter("text is not null"), _anchor_rows(width, gram), "anchor long, run long, n long")
     counted = counted.groupBy("anchor").agg(F.sum("n").alias("n"), F.min("run").alias("low"), F.max("run").alias("high")).filter("n > 1")
     anchors = scratch.write(counted.select("anchor", (F.col("low") != F.col("high")).alias("open")), "anchors")
-    refs = map_arrow(marked.select("_bucket", "_row", "text").filter("text is not null"), _reference_rows(width, gram), "anchor long, bucket long, row long, place long")
+    texts = keyed.select("_row", "text").filter("text is not null")
+    once = texts.join(heavy, "_row").groupBy("_row").agg(F.first("text").alias("text"), F.first("_parts").alias("_parts")).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    known = texts.join(heavy, "_row", "left_anti").select(F.pmod("_row", F.lit(buckets)).cast("long").alias("_bucket"), "_row", "text")
+    known = known.unionByName(once.select(place(F.col("_part").cast("long")).alias("_bucket"), "_row", "text"))
+    refs = map_arrow(known, _reference_rows(width, gram), "anchor long, bucket long, row long, place long")
     refs = refs.join(anchors, "anchor").select(F.col("bucket").alias("_bucket"), F.col("row").alias("_row"), F.col("place").alias("_place"), F.col("open").alias("_open"))
     empty = [F.lit(None).cast(f.dataType).alias(f.name) for f in docs.schema.fields]
     both = marked.select("_bucket", "_row", F.lit(None).cast("long").alias("_place"), F.lit(None).cast("boolean").alias("_open"), *docs.columns).unionByName(
@@ -281,18 +307,20 @@ def dedup(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, digest: bool =
     fields = [T.StructField(f.name, f.dataType) for f in docs.schema.fields if f.name != "text"]
     long, text = T.LongType(), T.StringType()
     done = [T.StructField("_n_words", long), T.StructField("_n_removed", long), T.StructField("_kept", text)]
-    opened = [T.StructField("_text", text), T.StructField("_first", T.ArrayType(T.IntegerType())), T.StructField("_hash", T.ArrayType(long)), T.StructField("_cover", T.ArrayType(T.IntegerType()))]
+    opened = [T.StructField("_text", text), T.StructField("_first", T.ArrayType(T.IntegerType())), T.StructField("_hash", T.ArrayType(long)), T.StructField("_hash2", T.ArrayType(long)), T.StructField("_cover", T.ArrayType(T.IntegerType()))]
     spread = max(partitions(spark), min(buckets, 4 * partitions(spark)))
     located = map_groups(both, "_bucket", _locate(docs.columns, width, digest), T.StructType([T.StructField("_bucket", long), *fields, *done, *opened]), spread=spread)
     located = scratch.write(located, "located")
     ready = located.filter("_text is null and _n_words is not null").select(*columns, "_n_words", "_n_removed", "_kept")
-    waiting = located.filter("_text is not null").select("_bucket", *columns, "_n_words", "_cover", "_first", "_hash", "_text")
+    waiting = located.filter("_text is not null").select("_bucket", *columns, "_n_words", "_cover", "_first", "_hash", "_hash2", "_text")
     # a window in very many documents is one row for each bucket, counted and judged there
-    windows = located.filter("_n_words is null").select("_bucket", F.explode(F.arrays_zip("_hash", "_first")).alias("w")).select("_bucket", F.col("w._hash").alias("hash"), F.col("w._first").alias("n"))
-    again = windows.groupBy("hash").agg(F.sum("n").alias("n")).filter("n > 1").select("hash")
-    again = windows.select("_bucket", "hash").join(again, "hash").groupBy("_bucket").agg(F.collect_list("hash").alias("_hash"))
+    windows = located.filter("_n_words is null").select("_bucket", F.explode(F.arrays_zip("_hash", "_hash2", "_first")).alias("w"))
+    windows = windows.select("_bucket", F.col("w._hash").alias("hash"), F.col("w._hash2").alias("hash2"), F.col("w._first").alias("n"))
+    again = windows.groupBy("hash", "hash2").agg(F.sum("n").alias("n")).filter("n > 1").select("hash", "hash2")
+    again = windows.select("_bucket", "hash", "hash2").join(again, ["hash", "hash2"]).groupBy("_bucket").agg(F.collect_list(F.struct("hash", "hash2")).alias("w"))
+    again = again.select("_bucket", F.col("w.hash").alias("_hash"), F.col("w.hash2").alias("_hash2"))
     empty = {f.name: F.lit(None).cast(f.dataType).alias(f.name) for f in waiting.schema.fields}
-    both = waiting.unionByName(again.select("_bucket", *[c for n, c in empty.items() if n not in ("_bucket", "_hash")], "_hash"))
+    both = waiting.unionByName(again.select("_bucket", *[c for n, c in empty.items() if n not in ("_bucket", "_hash", "_hash2")], "_hash", "_hash2"))
     finished = map_groups(both, "_bucket", _finish(columns, width, digest), T.StructType([*fields, *done]), spread=spread)
     return scratch.keep(back(ready.unionByName(finished), "_n_words", "_n_removed", "_kept", without=("text",)))
 

@@ -1,4 +1,9 @@
-"""Words of many texts at once, as arrays: places in the bytes and 64-bit hashes."""
+"""Words of many texts at once, as arrays: places in the bytes and 64-bit hashes.
+
+A word's hash sums one random number for each byte and place in the word (tabulation), so no pattern
+of letters makes two words alike. A sequence's hash combines those of its two halves through a mixer,
+not by powers of a base, so no pattern of words does either.
+"""
 
 from __future__ import annotations
 
@@ -10,35 +15,29 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 _U = np.uint64
-_P = _U(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2^64
-_P_INV = _U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_rng = np.random.default_rng(20240229)
-_BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
+_GOLD = _U(0x9E3779B97F4A7C15)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_POWERS = {}
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
     """A finaliser: every bit of the argument decides every bit of the result."""
     x = x ^ (x >> _U(30))
-    x = x * _U(0xBF58476D1CE4E5B9)
+    x *= _U(0xBF58476D1CE4E5B9)
     x ^= x >> _U(27)
     x *= _U(0x94D049BB133111EB)
     x ^= x >> _U(31)
     return x
 
 
-def _powers(base: np.uint64, n: int) -> np.ndarray:
-    known = _POWERS.get(int(base))
-    if known is None or len(known) < n:
-        size = max(1 << 16, 1 << max(0, n - 1).bit_length())
-        known = np.full(size, base, _U)
-        known[0] = 1
-        known = np.multiply.accumulate(known)
-        if size <= 1 << 24:
-            _POWERS[int(base)] = known
-    return known[:n]
+def _numbers(at: np.ndarray) -> np.ndarray:
+    """One random number for each (place in a word, byte), given as place * 256 + byte."""
+    return mix64(at.astype(_U) * _GOLD + _U(0x1F83D9ABFB41BD6B))
+
+
+#: The numbers of the first places of a word; those of later places are made when met.
+_PLACES = 64
+_TABLE = _numbers(np.arange(_PLACES * 256))
 
 
 def by_bytes(batch: pa.RecordBatch, column: int, most: int = 1_000_000) -> Iterator[pa.RecordBatch]:
@@ -94,20 +93,64 @@ def words_of(column: pa.Array | pa.ChunkedArray, hashed: bool = True) -> Words:
     first = np.searchsorted(start, np.append(text_at, len(spread)))
     hashes = np.empty(0, _U)
     if hashed and len(start):
-        # sum of byte times P^place, moved to place 0, so equal words are equal anywhere
-        terms = _BYTE[spread] * _powers(_P, len(spread))
-        terms[~inside] = 0
-        sums = np.concatenate([[_U(0)], np.cumsum(terms, dtype=_U)])
-        hashes = mix64((sums[end] - sums[start]) * _powers(_P_INV, len(spread))[start] + (end - start).astype(_U))
+        size = end - start
+        at = np.flatnonzero(inside)
+        place = at - np.repeat(start, size)
+        key = place * 256 + spread[at]
+        if int(size.max()) <= _PLACES:
+            number = _TABLE[key]
+        else:
+            late = place >= _PLACES
+            number = _TABLE[np.where(late, 0, key)]
+            number[late] = _numbers(key[late])
+        sums = np.add.reduceat(number, np.cumsum(size) - size)
+        hashes = mix64(sums + size.astype(_U) * _GOLD)
     return Words(spread, start, end, first, hashes)
 
 
-def sequence_hash(hashes: np.ndarray, at: np.ndarray, length: np.ndarray | int) -> np.ndarray:
-    """Hash of the ``length`` words from each place ``at``, by prefix sums: any length at the same cost."""
-    n = len(hashes)
-    sums = np.concatenate([[_U(0)], np.cumsum(hashes * _powers(_P, n), dtype=_U)])
-    length = np.asarray(length, np.int64)
-    return mix64((sums[at + length] - sums[at]) * _powers(_P_INV, n + 1)[at] + length.astype(_U))
+def _join(left: np.ndarray, right: np.ndarray, salt: int) -> np.ndarray:
+    """Hashes of left and right side by side; the order counts."""
+    x = left * _U(0xD6E8FEB86659FD93)
+    x += right
+    x += _U(salt * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+    x ^= x >> _U(32)
+    x *= _U(0xD6E8FEB86659FD93)
+    x ^= x >> _U(29)
+    return x
+
+
+def blocks(hashes: np.ndarray, most: int, lane: int = 0) -> list[np.ndarray]:
+    """Hashes of the 1, 2, 4, ... words from each place on, up to the greatest power of two that ``most`` reaches."""
+    found, size = [mix64(hashes + _U(0xA0761D6478BD642F)) if lane else hashes], 1
+    while 2 * size <= most:
+        last = found[-1]
+        found.append(_join(last[: max(len(last) - size, 0)], last[size:], size))
+        size *= 2
+    return found
+
+
+def sequence_hash(hashes: np.ndarray, at: np.ndarray, length: np.ndarray | int, lane: int = 0, known: list[np.ndarray] | None = None) -> np.ndarray:
+    """Hash of the ``length`` words from each place ``at``: of the greatest blocks at both its ends, which meet or overlap.
+
+    Hashes of different lanes are independent, so two make one of 128 bits. ``known``: ``blocks`` of
+    these hashes, if there are some already.
+    """
+    at = np.asarray(at, np.int64)
+    length = np.broadcast_to(np.asarray(length, np.int64), at.shape)
+    if not len(at):
+        return np.empty(0, _U)
+    most = int(length.max())
+    known = known or blocks(hashes, most, lane)
+    out = np.zeros(len(at), _U)
+    level = np.frexp(length.astype(np.float64))[1] - 1  # length 0 is below all levels
+    for k in range(int(level.min()), int(level.max()) + 1):
+        if k < 0:
+            continue
+        some = np.flatnonzero(level == k) if int(level.min()) != k or int(level.max()) != k else slice(None)
+        begin, n = at[some], length[some]
+        end = begin + n - (1 << k)
+        out[some] = mix64(_join(known[k][begin], known[k][end], 101) + n.astype(_U) * _GOLD)
+    return out
 
 
 def starts_of(words: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
