@@ -1,7 +1,9 @@
 """Vectors, pages and the pipeline against brute force, with odd inputs."""
 
+import json
 import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -201,9 +203,133 @@ def test_template_text_is_dropped_within_articles(spark):
     assert got == [("south\nown {0}\nnorth\nx {0}" if k == 3 else "north\nown {0}\nsouth\nx {0}").format(k) for k in range(5)]
 
 
+def brute_template(htmls):
+    """Path and texts of a host's template from whole occurrence vectors, page by page."""
+    pages = {tuple(u.key for u in units): (units, elements) for units, elements in map(html_extract.parse, htmls) if units}
+    pages = list(pages.values())
+    n = len(pages)
+    on = {}
+    for k, (units, _) in enumerate(pages):
+        for u in units:
+            on.setdefault(u.key, [0] * n)[k] += 1
+    classes = {}
+    for key, vector in on.items():
+        have = sum(v > 0 for v in vector)
+        if have > 1 and 2 * have >= n:
+            classes.setdefault(tuple(vector), []).append(key)
+    texts = set()
+    for keys in classes.values():
+        orders = {tuple(dict.fromkeys(u.key for u in units if u.key in keys)) for units, _ in pages}
+        if len(orders - {()}) == 1:
+            texts |= set(keys)
+    every = [u for units, _ in pages for u in units]
+    paths = {p for _, e in pages for p in e}
+    times = {p: [e[p].count for _, e in pages if p in e] for p in paths}
+    once = {p for p, c in times.items() if 2 * len(c) >= n and 10 * sum(c) <= 11 * len(c)}
+    parent = {p: e[p].parent for _, e in pages for p in e}
+    named = {p for _, e in pages for p in e if e[p].article}
+
+    def mass(p):
+        return sum(u.weight * (1 if u.key in texts else 20) for u in every if p in u.chain)
+
+    def above(p):
+        while True:
+            p = parent[p]
+            if p in once:
+                return p
+
+    at = 0
+    while True:
+        best = None
+        for p in sorted(once - {0}):
+            if above(p) == at and mass(p) > 0 and (at not in named or p in named):
+                w = mass(p) * (html_extract.NAMED if p in named else 1)
+                if w >= html_extract.ENTER * (w + mass(at) - mass(p)):
+                    best = max(best or (0, 0), (w, p))
+        if best is None:
+            break
+        at = best[1]
+    room = sum(1 for u in every if at in u.chain)
+    share, gone = 0, {k for k in texts if not any(u.key == k and at in u.chain for u in every)}
+    for vector, keys in sorted(classes.items(), key=lambda c: -sum(v > 0 for v in c[0])):
+        inside = [k for k in keys if k in texts and any(u.key == k and at in u.chain for u in every)]
+        share += sum(vector) * len(inside) / room
+        if share <= 0.5:
+            gone |= set(inside)
+    return at, gone
+
+
+def scrambled(page, names):
+    """The page with nothing but div elements of meaningless classes where it has names."""
+    page = re.sub(r"<(nav|article|footer|header|section|aside|main)\b[^>]*>", lambda m: f'<div class="{names[m[1]]}">', page)
+    page = re.sub(r"</(nav|article|footer|header|section|aside|main)\s*>", "</div>", page)
+    return page.replace('class="ad"', f'class="{names["ad"]}"')
+
+
+def test_templates_against_brute_force(spark):
+    """Real pages and pages whose elements are all div, by whole vectors; the article comes out of both."""
+    table = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    rows = [r for r in table.collect() if r.url]
+    names = {"nav": "x81", "article": "x7", "footer": "x33", "header": "x4", "section": "x95", "aside": "x12", "main": "x60", "ad": "x48"}
+    plain = [(r.page_id, r.url, scrambled(r.html, names)) for r in rows]
+    for pages in (rows, plain):
+        by_host = {}
+        for _, url, page in pages:
+            by_host.setdefault(html_extract.host_of(url), []).append(page)
+        frame = spark.createDataFrame([tuple(r) for r in pages], "page_id long, url string, html string")
+        found = {r.host: json.loads(r.template) for r in html_extract.templates(frame).collect()}
+        assert set(found) == set(by_host)
+        for host, htmls in by_host.items():
+            at, gone = brute_template(htmls)
+            assert found[host]["path"][-1] == at, host
+            assert {t for _, slot in found[host]["slots"] for t in slot} == gone, host
+    known = {r.page_id: r.text for r in html_extract.main_text(table).collect()}
+    got = {r.page_id: r.text for r in html_extract.main_text(frame).collect()}
+    large = {h for h, pages in by_host.items() if len(pages) >= 4}
+    same = [got[i] == known[i] for i, url, _ in plain if html_extract.host_of(url) in large]
+    assert len(same) > 100 and all(same)
+    nothing = html_extract.Template(None)
+    assert all(html_extract.extract(r.html, nothing) != known[r.page_id] for r in rows)
+
+
+def test_slots_without_names(spark):
+    rng = random.Random(8)
+    prose = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    page = (
+        '<div class="k1"><div class="k2"><a href="/">Home</a> <a href="/x">{l}</a></div><div class="k3"><div class="k4">{t}</div><div>{a}</div><div>{b}</div></div>'
+        '<div class="k5">Same words here</div></div>'
+    )
+    parts = [dict(l=prose(3), t=prose(4), a=prose(60), b=prose(50)) for _ in range(6)]
+    assert texts_of(spark, [page.format(**p) for p in parts]) == ["{t}\n{a}\n{b}".format(**p) for p in parts]
+    # doubled rows change nothing
+    assert texts_of(spark, [page.format(**p) for p in parts for _ in (0, 1)]) == ["{t}\n{a}\n{b}".format(**p) for p in parts for _ in (0, 1)]
+    # a teaser in an article element beside a body in a plain div
+    page = '<body><article><p>{l}</p></article><div class="body"><h1>{t}</h1><p>{a}</p><p>{b}</p></div></body>'
+    assert texts_of(spark, [page.format(**p) for p in parts]) == ["{t}\n{a}\n{b}".format(**p) for p in parts]
+    # a page of another kind on the host is its own template
+    other = "<body><main><h1>Other</h1><p>Its own words.</p></main><footer>foot</footer></body>"
+    assert texts_of(spark, [page.format(**p) for p in parts] + [other])[-1] == "Other\nIts own words."
+
+
+def test_marks_within_articles(spark):
+    inside = (
+        '<p class="alert">Mind this {0}.</p><div class="related-work"><p>Others {0}.</p></div><section class="side-effects"><p>Effects {0}.</p></section>'
+        '<div class="ad-slot">Buy {0}</div><div class="share-buttons">Share {0}</div><section class="comments"><p>Me too {0}</p></section><aside>Aside {0}</aside>'
+        '<p>End <span class="share">tweet {0}</span>{0}.</p>'
+    )
+    page = "<body><article><h1>Title {0}</h1><p>Body {0}.</p>" + inside + "</article></body>"
+    for n in (1, 5):
+        got = texts_of(spark, [page.format(k) for k in range(n)])
+        assert got == [f"Title {k}\nBody {k}.\nMind this {k}.\nOthers {k}.\nEffects {k}.\nEnd {k}." for k in range(n)]
+
+
 def test_template_classes():
-    found = [(1, 4, 4, 0.1, "a"), (1, 4, 4, 0.9, "z"), (2, 4, 12, 0.3, "li"), (2, 4, 12, 0.35, "/li"), (3, 3, 3, 0.5, "x")]
-    assert html_extract.nest(found, 4) == {"pages": 4, "root": ["a", "z"], "slots": [[1, ["li", "/li"]], [1, ["x"]]]}
+    # vector, place, token, pages, times, kind, path, weight, units
+    members = [
+        (1, 0.0, 0, 4, 4, 1, 0, 1000, 40), (1, 0.0, 10, 4, 4, 1, 0, 900, 30), (1, 0.5, 11, 4, 4, 1, 0, 100, 8), (2, 0.2, 12, 4, 12, 1, 10, 600, 12),
+        (1, 0.1, 50, 4, 4, 0, 10, 80, 4), (1, 0.6, 51, 4, 4, 0, 11, 90, 4), (3, 0.7, 52, 3, 3, 0, 10, 30, 3),
+    ]
+    assert html_extract.nest(members, 4) == {"pages": 4, "path": [0, 10], "named": False, "slots": [[10, [50, 52]], [11, [51]]]}
     assert html_extract.host_of("HTTPS://u@A.example:80/x") == "a.example" and html_extract.host_of(None) == "" == html_extract.host_of("x/y")
 
 
