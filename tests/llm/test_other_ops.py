@@ -44,6 +44,7 @@ def cosine(a, b):
 @pytest.mark.parametrize("block", [8, 1024])
 def test_near_vectors(vectors, block, monkeypatch):
     monkeypatch.setattr(embed_dedup, "BLOCK", block)
+    monkeypatch.setattr(embed_dedup, "AT_ONCE", 10)
     rows = vectors.collect()
     n = len(rows)
     links, root = [0] * n, list(range(n))
@@ -74,6 +75,23 @@ def test_near_vectors(vectors, block, monkeypatch):
     assert embed_dedup.near_vectors(vectors.limit(0)).count() == 0
 
 
+def test_cells_hold_all_that_is_near():
+    rng = np.random.default_rng(14)
+    x = rng.standard_normal((400, 5)) * 0.2
+    tree = embed_dedup.Splits(x[:100], 5)
+    depth = rng.integers(0, 6, 400)
+    own, rows, cells = tree.cells(x, depth, 0.15)
+    reached = set(zip(rows.tolist(), cells.tolist(), strict=True))
+    assert all((k, c) in reached for k, c in enumerate(own.tolist())) and len(set(own[depth == 5].tolist())) > 16
+    pairs = 0
+    for i in range(400):
+        for j in range(400):
+            if depth[i] == depth[j] and np.linalg.norm(x[i] - x[j]) <= 0.15:
+                pairs += i != j
+                assert (i, own[j]) in reached
+    assert pairs > 50 and len(reached) < 400 * 20
+
+
 def test_reach_never_drops_a_pair():
     rng = np.random.default_rng(4)
     a = rng.standard_normal((60, 32))

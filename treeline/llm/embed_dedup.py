@@ -5,9 +5,10 @@ accumulate the product of the leading axes first; the rest of a product is at mo
 the two suffix norms (Cauchy-Schwarz), so pairs drop out, and a tile stops, as soon as the threshold
 is out of reach. Pairs that stay are decided on the original vectors in double precision.
 
-Tiles come from strips of the first two axes: two vectors whose cosine reaches the threshold are at
-most sqrt(2 - 2 threshold) apart on each axis, so they are in the same or neighbouring strips. A
-cell of strips is cut into blocks by hash, so its size bounds no task. Equal vectors are one node.
+Tiles are the cells of a tree of splits of the leading axes, as deep as a label has rows. Two vectors
+whose cosine reaches the threshold are at most sqrt(2 - 2 threshold) apart, so a vector is shipped
+only to cells whose box is that near to it on the leading axes. A cell of too many rows is cut into
+blocks by hash, so its size bounds no task. Equal vectors are one node.
 """
 
 from __future__ import annotations
@@ -26,8 +27,10 @@ from .ngram_join import forest
 from .vectors import cosines, matrix, usable
 
 THRESHOLD = 0.98
-#: Vectors in a block at most, on average.
-BLOCK = 1024
+#: Vectors in a block at most, on average, and in what two blocks compare at once.
+BLOCK, AT_ONCE = 4096, 1024
+#: Leading axes that the tree splits, its greatest depth, and the vectors (picked by hash) whose medians it splits at.
+LEADING, MOST_DEPTH, SAMPLE = 8, 12, 50_000
 #: Leading axes after which a tile looks whether any pair is still in reach.
 STEPS = (2, 4, 8, 16, 32, 64, 128, 256, 512, 1024)
 
@@ -63,6 +66,8 @@ def reach(a: np.ndarray, b: np.ndarray, turned_a: np.ndarray, turned_b: np.ndarr
     rest_b = np.sqrt(np.maximum(np.cumsum((turned_b**2)[:, ::-1], axis=1)[:, ::-1], 0))
     product, done = np.zeros((len(a), len(b))), 0
     alive = np.triu(np.ones(product.shape, bool), 1) if same else np.ones(product.shape, bool)
+    if not alive.any():
+        return np.empty(0, np.int64), np.empty(0, np.int64)
     for step in [s for s in STEPS if s < dims] + [dims]:
         product += turned_a[:, done:step] @ turned_b[:, done:step].T
         done = step
@@ -78,6 +83,49 @@ def reach(a: np.ndarray, b: np.ndarray, turned_a: np.ndarray, turned_b: np.ndarr
     return i[sure], j[sure]
 
 
+class Splits:
+    """A full binary tree over the leading axes: node k has children 2k and 2k + 1, the root is 1."""
+
+    def __init__(self, sample: np.ndarray, depth: int):
+        self.axis, self.at = np.zeros(1 << depth, np.int32), np.zeros(1 << depth)
+        held = {1: sample}
+        for node in range(1, 1 << depth):
+            x = held.pop(node, sample[:0])
+            if len(x):
+                self.axis[node] = int(np.argmax(x.std(axis=0)))
+                self.at[node] = float(np.median(x[:, self.axis[node]]))
+            low = x[:, self.axis[node]] <= self.at[node]
+            held[2 * node], held[2 * node + 1] = x[low], x[~low]
+
+    def cells(self, x: np.ndarray, depth: np.ndarray, width: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(cell of each row at its depth; and row, cell of each cell whose box is within ``width`` of the row)."""
+        own = np.ones(len(x), np.int64)
+        for level in range(int(depth.max(initial=0))):
+            deeper = depth > level
+            right = x[np.arange(len(x)), self.axis[own % len(self.axis)]] > self.at[own % len(self.axis)]
+            own[deeper] = 2 * own[deeper] + right[deeper]
+        rows, found = [], []
+        # rows that reach a node, and how far off its box they are on each axis, squared
+        open_ = [(1, 0, np.arange(len(x)), np.zeros(x.shape))]
+        while open_:
+            node, level, at, off = open_.pop()
+            here = depth[at] == level
+            rows.append(at[here])
+            found.append(np.full(int(here.sum()), node))
+            at, off = at[~here], off[~here]
+            if not len(at):
+                continue
+            a, gap = self.axis[node], x[at, self.axis[node]] - self.at[node]
+            for side in (0, 1):
+                beyond = np.maximum(gap, 0) if side == 0 else np.maximum(-gap, 0)
+                away = off.copy()
+                away[:, a] = np.maximum(away[:, a], beyond**2)
+                near = away.sum(axis=1) <= width * width
+                if near.any():
+                    open_.append((2 * node + side, level + 1, at[near], away[near]))
+        return own, np.concatenate(rows), np.concatenate(found)
+
+
 def _compare(turns: dict[int, np.ndarray], threshold: float):
     def compare(group: pa.Table) -> pa.Table | None:
         """Rows of one pair of blocks: key, side (all 0 in a block with itself), cross, copies, embedding."""
@@ -89,10 +137,15 @@ def _compare(turns: dict[int, np.ndarray], threshold: float):
         b = np.flatnonzero(side == 1) if cross else a
         if not len(a) or not len(b):
             return None
-        i, j = reach(x[a], x[b], turned[a], turned[b], threshold, not cross)
+        pairs = []
+        for lo in range(0, len(a), AT_ONCE):
+            for hi in range(0 if cross else lo, len(b), AT_ONCE):
+                m, n = a[lo : lo + AT_ONCE], b[hi : hi + AT_ONCE]
+                i, j = reach(x[m], x[n], turned[m], turned[n], threshold, not cross and lo == hi)
+                pairs.append((m[i], n[j]))
+        i, j = (np.concatenate(k) for k in zip(*pairs, strict=True))
         if not len(i):
             return None
-        i, j = a[i], b[j]
         links = np.bincount(i, copies[j], len(keys)).astype(np.int64) + np.bincount(j, copies[i], len(keys)).astype(np.int64)
         rank = sorted(range(len(keys)), key=keys.__getitem__)
         place = np.empty(len(keys), np.int64)
@@ -126,27 +179,43 @@ def near_vectors(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     nodes = scratch.write(nodes.withColumn("dim", F.size("embedding")), "nodes")
     turns = axes(nodes)
     width = math.sqrt(max(2 - 2 * threshold, 0)) + 1e-9
-
-    def strips(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sizes = nodes.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("n"))
+    sizes = scratch.write(sizes.withColumn("depth", F.least(F.lit(MOST_DEPTH), F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / BLOCK)))).cast("int")), "sizes")
+    # the deepest tree that a label needs, and a bounded sample of each dimension to split
+    splits: dict[int, Splits] = {}
+    for row in sizes.groupBy("dim").agg(F.max("depth").alias("depth"), F.sum("n").alias("n")).collect():
+        lead = np.zeros((0, min(LEADING, row.dim)))
+        if row.depth:
+            picked = nodes.filter((F.col("dim") == row.dim) & (F.pmod(F.xxhash64("key"), F.lit(1_000_003)) <= int(1_000_003 * min(1.0, SAMPLE / row.n)))).select("embedding")
+            x = np.array([r.embedding for r in picked.limit(2 * SAMPLE).collect()], float)
+            lead = x / np.linalg.norm(x, axis=1, keepdims=True) @ turns[row.dim][:, :LEADING]
+        splits[row.dim] = Splits(lead, row.depth)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            dims = batch.column(2).to_numpy(zero_copy_only=False)
-            place = np.zeros((len(batch), 2), np.int32)
+            dims, depth = batch.column(2).to_numpy(zero_copy_only=False), batch.column(5).to_numpy(zero_copy_only=False)
+            own, near = np.ones(len(batch), np.int64), [None] * len(batch)
             for dim in np.unique(dims):
                 at = np.flatnonzero(dims == dim)
                 x = matrix(batch.column(1).take(pa.array(at)))
-                lead = x / np.linalg.norm(x, axis=1, keepdims=True) @ turns[int(dim)][:, :2]
-                place[at, : lead.shape[1]] = np.floor(lead / width)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(place[:, 0]), pa.array(place[:, 1])], ["key", "p", "q"])
-
-    placed = nodes.join(map_arrow(nodes.select("key", "embedding", "dim"), strips, "key binary, p int, q int"), "key")
-    cells = placed.groupBy("label", "dim", "p", "q").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    placed = placed.join(cells, ["label", "dim", "p", "q"]).withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-    # each row meets its own cell and the eight around it
-    around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-    near = cells.select("label", "dim", F.col("p").alias("np"), F.col("q").alias("nq"), F.col("blocks").alias("n_blocks"))
-    met = placed.withColumn("to", around).withColumn("np", F.col("p") + F.col("to.i")).withColumn("nq", F.col("q") + F.col("to.j")).join(near, ["label", "dim", "np", "nq"])
+                lead = x / np.linalg.norm(x, axis=1, keepdims=True) @ turns[int(dim)][:, :LEADING]
+                own[at], rows, cells = splits[int(dim)].cells(lead, depth[at], width)
+                order = np.argsort(rows, kind="stable")
+                edges = np.searchsorted(rows[order], np.arange(len(at) + 1))
+                for k, row in enumerate(at):
+                    near[row] = cells[order[edges[k] : edges[k + 1]]]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(own.astype(np.int32)), pa.array(near, pa.list_(pa.int32()))], ["key", "embedding", "dim", "label", "copies", "cell", "near"])
+
+    fields = {f.name: f.dataType.simpleString() for f in nodes.schema.fields}
+    schema = f"key binary, embedding {fields['embedding']}, dim int, label {fields['label']}, copies long, cell int, near array<int>"
+    placed = map_arrow(nodes.join(sizes, ["label", "dim"]).select("key", "embedding", "dim", "label", "copies", "depth"), place, schema)
+    placed = scratch.write(placed, "placed")
+    cells = placed.groupBy("label", "dim", "cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    placed = placed.join(cells, ["label", "dim", "cell"]).withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    near = cells.select("label", "dim", F.col("cell").alias("n_cell"), F.col("blocks").alias("n_blocks"))
+    met = placed.withColumn("n_cell", F.explode("near")).join(near, ["label", "dim", "n_cell"])
     met = met.withColumn("n_block", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
-    mine, other = F.struct("p", "q", "block"), F.struct(F.col("np").alias("p"), F.col("nq").alias("q"), F.col("n_block").alias("block"))
+    mine, other = F.struct("cell", "block"), F.struct(F.col("n_cell").alias("cell"), F.col("n_block").alias("block"))
     tiled = met.select(
         F.xxhash64("label", "dim", F.least(mine, other), F.greatest(mine, other)).alias("task"),
         F.when(mine <= other, 0).otherwise(1).alias("side"), (mine != other).alias("cross"), "key", "copies", "embedding",
