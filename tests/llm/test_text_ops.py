@@ -394,6 +394,31 @@ def test_misspelling_shares_its_score(spark):
     assert (model.scores([rows[1][1]]) == toxicity.learn(docs.repartition(7), marks).scores([rows[1][1]])).all()
 
 
+def test_toxicity_gradients():
+    rng = np.random.default_rng(9)
+    bag, e, w, b = rng.random((6, 5)) / 40, rng.standard_normal((5, 3)), rng.standard_normal((3, 2)), rng.standard_normal(2)
+    toxic, weight = np.array([0, 1, 1, 0, 1, 0]), rng.random(6)
+    _, *grads = toxicity.gradients(bag, e, w, b, toxic, weight)
+    for value, grad in zip((e, w, b), grads, strict=True):
+        for at in np.ndindex(value.shape):
+            old, d = value[at], 1e-6
+            value[at] = old + d
+            up = toxicity.gradients(bag, e, w, b, toxic, weight)[0]
+            value[at] = old - d
+            down = toxicity.gradients(bag, e, w, b, toxic, weight)[0]
+            value[at] = old
+            assert grad[at] == pytest.approx((up - down) / (2 * d), abs=1e-5)
+
+
+def test_repeated_documents_teach_once(spark):
+    rows = [(k, f"plain text number{k} " * 5) for k in range(60)] + [(100 + k, f"awful words {k}") for k in range(60)]
+    labels = spark.createDataFrame([(i, int(i >= 100)) for i, _ in rows], "doc_id long, toxic int")
+    once, often = (spark.createDataFrame(r, "doc_id long, text string") for r in (rows, rows + [rows[70]] * 300 + [rows[3]] * 50))
+    assert (toxicity.learn(once, labels).buckets == toxicity.learn(often, labels).buckets).all()
+    few = toxicity.learn(once, labels, learn_bytes=3_000)
+    assert (few.buckets != 0).sum() < (toxicity.learn(once, labels).buckets != 0).sum()
+
+
 def test_toxicity_of_odd_docs(spark, odd_docs, no_docs):
     labels = spark.createDataFrame([(1, 1), (None, 1), (3, None), (9, 0), (12, 0), (12, 0)], "doc_id long, toxic int")
     none = labels.filter("false")

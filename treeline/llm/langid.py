@@ -105,7 +105,7 @@ def learn(docs: DataFrame, size: int = PROFILE, learn_docs: int = LEARN_DOCS) ->
     share = known.groupBy("lang").agg((F.lit(float(learn_docs)) / F.count(F.lit(1))).alias("share")).collect()
     if not share:
         return Profiles({}, size)
-    pick = F.pmod(F.xxhash64(F.lit("language"), F.col("doc_id")), F.lit(1_000_003)) / 1_000_003.0
+    pick = F.pmod(F.xxhash64(F.lit("language"), F.col("doc_id"), F.col("text")), F.lit(1_000_003)) / 1_000_003.0
     chosen = known.join(F.broadcast(docs.sparkSession.createDataFrame([(r.lang, r.share) for r in share], "lang string, share double")), "lang")
     chosen = chosen.filter(pick < F.col("share")).select("lang", "text")
 

@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,15 +23,16 @@ from .common import held_out, hide, map_arrow
 from .words import mix64
 
 BUCKETS, DIMS, SIZES = 1 << 17, 8, (3, 4, 5)
-#: Learning reads about this many labelled documents of each class, those with the smallest hashes. One task holds them
-#: as bucket weights, about 20 kB each.
-LEARN_DOCS = 3000
+#: Learning reads about this many labelled documents of each class, those with the smallest hashes, and of those what
+#: fits into so many bytes as bucket weights (about 20 kB each), as one task holds them.
+LEARN_DOCS, LEARN_BYTES = 3000, 240_000_000
 #: What an average is multiplied by before the softmax: a few telling words in a hundred must reach a verdict.
 GAIN = 40.0
 EPOCHS, BATCH, RATE = 8, 64, 0.02
 STEPS, VALIDATE = 600, 7
-#: Weight decay in units of the rate, and the number of documents that give an n-gram half of its learned weight.
-DECAY, SUPPORT = 1.0, 20.0
+#: Weight decay in units of the rate, and the documents that an n-gram must be in to be learned at all: both the best
+#: of a few by three-fold cross-validation over the rows of sf0.1 that may be learned from.
+DECAY, LEAST_DOCS = 1.0, 20
 
 _WORD_CHAR = np.full(0x110000, 2, np.uint8)  # 2: not looked up yet
 _U = np.uint64
@@ -115,11 +116,27 @@ class Model:
         return 1.0 / (1.0 + np.exp(-np.clip(GAIN * mean + self.bias, -60, 60)))
 
 
-def train(rows: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, share: float | None = None, seed: int = 8, epochs: int = EPOCHS) -> Model:
+def gradients(bag: np.ndarray, e: np.ndarray, w: np.ndarray, b: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
+    """Weighted mean cross-entropy of documents, given as [document, n-gram] weights, and its gradients by e, w and b."""
+    x = bag @ e * np.asarray(GAIN, e.dtype)
+    z = x @ w + b
+    z -= z.max(axis=1, keepdims=True)
+    p = np.exp(z)
+    p /= p.sum(axis=1, keepdims=True)
+    at = np.arange(len(toxic))
+    loss = float(-(np.log(p[at, toxic]) * weight).mean())
+    p[at, toxic] -= 1
+    p *= weight[:, None] / len(toxic)
+    return loss, bag.T @ (p @ w.T) * np.asarray(GAIN, e.dtype), x.T @ p, p.sum(axis=0)
+
+
+def train(rows: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, share: float | None = None, seed: int = 8, epochs: int = EPOCHS, least_docs: int = LEAST_DOCS) -> Model:
     """Adam on mini-batches, embeddings and softmax weights together, classes weighing the same.
 
-    Few rows are read more often, up to STEPS batches. One row in VALIDATE is held back: the bias is
-    moved to where its F1 is largest, at the toxic ``share`` of all labels (by default that of the rows).
+    n-grams of fewer than ``least_docs`` documents say nothing (of so few documents that none has as
+    many, all count). Few rows are read more often, up to STEPS batches. One row in VALIDATE is held
+    back: the bias is moved to where its F1 is largest, at the toxic ``share`` of all labels (by
+    default that of the rows).
     """
     rng = np.random.default_rng(seed)
     toxic = np.asarray(toxic, np.int64)
@@ -132,35 +149,29 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, share: f
     if toxic.min() == toxic.max():
         rows, toxic, held = every, every_toxic, held[:0]
     epochs = max(epochs, -(-STEPS * BATCH // len(rows)))
-    e = (rng.standard_normal((BUCKETS, DIMS)) * 0.1).astype(np.float32)
+    count = np.bincount(np.concatenate([r[0] for r in rows]), minlength=BUCKETS)
+    learned = np.flatnonzero(count >= min(least_docs, max(1, count.max() // 2)))
+    place = np.full(BUCKETS, -1, np.int64)
+    place[learned] = np.arange(len(learned))
+    rows = [(place[i][place[i] >= 0], x[place[i] >= 0]) for i, x in rows]
+    e = (rng.standard_normal((len(learned), DIMS)) * 0.1).astype(np.float32)
     w = (rng.standard_normal((DIMS, 2)) * 0.5).astype(np.float32)
     b = np.zeros(2, np.float32)
     moments = [np.zeros_like(x) for x in (e, e, w, w, b, b)]
     class_weight = (len(toxic) / 2.0 / np.bincount(toxic, minlength=2))[toxic].astype(np.float32)
-    count = np.bincount(np.concatenate([r[0] for r in rows]), minlength=BUCKETS)
     step = 0
     for epoch in range(epochs):
-        rate = RATE * (1 - epoch / epochs)
+        rate = np.float32(RATE * (1 - epoch / epochs))
         order = rng.permutation(len(rows))
         for lo in range(0, len(order), BATCH):
             pick = order[lo : lo + BATCH]
-            index = np.concatenate([rows[k][0] for k in pick])
-            weight = np.concatenate([rows[k][1] for k in pick])
-            doc = np.repeat(np.arange(len(pick)), [len(rows[k][0]) for k in pick])
-            used, at = np.unique(index, return_inverse=True)
+            used, at = np.unique(np.concatenate([rows[k][0] for k in pick]), return_inverse=True)
+            bag = np.zeros((len(pick), len(used)), np.float32)
+            bag[np.repeat(np.arange(len(pick)), [len(rows[k][0]) for k in pick]), at] = np.concatenate([rows[k][1] for k in pick])
             own = e[used]
-            x = np.stack([np.bincount(doc, weight * own[at, d], len(pick)) for d in range(DIMS)], axis=1).astype(np.float32) * GAIN
-            z = x @ w + b
-            z -= z.max(axis=1, keepdims=True)
-            p = np.exp(z)
-            p /= p.sum(axis=1, keepdims=True)
-            p[np.arange(len(pick)), toxic[pick]] -= 1
-            p *= class_weight[pick, None] / len(pick)
-            gw, gb = x.T @ p, p.sum(axis=0)
-            gx = (p @ w.T) * GAIN
-            ge = np.stack([np.bincount(at, weight * gx[doc, d], len(used)) for d in range(DIMS)], axis=1).astype(np.float32)
+            _, ge, gw, gb = gradients(bag, own, w, b, toxic[pick], class_weight[pick])
             step += 1
-            fix = np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
+            fix = np.float32(np.sqrt(1 - 0.999**step) / (1 - 0.9**step))
             # only rows met in this batch move
             m, v = moments[0][used] * 0.9 + ge * 0.1, moments[1][used] * 0.999 + ge * ge * 0.001
             moments[0][used], moments[1][used] = m, v
@@ -169,8 +180,8 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, share: f
                 moments[k] = moments[k] * 0.9 + grad * 0.1
                 moments[k + 1] = moments[k + 1] * 0.999 + grad * grad * 0.001
                 value -= rate * fix * moments[k] / (np.sqrt(moments[k + 1]) + 1e-8)
-    table = e @ (w[:, 1] - w[:, 0])
-    table *= count / (count + SUPPORT)  # what few documents had says little
+    table = np.zeros(BUCKETS, np.float32)
+    table[learned] = e @ (w[:, 1] - w[:, 0])
     model = Model(table, b[1] - b[0])
     if not len(held):
         return model
@@ -188,8 +199,11 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, share: f
     return Model(table, model.bias - float(logit[order][k] + after) / 2)
 
 
-def learn(docs: DataFrame, labels: DataFrame, learn_docs: int = LEARN_DOCS, seed: int = 8) -> Model:
-    """A model of the labelled documents that are not held out; a doc_id with both labels counts as toxic. No labels: everything scores 0."""
+def learn(docs: DataFrame, labels: DataFrame, learn_docs: int = LEARN_DOCS, learn_bytes: int = LEARN_BYTES, seed: int = 8) -> Model:
+    """A model of the labelled documents that are not held out; a doc_id with both labels counts as toxic. No labels: everything scores 0.
+
+    Of several rows of a doc_id the one with the least hash of its text teaches, so ``learn_docs`` bounds the rows too.
+    """
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     counts = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
     share = {k: min(1.0, learn_docs / n) for k, n in counts.items()}
@@ -208,17 +222,23 @@ def learn(docs: DataFrame, labels: DataFrame, learn_docs: int = LEARN_DOCS, seed
 
     # the chosen ids are few by their bound, so this join reads the documents without a shuffle
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))), "doc_id")
-    rows = map_arrow(rows.select("doc_id", "toxic", "text").filter("text is not null"), gather, "doc_id long, toxic int, buckets binary, weights binary")
+    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
+    rows = rows.filter("text is not null").withColumn("n", F.row_number().over(first)).filter("n = 1")
+    rows = map_arrow(rows.select("doc_id", "toxic", "text"), gather, "doc_id long, toxic int, buckets binary, weights binary")
     toxic_share = counts.get(1, 0) / sum(counts.values())
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [r for b in batches for r in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True)]
-        got.sort(key=lambda r: (r[0], r[2]))
+        got, held = [], 0
+        for b in batches:
+            for r in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
+                held += len(r[2]) + len(r[3])
+                if held <= learn_bytes:
+                    got.append(r)
         model = train([(np.frombuffer(r[2], np.int32), np.frombuffer(r[3], np.float32)) for r in got], np.array([r[1] for r in got], np.int64), toxic_share, seed)
         yield pa.RecordBatch.from_arrays([pa.array([model.buckets.tobytes()], pa.binary()), pa.array([model.bias])], ["buckets", "bias"])
 
     # the sample is bounded, so one task trains on it; the driver gets a float for each bucket
-    made = map_arrow(rows.repartition(1), fit, "buckets binary, bias double").first()
+    made = map_arrow(rows.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id"), fit, "buckets binary, bias double").first()
     return Model(np.frombuffer(made.buckets, np.float32), made.bias)
 
 
