@@ -24,8 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 #: Every window of 35 words as one text, those that occur more than once, and the words that they cover.
 OP2_SQL = r"""
 WITH d AS (SELECT doc_id, COALESCE(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
-x AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d),
-k AS (SELECT doc_id, i, w[i] AS word, CASE WHEN i + 34 <= len(w) THEN md5(array_to_string(w[i:i + 34], ' ')) END AS h FROM x),
+k AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS word, unnest(list_transform(range(1, len(w) + 1), lambda i: CASE WHEN i + 34 <= len(w) THEN md5(array_to_string(w[i:i + 34], ' ')) END)) AS h FROM d),
 r AS (SELECT h FROM k WHERE h IS NOT NULL GROUP BY h HAVING COUNT(*) > 1),
 c AS (SELECT doc_id, i, word, COALESCE(MAX((r.h IS NOT NULL)::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 34 PRECEDING AND CURRENT ROW), 0) = 1 AS gone FROM k LEFT JOIN r USING (h)),
 g AS (SELECT doc_id, COUNT(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS kept FROM c GROUP BY doc_id)
@@ -59,8 +58,8 @@ OP10_SQL = r"""
 WITH bits AS (SELECT doc_id, lang, text, list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(doc_id::VARCHAR, ''), lambda ch: ascii(ch)::BIGINT)),
     lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: xor(x >> 1, 3988292384::BIGINT * (x & 1)))) AS crc FROM documents),
 d AS (SELECT doc_id, lang, COALESCE(xor(crc, 4294967295::BIGINT) % 5 = 0, false) AS held_out, ' ' || trim(regexp_replace(lower(COALESCE(text, '')), '[^\p{L}]+', ' ', 'g')) || ' ' AS x, row_number() OVER () AS r FROM bits),
-i AS (SELECT r, unnest(range(1, length(x))) AS i, string_split(x, '') AS cs FROM d WHERE length(x) > 2),
-ch AS (SELECT r, i, CASE cs[i] WHEN ' ' THEN 1 ELSE unicode(cs[i]) END::BIGINT AS a, CASE cs[i + 1] WHEN ' ' THEN 1 ELSE unicode(cs[i + 1]) END::BIGINT AS b, CASE cs[i + 2] WHEN ' ' THEN 1 ELSE unicode(cs[i + 2]) END::BIGINT AS c FROM i),
+i AS (SELECT r, list_transform(string_split(x, ''), lambda ch: CASE ch WHEN ' ' THEN 1 ELSE unicode(ch) END::BIGINT) AS cs FROM d WHERE length(x) > 2),
+ch AS (SELECT * FROM (SELECT r, unnest(cs) AS a, unnest(cs[2:]) AS b, unnest(cs[3:]) AS c FROM i) WHERE b IS NOT NULL),
 g AS (SELECT r, a AS code FROM ch WHERE a > 1 UNION ALL SELECT r, a + (b << 21) FROM ch UNION ALL SELECT r, a + (b << 21) + (c << 42) FROM ch WHERE b > 1 AND c > 0),
 n AS MATERIALIZED (SELECT r, code, COUNT(*) AS n FROM g GROUP BY r, code),
 p AS MATERIALIZED (SELECT lang, code, place FROM (SELECT lang, code, row_number() OVER (PARTITION BY lang ORDER BY SUM(n) DESC, code) - 1 AS place FROM n JOIN d USING (r) WHERE NOT held_out AND lang IS NOT NULL GROUP BY lang, code) WHERE place < 400),
