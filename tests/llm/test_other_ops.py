@@ -150,6 +150,24 @@ def test_forest_recall():
     assert hit / 300 >= 0.9
 
 
+def test_recall_of_the_query_through_shards(spark):
+    rng = np.random.default_rng(16)
+    x = rng.standard_normal((6000, 64)).astype(np.float32)
+    rows = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>")
+    q = np.arange(0, 6000, 50)
+    n = x.astype(float)
+    n /= np.linalg.norm(n, axis=1, keepdims=True)
+    c = n[q] @ n.T
+    c[np.arange(len(q)), q] = -2
+    top = {int(k): set(np.argsort(-row)[:5].tolist()) for k, row in zip(q, c, strict=True)}
+    found = {}
+    for r in ann.nearest(rows, F.col("vec_id") % 50 == 0, shard_rows=1500).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+        assert r.score == pytest.approx(cosine(x[r.query_id], x[r.vec_id]), abs=1e-12)
+    assert all(len(v) == 5 for v in found.values()) and set(found) == set(top)
+    assert sum(len(found[k] & top[k]) for k in top) / (5 * len(top)) >= 0.9
+
+
 def test_forest_prefixes_are_the_longest():
     rng = np.random.default_rng(7)
     x = rng.standard_normal((200, 16))
@@ -356,18 +374,3 @@ def test_vectors_of_occurrences_ignore_order(spark):
     one = {r.host: r.template for r in html_extract.templates(pages).collect()}
     two = {r.host: r.template for r in html_extract.templates(pages.repartition(7)).collect()}
     assert one == two and len(one) > 3
-
-
-def test_pipeline_is_its_stages(spark):
-    corpus_pipeline = pytest.importorskip("corpus_pipeline")
-    from treeline.llm import bpe
-
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    at = docs
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        at = stage(spark, at, "/root/testdata/sf0.001")
-        assert at.columns == docs.columns, name
-        at = at.cache()
-    want = sorted(map(tuple, bpe.encode_table(at).collect()))
-    assert sorted(map(tuple, corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect())) == want
-    assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "ngram_jaccard_join", "substring_dedup", "mixing", "bpe"]

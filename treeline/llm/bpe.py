@@ -24,8 +24,10 @@ from .common import map_arrow
 
 #: The word pattern of byte-level BPE vocabularies (fixed value of the published format).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Remembered words and fragments per worker, about 60 MB; then it starts anew.
-REMEMBER = 200_000
+#: Bytes of remembered words and fragments per worker, by a rough count of what they take; then it starts anew.
+REMEMBER_BYTES = 100_000_000
+#: Words that are looked up at once.
+AT_ONCE = 50_000
 
 
 #: Unicode white space, spelled out as engines differ in the control characters U+001C to U+001F (fixed values).
@@ -81,6 +83,7 @@ class ForcedBoundaryBPE:
         self._latin_words, self._beyond = _latin()
         self.special = regex.compile("(" + "|".join(regex.escape(x) for x in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
         self.known: dict[bytes, list[int]] = {}
+        self.known_bytes = self.text_bytes = 0
         self.as_text: dict[str, tuple[str, bytes]] = {}
         self.as_array = _Arrays(self)
 
@@ -108,11 +111,13 @@ class ForcedBoundaryBPE:
         for fragment in fragments:
             ids = self.known.get(fragment)
             if ids is None:
-                if len(self.known) >= REMEMBER:
+                if self.known_bytes >= REMEMBER_BYTES // 4:
                     self.known.clear()
+                    self.known_bytes = 0
                 ids = self.merge(fragment)
                 if len(fragment) <= 64:
                     self.known[fragment] = ids
+                    self.known_bytes += 250 + 10 * len(fragment)
             out += ids
         return out
 
@@ -126,12 +131,15 @@ class ForcedBoundaryBPE:
                 out.append((str(i), self.table[i]))
                 continue
             words = self.words(part)
-            for word in {*words}.difference(known):
-                if len(known) >= REMEMBER:
+            for lo in range(0, len(words), AT_ONCE):
+                some = words[lo : lo + AT_ONCE]
+                if self.text_bytes >= REMEMBER_BYTES:
                     known.clear()
-                    return self.pieces(text) if len({*words}) < REMEMBER // 2 else [self.piece(w) for w in self._all_words(text)]
-                known[word] = self.piece(word)
-            out += map(known.__getitem__, words)
+                    self.text_bytes = 0
+                for word in {*some}.difference(known):
+                    known[word] = self.piece(word)
+                    self.text_bytes += 300 + 10 * len(word)
+                out += map(known.__getitem__, some)
         return out
 
     def piece(self, word: str) -> tuple[str, bytes]:
@@ -140,10 +148,6 @@ class ForcedBoundaryBPE:
         ids = self.word_ids(word.encode("utf-8", "surrogatepass"))
         return ",".join(map(str, ids)), b"".join(map(self.table.__getitem__, ids))
 
-    def _all_words(self, text: str) -> list[str]:
-        parts = self.special.split(text) if self.special else [text]
-        return [w for k, part in enumerate(parts) for w in ([part] if k % 2 else self.words(part))]
-
     def encode(self, text: str | None) -> list[int]:
         return [int(x) for ids, _ in self.pieces(text or "") for x in ids.split(",")]
 
@@ -167,11 +171,13 @@ class _Arrays(dict):
 
     def __init__(self, bpe: ForcedBoundaryBPE):
         super().__init__()
-        self.tokenize, self.alphabet = bpe.model.tokenize, bpe.alphabet
+        self.tokenize, self.alphabet, self.bytes = bpe.model.tokenize, bpe.alphabet, 0
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= 2 * REMEMBER:
+        if self.bytes >= REMEMBER_BYTES:
             self.clear()
+            self.bytes = 0
+        self.bytes += 250 + 8 * len(word)
         if word.isascii() and word.isprintable():
             letters = word.replace(" ", self.alphabet[0x20])  # other printable ASCII stands for itself
         else:
