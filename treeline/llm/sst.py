@@ -31,6 +31,8 @@ from .common import Scratch, map_arrow, partitions
 MAGIC, VERSION = b"SSTTOKEN", 1
 #: Bytes of entries in a block before compression.
 BLOCK = 1 << 16
+#: Bytes of text in a shard, on average.
+SHARD_BYTES = 256 << 20
 #: Added to the end of each document.
 END_ID = 2
 _FOOTER = struct.Struct("<QQQQQQI8s")
@@ -200,10 +202,14 @@ def write_shards(docs: DataFrame, folder: str, path: str | None = None, shards:
     Shards are ranges of (doc_id, hash of the text), so one doc_id of very many rows is spread too. A
     task writes under a name of its own and the manifest names the file of the attempt that counts, so
     repeated attempts do no harm. A null text is an empty one, with END_ID alone. Null doc_ids come
-    first. An empty table has no shards. Other columns are ignored.
+    first. An empty table has no shards. Other columns are ignored. Shards are as many as partitions, or
+    more where these would hold over SHARD_BYTES each, so what a writer keeps for index and Bloom filter is bounded.
     """
     path = path or bpe.default_path()
-    shards = shards or partitions(docs.sparkSession)
+    if not shards:
+        # a document takes some room without a text too
+        total = docs.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 64)).first()[0] or 0
+        shards = max(partitions(docs.sparkSession), -(-int(total) // SHARD_BYTES))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import uuid
