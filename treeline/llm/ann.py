@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, partitions
 from .vectors import matrix, usable
 
 TREES, BITS = 48, 64
@@ -27,6 +27,8 @@ TREES, BITS = 48, 64
 #: once for each tree, reach this share of the shard. Vectors without structure need so many for a recall above
 #: 0.9 (0.97 measured on 10,256 such vectors of 64 dimensions); clustered vectors do with far fewer.
 SHARD_ROWS, CANDIDATES = 50_000, 0.5
+#: Tables of less than a shard for each partition are dealt more finely, to shards of so many rows at least.
+LEAST_ROWS = 5_000
 
 
 class Forest:
@@ -113,8 +115,8 @@ def nearest(rows: DataFrame, is_query, k: int = 5, share: float = CANDIDATES, sh
     Nearest first by cosine, ties to the smaller vec_id; fewer if there are fewer. Candidates are all
     rows but the query's own; vectors that are null, empty, zero or hold null or non-finite components
     take no part, nor do rows without vec_id; vectors of different dimensions don't meet. Repeated
-    rows (equal vec_id and vector) are one row. An empty table gives an empty result; other columns
-    are ignored.
+    rows (equal vec_id and vector) are one row; different vectors of one vec_id are queries of their
+    own, each with ranks from 1. An empty table gives an empty result; other columns are ignored.
     """
     spark = rows.sparkSession
     scratch = Scratch(spark, "ann")
@@ -125,7 +127,8 @@ def nearest(rows: DataFrame, is_query, k: int = 5, share: float = CANDIDATES, sh
     vectors = scratch.write(vectors.withColumn("dim", F.size("embedding")), "vectors")
     first = Window.partitionBy("key").orderBy("vec_id")
     data = vectors.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= k + 1)
-    sizes = {r.dim: max(1, -(-r["count"] // shard_rows)) for r in vectors.groupBy("dim").count().collect()}
+    finer = lambda n: min(partitions(spark), n // LEAST_ROWS)
+    sizes = {r.dim: max(1, -(-r["count"] // shard_rows), finer(r["count"])) for r in vectors.groupBy("dim").count().collect()}
     if not sizes:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     shards = F.element_at(F.create_map(*[F.lit(x) for pair in sizes.items() for x in pair]), F.col("dim"))
