@@ -18,9 +18,11 @@ DOC_SCHEMA = "doc_id long, text string, lang string, source string, n_chars long
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; one of our own only where the session names none (tests)."""
+    """The folder that all executors share; one of our own only where the session names none and runs on one machine (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="treeline-")
         spark.sparkContext.setCheckpointDir(base)
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)

@@ -245,7 +245,6 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     marked = docs.withColumn("_hash", F.xxhash64("text"))
     same = F.col("d.doc_id").eqNullSafe(F.col("b._id")) & (F.col("d._hash") == F.col("b._hash"))
     some = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    kept = marked.filter(some).alias("d").join(best.alias("b"), same, "left_semi")
-    if best.filter("_equal > 1").limit(1).count():
-        kept = kept.dropDuplicates(["doc_id", "_hash"])
-    return scratch.keep(back(kept.drop("_hash").unionByName(docs.filter(~some))))
+    kept = marked.filter(some).alias("d").join(best.alias("b"), same).select("d.*", "b._equal")
+    once = kept.filter("_equal = 1").unionByName(kept.filter("_equal > 1").dropDuplicates(["doc_id", "_hash"]))
+    return scratch.keep(back(once.drop("_hash", "_equal").unionByName(docs.filter(~some))))
