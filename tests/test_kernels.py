@@ -344,3 +344,31 @@ def test_transition_table_is_close():
     for t in (0.0, 0.013, 0.4, 1.234):
         assert table.p(t) == pytest.approx(sum(w * s.p(t) for w, s in parts), abs=2e-3)
     assert table.p(9.0) == pytest.approx(np.tile(pi, (4, 1)))
+
+
+def test_stacked_grids_against_pruning_of_each_category():
+    """Ratios by branch class and mixtures of slices, from stacked operators, against one pruning for each category."""
+    rng = np.random.default_rng(21)
+    root = parse_newick("((a{G1}:0.1,b{G1}:0.2){G1}:0.15,(c{G2}:0.3,d:0.12):0.2,e:0.4);")
+    tree = codon.Tree(root)
+    model = codon.CodonModel(np.array([1.0, 2.0, 0.7, 1.1, 2.4, 0.9]), rng.dirichlet(np.ones(4) * 9, 3))
+    states = rng.integers(-1, len(model.pi), (5, 9))
+    states[:, 0] = states[0, 0]
+    tips = {k: codon.tip_vectors(states[i], len(model.pi)) for i, k in enumerate(tree.tips)}
+    group = [{"G1": 0, "G2": 1}.get(n.tag, 2) for n in tree.nodes]
+    omegas = [[0.1, 1.0, 3.0], [0.5, 2.0], [0.3, 0.9]]
+    got = codon.class_grid_likelihood(tree, model, states, group, 0.7, omegas, block=4)
+    assert got.shape == (3, 2, 2, 9)
+    for i, j, k in np.ndindex(3, 2, 2):
+        w = (omegas[0][i], omegas[1][j], omegas[2][k])
+        want = codon.prune(tree, tips, lambda n: model.transition(0.7, 0.7 * w[group[n]], float(tree.length[n])), model.pi)  # noqa: B023
+        assert np.allclose(got[i, j, k], want, atol=1e-9)
+    mixtures, alphas = [np.array([0.1, 0.5, 2.0, 1.0]), np.array([1.0, 1.0, 0.3, 1.0])], [0.4, 1.5]
+    got = codon.slice_mixture_likelihood(tree, model, states, alphas, mixtures, block=5)
+    for i, j in np.ndindex(2, 2):
+        want = codon.mixture_likelihood(tree, model, states, [(0.25, alphas[j], alphas[j] * w) for w in mixtures[i]])
+        assert np.allclose(got[i, j], want, atol=1e-8)
+    a, b = np.array([0.2, 1.0, 3.0]), np.array([0.5, 1.0, 0.05])
+    got = codon.grid_likelihood(tree, model, states, a, b, block=2)
+    for i in range(3):
+        assert np.allclose(got[i], codon.prune(tree, tips, lambda n: model.transition(a[i], b[i], float(tree.length[n])), model.pi), atol=1e-9)  # noqa: B023

@@ -3,7 +3,7 @@
 from treeline.operators import analyses as X
 from treeline.operators import grids as G
 from treeline.plans import registry
-from treeline.relations import SITES, TAXA
+from treeline.relations import TAXA, relation
 
 QUERIES = registry.queries()
 
@@ -19,7 +19,14 @@ def test_profile_alignment_takes_all_taxa_and_sites(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(X, "align_profiles", spy)
     found = {r.chain: r for r in QUERIES["profile_alignment"](spark, sf_dir).collect()}
     assert set(found) == {str(t) for t in range(TAXA)} and all(r.pairs > 0 for r in found.values())
-    assert seen["residues"] == {str(t): SITES // 3 for t in range(TAXA)} and max(seen["sites"]) == SITES // 3 and len(seen["sites"]) > 30
+    sites = relation(spark, sf_dir, "cells").selectExpr("max(site)").first()[0]
+    assert seen["residues"] == {str(t): sites // 3 for t in range(TAXA)} and max(seen["sites"]) == sites // 3 and len(seen["sites"]) > 30
+
+
+def test_relations_grow_with_the_tables(spark):
+    for name in ("aln", "cells", "codons", "lik", "emission", "region_runs", "signal", "truth", "events_chain"):
+        small, large = (relation(spark, f"/root/testdata/sf{sf}", name).count() for sf in ("0.001", "0.01"))
+        assert large >= 4 * small, name
 
 
 def peaks_of(spark, scores):

@@ -176,6 +176,53 @@ def compress(columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return different, at.ravel()
 
 
+class Operators:
+    """Transition matrices of many (alpha, beta) at once, from one stacked eigensystem."""
+
+    def __init__(self, model: CodonModel, alphas: np.ndarray, betas: np.ndarray):
+        a, b = np.asarray(alphas, float), np.asarray(betas, float)
+        root = np.sqrt(np.maximum(model.pi, 1e-300))
+        syn, non = (m * root[:, None] / root[None, :] / model.scale for m in (model.syn, model.non))
+        q = a[:, None, None] * (syn + syn.T) / 2 + b[:, None, None] * (non + non.T) / 2
+        diagonal = np.arange(len(model.pi))
+        q[:, diagonal, diagonal] = -(a[:, None] * model.syn.sum(1) + b[:, None] * model.non.sum(1)) / model.scale
+        self.values, u = np.linalg.eigh(q)
+        self.left, self.right = u / root[:, None], u.transpose(0, 2, 1) * root
+        self.known: dict[float, np.ndarray] = {}
+
+    def p(self, t: float) -> np.ndarray:
+        """[category, state, state], remembered for each length."""
+        if t not in self.known:
+            self.known[t] = np.maximum((self.left * np.exp(self.values * t)[:, None, :]) @ self.right, 0)
+        return self.known[t]
+
+
+def _tip_columns(p: np.ndarray, states: np.ndarray) -> np.ndarray:
+    """Operators [..., state, state] at the states of a tip; a missing state allows all."""
+    sent = p[..., np.maximum(states, 0)]
+    sent[..., states < 0] = 1.0
+    return sent
+
+
+def stacked_likelihood(tree: Tree, pi: np.ndarray, columns: np.ndarray, operator) -> np.ndarray:
+    """[..., column] log likelihoods. operator(node) -> [..., state, state]; leading axes of different branches broadcast, so
+    what a subtree doesn't depend on is computed once."""
+    row = {k: i for i, k in enumerate(tree.tips)}
+    partial: dict[int, np.ndarray] = {}
+    log = np.zeros(columns.shape[1])
+    for k in tree.post:
+        if tree.children[k]:
+            v = None
+            for c in tree.children[k]:
+                p = operator(c)
+                sent = _tip_columns(p, columns[row[c]]) if c in row else p @ partial.pop(c)
+                v = sent if v is None else v * sent
+            top = np.maximum(v.max(-2, keepdims=True), 1e-300)
+            log = log + np.log(top[..., 0, :])
+            partial[k] = v / top
+    return log + np.log(np.maximum(np.einsum("s,...st->...t", pi, partial[0]), 1e-300))
+
+
 def grid_likelihood(tree: Tree, model: CodonModel, states: np.ndarray, alphas: np.ndarray, betas: np.ndarray, block: int = 96) -> np.ndarray:
     """[category, site] log likelihoods; states are [tip, site] in order of tree.tips. Equal columns are computed once.
 
@@ -183,43 +230,53 @@ def grid_likelihood(tree: Tree, model: CodonModel, states: np.ndarray, alphas: n
     tips read the columns of their states instead of multiplying.
     """
     columns, at = compress(states)
-    row = {k: i for i, k in enumerate(tree.tips)}
-    root = np.sqrt(np.maximum(model.pi, 1e-300))
-    syn, non = (m * root[:, None] / root[None, :] / model.scale for m in (model.syn, model.non))
-    syn, non = (syn + syn.T) / 2, (non + non.T) / 2
-    syn_out, non_out = model.syn.sum(1) / model.scale, model.non.sum(1) / model.scale
-    diagonal = np.arange(len(model.pi))
     out = np.empty((len(alphas), columns.shape[1]))
     for lo in range(0, len(alphas), block):
-        a, b = np.asarray(alphas[lo : lo + block], float), np.asarray(betas[lo : lo + block], float)
-        q = a[:, None, None] * syn + b[:, None, None] * non
-        q[:, diagonal, diagonal] = -(a[:, None] * syn_out + b[:, None] * non_out)
-        values, u = np.linalg.eigh(q)
-        left, right = u / root[:, None], u.transpose(0, 2, 1) * root
-        known: dict[float, np.ndarray] = {}
-        partial: dict[int, np.ndarray] = {}
-        log = np.zeros((len(a), columns.shape[1]))
-        for k in tree.post:
-            if tree.children[k]:
-                v = None
-                for c in tree.children[k]:
-                    t = float(tree.length[c])
-                    if t not in known:
-                        known[t] = np.maximum((left * np.exp(values * t)[:, None, :]) @ right, 0)
-                    if c in row:
-                        s = columns[row[c]]
-                        sent = known[t][:, :, np.maximum(s, 0)]
-                        sent[:, :, s < 0] = 1.0
-                    else:
-                        sent = known[t] @ partial.pop(c)
-                    v = sent if v is None else v * sent
-                top = np.maximum(v.max(1), 1e-300)
-                log += np.log(top)
-                partial[k] = v / top[:, None, :]
-        out[lo : lo + block] = log + np.log(np.maximum(np.einsum("s,cst->ct", model.pi, partial[0]), 1e-300))
+        bank = Operators(model, alphas[lo : lo + block], betas[lo : lo + block])
+        out[lo : lo + block] = stacked_likelihood(tree, model.pi, columns, lambda k: bank.p(float(tree.length[k])))  # noqa: B023
     return out[:, at]
 
 
+def class_grid_likelihood(tree: Tree, model: CodonModel, states: np.ndarray, group: list[int], alpha: float, omegas: list[list[float]], block: int = 64) -> np.ndarray:
+    """[ratio of group 0, ratio of group 1, ..., site] log likelihoods for one alpha, branch k having a ratio of group[k]'s list."""
+    columns, at = compress(states)
+    banks = [Operators(model, np.full(len(w), alpha), alpha * np.asarray(w, float)) for w in omegas]
+
+    def operator(k: int) -> np.ndarray:
+        p = banks[group[k]].p(float(tree.length[k]))
+        return p.reshape([len(p) if g == group[k] else 1 for g in range(len(omegas))] + list(p.shape[1:]))
+
+    parts = [stacked_likelihood(tree, model.pi, columns[:, lo : lo + block], operator) for lo in range(0, columns.shape[1], block)]
+    shape = tuple(map(len, omegas))
+    return np.concatenate([np.broadcast_to(x, (*shape, x.shape[-1])) for x in parts], axis=-1)[..., at]
+
+
+def slice_mixture_likelihood(tree: Tree, model: CodonModel, states: np.ndarray, alphas: list[float], mixtures: list[np.ndarray], block: int = 64) -> np.ndarray:
+    """[mixture, alpha, site] log likelihoods if each branch is the mean of the operators of a mixture's equally likely ratios.
+
+    alpha stretches time, so all alphas share one eigensystem for each ratio.
+    """
+    columns, at = compress(states)
+    rates = np.unique(np.concatenate(mixtures))
+    bank = Operators(model, np.ones(len(rates)), rates)
+    weight = np.stack([np.bincount(np.searchsorted(rates, m), minlength=len(rates)) / len(m) for m in mixtures])
+    out = np.empty((len(mixtures), len(alphas), columns.shape[1]))
+    for i, alpha in enumerate(alphas):
+        known: dict[float, np.ndarray] = {}
+
+        def operator(k: int) -> np.ndarray:
+            t = float(tree.length[k]) * alpha  # noqa: B023
+            if t not in known:  # noqa: B023
+                p = bank.p(t)
+                bank.known.clear()
+                known[t] = (weight @ p.reshape(len(p), -1)).reshape(len(mixtures), *p.shape[1:])  # noqa: B023
+            return known[t]  # noqa: B023
+
+        for lo in range(0, columns.shape[1], block):
+            out[:, i, lo : lo + block] = stacked_likelihood(tree, model.pi, columns[:, lo : lo + block], operator)
+    return out[:, :, at]
+
+
 def mixture_likelihood(tree: Tree, model: CodonModel, states: np.ndarray, mixture: list[tuple[float, float, float]]) -> np.ndarray:
     """Site log likelihoods if each branch is a mixture of (weight, alpha, beta) operators."""
     columns, at = compress(states)

@@ -48,11 +48,11 @@ def gibbs_rejection(l: np.ndarray, concentration: float = 0.5, draws: int = 500,
     accept = l / l.max(0)
     theta, mean, counts = np.full(k, 1 / k), np.zeros(k), np.zeros((k, s), np.int64)
     for d in range(draws):
-        z, open_ = np.zeros(s, np.int64), np.arange(s)
+        z, open_, cdf = np.zeros(s, np.int64), np.arange(s), np.cumsum(theta)
         for _ in range(20):
             if not len(open_):
                 break
-            pick = rng.choice(k, len(open_), p=theta)
+            pick = np.minimum(np.searchsorted(cdf, rng.random(len(open_)) * cdf[-1], side="right"), k - 1)
             ok = rng.random(len(open_)) < accept[pick, open_]
             z[open_[ok]] = pick[ok]
             open_ = open_[~ok]

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.codes import sense_codons
@@ -22,7 +22,7 @@ def _grouped(sequences: DataFrame, trees: DataFrame | None, fn, schema: str) ->
     """fn(dataset, names, sequences, newick) -> DataFrame, for each dataset."""
     joined = sequences if trees is None else sequences.join(trees, "dataset")
 
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("name")
         out = fn(key[0], rows["name"].tolist(), rows["sequence"].tolist(), rows["newick"].iloc[0] if "newick" in rows else None)
         out.insert(0, "dataset", np.array([key[0]] * len(out), dtype=object))
@@ -31,6 +31,34 @@ def _grouped(sequences: DataFrame, trees: DataFrame | None, fn, schema: str) ->
     return joined.groupBy("dataset").applyInPandas(run, "dataset string, " + schema)
 
 
+def _dealt(sequences: DataFrame, trees: DataFrame, parts: int, fn) -> DataFrame:
+    """dataset, names, rows, newick, part, logl of fn(dataset, names, sequences, newick, part), a matrix: an alignment's grid is dealt to many tasks in parts."""
+    packed = sequences.groupBy("dataset").agg(F.array_sort(F.collect_list(F.struct("name", "sequence"))).alias("rows")).join(trees, "dataset")
+    tasks = packed.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).repartition(max(1, sequences.sparkSession.sparkContext.defaultParallelism), "dataset", "part")
+
+    def run(batches):
+        for batch in batches:
+            for dataset, rows, newick, part in zip(batch["dataset"], batch["rows"], batch["newick"], batch["part"], strict=True):
+                names, texts = [r["name"] for r in rows], [r["sequence"] for r in rows]
+                logl = np.ascontiguousarray(fn(dataset, names, texts, newick, int(part)), dtype=np.float64)
+                yield pd.DataFrame({"dataset": [dataset], "newick": [newick], "part": [int(part)], "sites": [logl.shape[1]], "logl": [logl.tobytes()]})
+
+    return tasks.mapInPandas(run, "dataset string, newick string, part int, sites int, logl binary")
+
+
+def _joined(parts: DataFrame, fn, schema: str) -> DataFrame:
+    """fn(dataset, logl) -> DataFrame on the stacked parts of each dataset."""
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("part")
+        logl = np.concatenate([np.frombuffer(x, np.float64).reshape(-1, n) for x, n in zip(rows["logl"], rows["sites"], strict=True)])
+        out = fn(key[0], logl)
+        out.insert(0, "dataset", np.array([key[0]] * len(out), dtype=object))
+        return out
+
+    return parts.groupBy("dataset").applyInPandas(run, "dataset string, " + schema)
+
+
 def _prepared(names: list[str], sequences: list[str], newick: str):
     tree = codon.Tree(parse_newick(newick))
     by_name = dict(zip(names, sequences, strict=True))
@@ -58,16 +86,22 @@ def fit_scale(tree: codon.Tree, model: codon.CodonModel, states: np.ndarray) ->
     return at
 
 
-def site_selection(sequences: DataFrame, trees: DataFrame, method: str = "em", threshold: float = 0.9, concentration: float = 0.5, fit: bool = True, seed: int = 1, rates: list[float] | None = None) -> DataFrame:
-    """Site posteriors of alpha and beta under a mixture over the grid rates x rates (20 x 20 by default), with a likelihood ratio of alpha = beta from the same surface."""
+def site_selection(sequences: DataFrame, trees: DataFrame, method: str = "em", threshold: float = 0.9, concentration: float = 0.5, fit: bool = True, seed: int = 1, rates: list[float] | None = None, block: int = 40) -> DataFrame:
+    """Site posteriors of alpha and beta under a mixture over the grid rates x rates (20 x 20 by default), with a likelihood ratio of alpha = beta from the same surface.
+
+    The grid of one alignment is dealt to tasks in blocks; what joins them is categories x sites of one alignment.
+    """
     axis = np.array(site_rates() if rates is None else rates)
+    a, b = (v.ravel() for v in np.meshgrid(axis, axis, indexing="ij"))
+    if fit:
+        trees = scaled_trees(sequences, trees)
 
-    def run(dataset, names, rows, newick):
+    def part(dataset, names, rows, newick, k):
         tree, model, states = _prepared(names, rows, newick)
-        if fit:
-            tree.length = tree.length * fit_scale(tree, model, states)[0]
-        a, b = (v.ravel() for v in np.meshgrid(axis, axis, indexing="ij"))
-        logl = codon.grid_likelihood(tree, model, states, a, b)
+        at = slice(k * block, (k + 1) * block)
+        return codon.grid_likelihood(tree, model, states, a[at], b[at], block)
+
+    def infer(dataset, logl):
         l = inference.normal_columns(logl)  # noqa: E741
         theta = inference.dirichlet_em(l, concentration) if method == "em" else inference.gibbs(l, concentration, seed=seed)[0]
         post = theta[:, None] * l
@@ -80,7 +114,21 @@ def site_selection(sequences: DataFrame, trees: DataFrame, method: str = "em", t
         out["direction"] = np.array([f["direction"] for f in fel], np.int32)
         return out
 
-    return _grouped(sequences, trees, run, "site int, p_positive double, p_purifying double, mean_alpha double, mean_beta double, selection string, lrt double, direction int")
+    found = _dealt(sequences, trees, -(-len(a) // block), part)
+    return _joined(found, infer, "site int, p_positive double, p_purifying double, mean_alpha double, mean_beta double, selection string, lrt double, direction int")
+
+
+def scaled_trees(sequences: DataFrame, trees: DataFrame) -> DataFrame:
+    """dataset, newick with all branches multiplied by the scale that fits each alignment best."""
+
+    def run(dataset, names, rows, newick):
+        tree, model, states = _prepared(names, rows, newick)
+        scale = fit_scale(tree, model, states)[0]
+        for node in tree.nodes:
+            node.length = (node.length or 0.0) * scale
+        return pd.DataFrame({"newick": [write_newick(tree.nodes[0])]})
+
+    return _grouped(sequences, trees, run, "newick string")
 
 
 def conditional_grid(sequences: DataFrame, trees: DataFrame, grid: DataFrame, block: int = 96) -> DataFrame:
@@ -107,31 +155,36 @@ def conditional_grid(sequences: DataFrame, trees: DataFrame, grid: DataFrame, bl
     return table.select("dataset", "category", F.posexplode("logl").alias("at", "logl")).select("dataset", "category", (F.col("at") + 1).alias("site"), "logl")
 
 
-def two_group_selection(sequences: DataFrame, trees: DataFrame, draws: int = 300, seed: int = 1) -> DataFrame:
-    """Posteriors of two branch classes' ratios: branches tagged with the first tag in order, with the second, and the rest."""
+def two_group_selection(
+    sequences: DataFrame, trees: DataFrame, draws: int = 2500, seed: int = 1, alphas: list[float] | None = None, omegas: list[float] | None = None, background: list[float] | None = None
+) -> DataFrame:
+    """Posteriors of two branch classes' ratios: branches tagged with the first tag in order, with the second, and the rest.
 
-    def run(dataset, names, rows, newick):
+    The grid is alphas x omegas x omegas x background, by default 12 transformed rates up to 13 for each and 7 up to 6
+    for the rest; each alpha is a task of its own.
+    """
+    alphas = transformed_rates(0.01, 13, 6) if alphas is None else alphas
+    omegas = transformed_rates(0.01, 13, 6) if omegas is None else omegas
+    background = transformed_rates(0.05, 6, 4) if background is None else background
+    a, w1, w2, _ = (v.ravel() for v in np.meshgrid(alphas, omegas, omegas, background, indexing="ij"))
+
+    def part(dataset, names, rows, newick, k):
         tree, model, states = _prepared(names, rows, newick)
         tags = sorted({n.tag for n in tree.nodes if n.tag})[:2]
         group = [tags.index(n.tag) if n.tag in tags else 2 for n in tree.nodes]
-        alphas, omegas = [0.3, 1.0, 2.0], [0.1, 0.5, 1.0, 3.0]
-        cells = [(a, w1, w2) for a in alphas for w1 in omegas for w2 in omegas]
-        columns, at = codon.compress(states)
-        tips = {k: codon.tip_vectors(columns[i], len(model.pi)) for i, k in enumerate(tree.tips)}
-        logl = np.empty((len(cells), columns.shape[1]))
-        for c, (a, w1, w2) in enumerate(cells):
-            omega = (w1, w2, 1.0)
-            logl[c] = codon.prune(tree, tips, lambda k: model.transition(a, a * omega[group[k]], float(tree.length[k])), model.pi)  # noqa: B023
-        l = inference.normal_columns(logl[:, at])  # noqa: E741
-        _, counts = inference.gibbs_rejection(l, draws=draws, burn=draws // 5, seed=seed)
+        logl = codon.class_grid_likelihood(tree, model, states, group, alphas[k], [omegas, omegas, background])
+        return logl.reshape(-1, logl.shape[-1])
+
+    def infer(dataset, logl):
+        _, counts = inference.gibbs_rejection(inference.normal_columns(logl), draws=draws, burn=draws // 5, seed=seed)
         mass = counts / counts.sum(0)
-        a, w1, w2 = np.array(cells).T
         return pd.DataFrame({
-            "site": np.arange(1, l.shape[1] + 1, dtype=np.int32), "p_first_greater": mass[w1 > w2].sum(0), "p_second_greater": mass[w2 > w1].sum(0),
-            "p_first_positive": mass[w1 > 1].sum(0), "p_second_positive": mass[w2 > 1].sum(0), "mean_alpha": a @ mass, "mean_first": w1 @ mass, "mean_second": w2 @ mass,
+            "site": np.arange(1, logl.shape[1] + 1, dtype=np.int32), "p_first_greater": mass[w1 > w2].sum(0), "p_second_greater": mass[w2 > w1].sum(0),
+            "p_first_positive": mass[w1 > 1 + 1e-9].sum(0), "p_second_positive": mass[w2 > 1 + 1e-9].sum(0), "mean_alpha": a @ mass, "mean_first": w1 @ mass, "mean_second": w2 @ mass,
         })
 
-    return _grouped(sequences, trees, run, "site int, p_first_greater double, p_second_greater double, p_first_positive double, p_second_positive double, mean_alpha double, mean_first double, mean_second double")
+    schema = "site int, p_first_greater double, p_second_greater double, p_first_positive double, p_second_positive double, mean_alpha double, mean_first double, mean_second double"
+    return _joined(_dealt(sequences, trees, len(alphas), part), infer, schema)
 
 
 def episodic_selection(sequences: DataFrame, trees: DataFrame, nodes: int = 4, alphas: list[float] | None = None, lows: list[float] | None = None, highs: list[float] | None = None) -> DataFrame:
@@ -165,24 +218,42 @@ def episodic_selection(sequences: DataFrame, trees: DataFrame, nodes: int = 4, a
     return _grouped(sequences, trees, run, "site int, p_positive double, bayes_factor double, mean_alpha double, mean_low double, mean_high double, detected boolean")
 
 
-def gamma_selection(sequences: DataFrame, trees: DataFrame, slices: int = 4) -> DataFrame:
-    """Branch ratios from a gamma distribution at each site: posterior of its mean and of slices above 1."""
+def gamma_selection(sequences: DataFrame, trees: DataFrame, slices: int = 20, alphas: list[float] | None = None, means: list[float] | None = None, shapes: list[float] | None = None) -> DataFrame:
+    """Branch ratios from a gamma distribution at each site, with and without ratios above 1: posterior of positive selection and of slices above 1.
 
-    def run(dataset, names, rows, newick):
+    Each branch is the mean over slices at the distribution's mid-quantiles; capped categories cut those at 1. The grid is
+    means x 2 x shapes x alphas, by default transformed rates up to 16, 20 and 10; each mean is a task of its own.
+    """
+    alphas = transformed_rates(0.01, 10, 8) if alphas is None else alphas
+    means = transformed_rates(0.01, 16, 8) if means is None else means
+    shapes = transformed_rates(0.05, 20, 6) if shapes is None else shapes
+    unit = {s: np.array([inference.gamma_quantile((i + 0.5) / slices, s) for i in range(slices)]) for s in shapes}
+    mixtures = lambda mu: [np.minimum(unit[s] * mu, 1.0) if cap else unit[s] * mu for cap in (False, True) for s in shapes]
+
+    def part(dataset, names, rows, newick, k):
         tree, model, states = _prepared(names, rows, newick)
-        cells = [(a, mu, shape) for a in (0.5, 1.5) for mu in (0.1, 0.4, 1.0, 3.0) for shape in (0.5, 2.0)]
-        logl, above = [], []
-        for a, mu, shape in cells:
-            parts = inference.split_slices(slices, shape, mu)
-            above.append(sum(w for r, w in parts if r > 1))
-            logl.append(codon.mixture_likelihood(tree, model, states, [(w, a, a * r) for r, w in parts]))
-        l = inference.normal_columns(np.array(logl))  # noqa: E741
-        post = inference.dirichlet_em(l)[:, None] * l
+        logl = codon.slice_mixture_likelihood(tree, model, states, alphas, mixtures(means[k]))
+        return logl.reshape(-1, logl.shape[-1])
+
+    mu, cap, shape, a = (v.ravel() for v in np.meshgrid(means, [False, True], shapes, alphas, indexing="ij"))
+    above = np.repeat([float((m > 1).mean()) for mean in means for m in mixtures(mean)], len(alphas))
+
+    def infer(dataset, logl):
+        l = inference.normal_columns(logl)  # noqa: E741
+        theta = inference.dirichlet_em(l)
+        post = theta[:, None] * l
         post /= post.sum(0)
-        a, mu, shape = np.array(cells).T
-        return pd.DataFrame({"site": np.arange(1, l.shape[1] + 1, dtype=np.int32), "p_positive": post[mu > 1].sum(0), "mean_alpha": a @ post, "mean_omega": mu @ post, "mean_shape": shape @ post, "sd_omega": (mu / np.sqrt(shape)) @ post, "branch_fraction": np.array(above) @ post})
+        p, free = post[above > 0].sum(0), post[~cap].sum(0)
+        prior = float(np.clip(theta[above > 0].sum(), 1e-9, 1 - 1e-9))
+        bf = np.minimum(p, 1 - 1e-12) / np.maximum(1 - p, 1e-12) / (prior / (1 - prior))
+        mean = mu @ post
+        return pd.DataFrame({
+            "site": np.arange(1, l.shape[1] + 1, dtype=np.int32), "p_positive": p, "p_uncapped": free, "bayes_factor": bf, "mean_alpha": a @ post, "mean_omega": mean,
+            "mean_shape": shape @ post, "sd_omega": (mu / np.sqrt(shape)) @ post, "branch_fraction": above @ post,
+        })
 
-    return _grouped(sequences, trees, run, "site int, p_positive double, mean_alpha double, mean_omega double, mean_shape double, sd_omega double, branch_fraction double")
+    schema = "site int, p_positive double, p_uncapped double, bayes_factor double, mean_alpha double, mean_omega double, mean_shape double, sd_omega double, branch_fraction double"
+    return _joined(_dealt(sequences, trees, len(means), part), infer, schema)
 
 
 def branch_selection(sequences: DataFrame, trees: DataFrame, scope: str = "all") -> DataFrame:
@@ -244,26 +315,68 @@ def branch_site_scan(sequences: DataFrame, trees: DataFrame, omega: float = 4.0)
     return _grouped(sequences, trees, run, "node_id int, branch string, site int, log_ratio double")
 
 
-def clade_shift_scan(sequences: DataFrame, trees: DataFrame, intensities: tuple[float, ...] = (0.25, 4.0)) -> DataFrame:
-    """Log likelihood of each site if the ratio changes to omega^k below a branch for good, for every branch and k, and without change (node_id 0)."""
+def clade_shift_scan(
+    sequences: DataFrame, trees: DataFrame, intensities: tuple[float, ...] = (0.4, 0.7, 1 / 0.7, 2.5), points: int = 16, components: int = 96, mass: float = 0.9, block: int = 32
+) -> DataFrame:
+    """Log likelihood of each site if the ratio changes to omega^k below a branch for good, for every branch and k, and without change (node_id 0).
 
-    def run(dataset, names, rows, newick):
+    The baseline is a points x points grid of rates: its posterior without change is cut, for each site, to the categories that
+    hold ``mass`` of it (``components`` at most), and a site's likelihood of a change is its mean over those, so baseline
+    uncertainty is integrated. The grid is dealt to tasks in blocks, and so is the scan.
+    """
+    axis = np.array(site_rates(points))
+    a, b = (v.ravel() for v in np.meshgrid(axis, axis, indexing="ij"))
+    parts = -(-len(a) // block)
+
+    def grid(dataset, names, rows, newick, k):
         tree, model, states = _prepared(names, rows, newick)
-        columns, at = codon.compress(states)
-        tips = {k: codon.tip_vectors(columns[i], len(model.pi)) for i, k in enumerate(tree.tips)}
-        omega = 0.4
-        p = lambda k, w: model.transition(1.0, w, float(tree.length[k]))
-        down, up, logl = codon.messages(tree, tips, lambda k: p(k, omega), model.pi)
-        parts = [(0, 1.0, logl)]
-        for k_ in intensities:
-            shifted = omega**k_
-            inside, _, _ = codon.messages(tree, tips, lambda k: p(k, shifted), model.pi)  # noqa: B023
-            for k in range(1, len(tree.nodes)):
-                parts.append((k, k_, np.log(np.maximum((up[k] * (p(k, shifted) @ inside[k])).sum(0), 1e-300))))
-        sites = np.arange(1, len(at) + 1, dtype=np.int32)
-        return pd.concat([pd.DataFrame({"node_id": np.int32(k), "k": float(v), "site": sites, "logl": x[at]}) for k, v, x in parts])
+        return codon.grid_likelihood(tree, model, states, a[k * block : (k + 1) * block], b[k * block : (k + 1) * block], block)
 
-    return _grouped(sequences, trees, run, "node_id int, k double, site int, logl double")
+    def baseline(dataset, logl):
+        l = inference.normal_columns(logl)  # noqa: E741
+        post = inference.dirichlet_em(l)[:, None] * l
+        post /= post.sum(0)
+        order = np.argsort(-post, axis=0, kind="stable")
+        out = []
+        for site in range(post.shape[1]):
+            p = post[order[:, site], site]
+            n = min(components, int(np.searchsorted(np.cumsum(p), mass)) + 1)
+            out.append(pd.DataFrame({"site": np.int32(site), "category": order[:n, site].astype(np.int32), "weight": p[:n] / p[:n].sum()}))
+        return pd.concat(out)
+
+    kept = _joined(_dealt(sequences, trees, parts, grid), baseline, "site int, category int, weight double")
+    kept = kept.groupBy("dataset", F.expr(f"int(category div {block})").alias("part")).agg(F.collect_list(F.struct("site", "category", "weight")).alias("kept"))
+    packed = sequences.groupBy("dataset").agg(F.array_sort(F.collect_list(F.struct("name", "sequence"))).alias("rows")).join(trees, "dataset").join(kept, "dataset")
+
+    def scan(batches):
+        for batch in batches:
+            for dataset, rows, newick, cells in zip(batch["dataset"], batch["rows"], batch["newick"], batch["kept"], strict=True):
+                tree, model, states = _prepared([r["name"] for r in rows], [r["sequence"] for r in rows], newick)
+                by_category: dict[int, list[tuple[int, float]]] = {}
+                for c in cells:
+                    by_category.setdefault(int(c["category"]), []).append((int(c["site"]), float(c["weight"])))
+                out = []
+                for category, held in by_category.items():
+                    sites, weight = np.array([h[0] for h in held]), np.array([h[1] for h in held])
+                    tips = {k: codon.tip_vectors(states[i, sites], len(model.pi)) for i, k in enumerate(tree.tips)}
+                    alpha, omega = float(a[category]), float(b[category] / max(a[category], 1e-9))
+                    p = lambda k, w: model.transition(alpha, alpha * w, float(tree.length[k]))  # noqa: B023, E731
+                    down, up, logl = codon.messages(tree, tips, lambda k: p(k, omega), model.pi)  # noqa: B023
+                    out.append((0, 1.0, sites, weight, logl))
+                    for intensity in intensities:
+                        shifted = float(np.exp(np.clip(np.log(max(omega, 1e-9)) * intensity, -12, 12)))
+                        inside, _, _ = codon.messages(tree, tips, lambda k: p(k, shifted), model.pi)  # noqa: B023
+                        for k in range(1, len(tree.nodes)):
+                            out.append((k, intensity, sites, weight, np.log(np.maximum((up[k] * (p(k, shifted) @ inside[k])).sum(0), 1e-300))))
+                    model._known.clear()
+                yield pd.concat([pd.DataFrame({"dataset": dataset, "node_id": np.int32(k), "k": float(v), "site": (s + 1).astype(np.int32), "weight": w, "logl": x}) for k, v, s, w, x in out])
+
+    parts_of = packed.repartition(max(1, sequences.sparkSession.sparkContext.defaultParallelism), "dataset", "part")
+    cells = parts_of.select("dataset", "rows", "newick", "kept").mapInPandas(scan, "dataset string, node_id int, k double, site int, weight double, logl double")
+    # the mean over a site's categories, in logarithms
+    top = F.max("logl").over(Window.partitionBy("dataset", "site"))
+    shifted = cells.withColumn("top", top).groupBy("dataset", "node_id", "k", "site").agg(F.max("top").alias("top"), F.sum(F.col("weight") * F.exp(F.col("logl") - F.col("top"))).alias("mean"))
+    return shifted.select("dataset", "node_id", "k", "site", (F.col("top") + F.log(F.greatest("mean", F.lit(1e-300)))).alias("logl"))
 
 
 def join_trees(sequences: DataFrame) -> DataFrame:
@@ -304,7 +417,7 @@ def tree_profiles(sequences: DataFrame, seeds: DataFrame) -> DataFrame:
 def tree_segments(profiles: DataFrame, expected: tuple[float, ...] = (1.0, 3.0, 9.0), least: int = 10) -> DataFrame:
     """dataset, start, end, state: regions of the tree HMM over (dataset, site, state, logl)."""
 
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         wide = rows.pivot(index="site", columns="state", values="logl").sort_index()
         fit = hmm.fit_trees(wide.to_numpy(), list(expected))
         path = hmm.merge_short_runs(fit["path"], wide.to_numpy(), least)
@@ -331,7 +444,7 @@ def consensus_breakpoints(peaks: DataFrame, bandwidth: float = 20.0, apart: int
     votes = near.groupBy("dataset", "centre", "triplet").agg(F.max((1 - F.col("u") * F.col("u")) * F.col("g")).alias("v"))
     scores = votes.groupBy("dataset", "centre").agg(F.sum("v").alias("score"))
 
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("centre")
         at, s = rows["centre"].to_numpy(), rows["score"].round(9).to_numpy()
         taken = hmm.weighted_intervals(at, at, s - penalty, apart, min(most, len(at)))

@@ -35,19 +35,25 @@ def em_step(normal: DataFrame, theta: DataFrame, concentration: float) -> DataFr
 
 
 def em(normal: DataFrame, steps: int, concentration: float = 0.5, tolerance: float | None = None) -> DataFrame:
-    """theta after so many steps; with a tolerance it stops once no weight moves more (each step is then an action on the cached cells)."""
+    """theta after so many steps; with a tolerance it stops once no weight moves more.
+
+    With a tolerance each step is one action, whose rows (one for each category of the grid) the driver compares with the last.
+    """
     categories = normal.select("category").distinct()
     theta = categories.withColumn("theta", 1.0 / F.count(F.lit(1)).over(Window.partitionBy()))
+    if tolerance is None:
+        for _ in range(steps):
+            theta = em_step(normal, theta, concentration)
+        return theta
+    before = None
     for _ in range(steps):
         after = em_step(normal, theta, concentration)
-        if tolerance is not None:
-            rows = after.collect()  # one row for each category of the grid
-            moved = theta.alias("a").join(after.alias("b"), "category").agg(F.max(F.abs(F.col("a.theta") - F.col("b.theta")))).first()[0]
-            after = normal.sparkSession.createDataFrame(rows, after.schema)
-            theta = after
-            if moved is not None and moved <= tolerance:
-                break
-        theta = after
+        rows = after.collect()
+        theta = normal.sparkSession.createDataFrame(rows, after.schema)
+        now = {r.category: r.theta for r in rows}
+        if before is not None and all(abs(now[c] - before[c]) <= tolerance for c in now):
+            break
+        before = now
     return theta
 
 

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from ..functions import codes, scalars
 from ..operators import alignment as A
+from ..relations import TAXA
 from .helpers import F, oracle, query, relation, rounded
 
+
 @query("aln_variable_sites", oracle("""SELECT site, bit_or(CASE WHEN base IS NULL THEN 0 ELSE (1 << base) END)::INT AS seen, COUNT(base) AS taxa
     FROM aln GROUP BY site HAVING COUNT(DISTINCT base) > 1"""))
 def variable_sites(spark, sf):
@@ -38,10 +40,10 @@ def gap_columns(spark, sf):
     return A.drop_gap_columns(relation(spark, sf, "aln").filter("base > 1"))
 
 
-@query("aln_patterns", oracle("""WITH p AS (SELECT site, string_agg(COALESCE(base, 4)::VARCHAR, '' ORDER BY taxon) AS pattern FROM cells WHERE taxon < 4 GROUP BY site)
+@query("aln_patterns", oracle("""WITH p AS (SELECT site, string_agg(COALESCE(base, 4)::VARCHAR, '' ORDER BY taxon) AS pattern FROM cells GROUP BY site)
     SELECT pattern, COUNT(*) AS weight FROM p GROUP BY pattern"""))
 def patterns(spark, sf):
-    return A.patterns(relation(spark, sf, "aln").filter("taxon < 4"), 4)[1]
+    return A.patterns(relation(spark, sf, "aln"), TAXA)[1]
 
 
 _JC = "CASE WHEN compared > 0 THEN -0.75 * ln(1 - 4 * least(mismatches::DOUBLE / compared, 0.74) / 3) ELSE 1.0 END"
@@ -180,7 +182,7 @@ def ranges(spark, sf):
     return A.slice_ranges(relation(spark, sf, "sequences"), [(1, 30), (101, 150)])
 
 
-@query("sequence_fasta_text", oracle("""SELECT name, '>' || name || chr(10) || substr(sequence, 1, 80) || chr(10) || substr(sequence, 81, 80) || chr(10) || substr(sequence, 161, 80) || chr(10) || substr(sequence, 241) || chr(10) AS record FROM sequences"""))
+@query("sequence_fasta_text", oracle("""SELECT name, '>' || name || chr(10) || regexp_replace(sequence, '(.{1,80})', '\\1' || chr(10), 'g') AS record FROM sequences"""))
 def fasta_text(spark, sf):
     return A.wrap_fasta(relation(spark, sf, "sequences"))
 

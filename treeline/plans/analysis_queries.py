@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from ..operators import analyses as X
-from ..relations import SITES
 from .helpers import F, query, relation, rounded
 
 
@@ -106,8 +105,9 @@ def consensus(spark, sf):
     from ..operators.alignment import triplet_events
     from ..operators.windows import rolling_scan
 
-    peaks = rolling_scan(triplet_events(relation(spark, sf, "aln")), 10).filter("peak AND g > 3").withColumn("dataset", F.lit("aln"))
-    return rounded(X.consensus_breakpoints(peaks, sites=SITES))
+    aln = relation(spark, sf, "aln")
+    peaks = rolling_scan(triplet_events(aln), 10).filter("peak AND g > 3").withColumn("dataset", F.lit("aln"))
+    return rounded(X.consensus_breakpoints(peaks, sites=aln.agg(F.max("site")).first()[0] or 0))
 
 
 @query("recombination_spr_path")

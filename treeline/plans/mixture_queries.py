@@ -19,8 +19,8 @@ def _em(steps: int) -> str:
 
 
 def _cells(spark, sf):
-    """Normalised cells, kept because every step of EM reads them."""
-    return M.normalise(M.max_shift(relation(spark, sf, "lik"))).persist()
+    """Normalised cells: every step of EM reads one and the same exchange of them, by site."""
+    return M.normalise(M.max_shift(relation(spark, sf, "lik")))
 
 
 def _posterior(spark, sf, steps: int = 5):

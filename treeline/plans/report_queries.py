@@ -27,28 +27,31 @@ def call_columns(spark, sf):
 def bundle(spark, sf):
     regions = relation(spark, sf, "region_runs")
     trees = regions.select("tree_id").distinct().withColumn("newick", F.concat(F.lit("("), "tree_id", F.lit(");")))
-    return P.read_bundle(P.bundle(regions, trees, 300), 300)[0]
+    sites = regions.agg(F.max("end")).first()[0]
+    return P.read_bundle(P.bundle(regions, trees, sites), sites)[0]
 
 
 @query("bundle_problems", oracle("""WITH r AS (SELECT start + 2 * (tree_id = 'T1')::INT AS start, "end" FROM region_runs), s AS (SELECT start, start - COALESCE(lag("end") OVER (ORDER BY start), 0) - 1 AS step FROM r) SELECT start, CASE WHEN step > 0 THEN 'gap' ELSE 'overlap' END AS problem FROM s WHERE step <> 0"""))
 def bundle_problems(spark, sf):
     regions = relation(spark, sf, "region_runs").select((F.col("start") + 2 * (F.col("tree_id") == "T1").cast("int")).alias("start"), "end", "tree_id")
     trees = regions.select("tree_id").distinct().withColumn("newick", F.lit("(a,b);"))
-    return P.read_bundle(P.bundle(regions, trees, 300), 300)[1]
+    sites = regions.agg(F.max("end")).first()[0]
+    return P.read_bundle(P.bundle(regions, trees, sites), sites)[1]
 
 
-@query("truth_inference_join", oracle("SELECT 'all' AS dataset, t.site, label, round(s.value, 6) AS value FROM truth t JOIN (SELECT key AS site, value FROM signal WHERE metric = 'omega' AND dataset = 'BUILDING') s ON s.site = t.site WHERE label IS NOT NULL"))
+@query("truth_inference_join", oracle("SELECT s.dataset, t.site, label, round(s.value, 6) AS value FROM truth t JOIN (SELECT dataset, key AS site, value FROM signal WHERE metric = 'omega') s ON s.site = t.site WHERE label IS NOT NULL"))
 def truth_join(spark, sf):
-    found = relation(spark, sf, "signal").filter("metric = 'omega' AND dataset = 'BUILDING'").select(F.lit("all").alias("dataset"), F.col("key").cast("long").alias("site"), "value")
-    truth = relation(spark, sf, "truth").select(F.lit("all").alias("dataset"), "site", "label")
-    return rounded(P.site_truth_join(truth, found))
+    found = relation(spark, sf, "signal").filter("metric = 'omega'").select("dataset", F.col("key").cast("long").alias("site"), "value")
+    # one truth for the inferences of every dataset
+    truth = relation(spark, sf, "truth").select("site", "label").crossJoin(F.broadcast(found.select("dataset").distinct()))
+    return rounded(P.site_truth_join(truth.select("dataset", "site", "label"), found))
 
 
-@query("rows_with_signals", oracle("SELECT COALESCE(a.key, b.key) AS key, a.n, round(b.value, 6) AS value FROM (SELECT key, COUNT(*) AS n FROM signal WHERE key < 30 GROUP BY key) a FULL JOIN (SELECT key, MAX(value) AS value FROM signal WHERE key > 10 AND metric = 'omega' GROUP BY key) b ON a.key = b.key"))
+@query("rows_with_signals", oracle("SELECT COALESCE(a.key, b.key) AS key, a.n, round(b.value, 6) AS value FROM (SELECT key, COUNT(*) AS n FROM signal WHERE metric = 'posterior' AND value > 0.5 GROUP BY key) a FULL JOIN (SELECT key, MAX(value) AS value FROM signal WHERE metric = 'omega' AND value > 1 GROUP BY key) b ON a.key = b.key"))
 def with_signals(spark, sf):
     s = relation(spark, sf, "signal")
-    a = s.filter("key < 30").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    b = s.filter("key > 10 AND metric = 'omega'").groupBy("key").agg(F.max("value").alias("value"))
+    a = s.filter("metric = 'posterior' AND value > 0.5").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    b = s.filter("metric = 'omega' AND value > 1").groupBy("key").agg(F.max("value").alias("value"))
     return rounded(P.rows_with_signals(a, b, "key"))
 
 
@@ -74,9 +77,9 @@ def overlap_distance(spark, sf):
     return rounded(P.overlap_distance(a, a.select((F.col("start") + 5).alias("start"), (F.col("end") + 5).alias("end"), "tree_id"), d))
 
 
-@query("site_averaged_distance", oracle("SELECT round(avg((site % 5) / 2.0 / 22), 6) AS mean_rf, round(avg((site % 5 = 0)::INT), 6) AS exact FROM aln WHERE taxon = 0"))
+@query("site_averaged_distance", oracle("SELECT round(avg((site % 5) / 2.0 / 22), 6) AS mean_rf, round(avg((site % 5 = 0)::INT), 6) AS exact FROM (SELECT DISTINCT site FROM aln)"))
 def site_distance(spark, sf):
-    rows = relation(spark, sf, "aln").filter("taxon = 0").select("site", (F.col("site") % 5).alias("rf"))
+    rows = relation(spark, sf, "aln").select("site").distinct().select("site", (F.col("site") % 5).alias("rf"))
     return rounded(P.site_distance(rows, 25))
 
 
@@ -89,9 +92,9 @@ def patristic_recovery(spark, sf):
     return rounded(P.recovery(truth, truth.withColumn("distance", F.col("distance") + ((F.col("a") * 7 + F.col("b")) % 5) / 100.0)))
 
 
-@query("mass_array_expectation", "SELECT vec_id, round(list_sum(list_transform(range(1, 65), lambda i: greatest(embedding[i], 0)::DOUBLE * i)) / list_sum(list_transform(embedding, lambda x: greatest(x, 0)::DOUBLE)), 5) AS mean FROM embeddings WHERE vec_id < 200")
+@query("mass_array_expectation", "SELECT vec_id, round(list_sum(list_transform(range(1, 65), lambda i: greatest(embedding[i], 0)::DOUBLE * i)) / list_sum(list_transform(embedding, lambda x: greatest(x, 0)::DOUBLE)), 5) AS mean FROM embeddings")
 def mass_expectation(spark, sf):
-    e = table(spark, sf, "embeddings").filter("vec_id < 200").withColumn("mass", F.transform("embedding", lambda x: F.greatest(x, F.lit(0)).cast("double")))
+    e = table(spark, sf, "embeddings").withColumn("mass", F.transform("embedding", lambda x: F.greatest(x, F.lit(0)).cast("double")))
     return e.select("vec_id", F.round(P.mass_expectation(e, "mass", [float(i) for i in range(1, 65)]), 5).alias("mean"))
 
 

@@ -279,10 +279,11 @@ def crossings(spark, sf):
     return T.crossings(table(spark, sf, "nation").select(F.col("n_nationkey").alias("r1"), ((F.col("n_nationkey") * 7) % 25).alias("r2")))
 
 
-@query("regions_of_codons", oracle("""WITH c AS (SELECT c AS codon, tree_id FROM (SELECT unnest(range(1, 101))::INT AS c) JOIN region_runs ON 3 * c - 1 BETWEEN start AND "end"),
+@query("regions_of_codons", oracle("""WITH c AS (SELECT c AS codon, tree_id FROM (SELECT unnest(range(1, (SELECT MAX("end") // 3 + 1 FROM region_runs)))::INT AS c) JOIN region_runs ON 3 * c - 1 BETWEEN start AND "end"),
     m AS (SELECT codon, tree_id, SUM(x) OVER (ORDER BY codon) AS g FROM (SELECT *, CASE WHEN lag(tree_id) OVER (ORDER BY codon) = tree_id THEN 0 ELSE 1 END AS x FROM c)) SELECT MIN(codon) AS start_codon, MAX(codon) AS end_codon, tree_id FROM m GROUP BY g, tree_id"""))
 def regions_of_codons(spark, sf):
-    return I.codons_to_regions(100, relation(spark, sf, "region_runs"))
+    regions = relation(spark, sf, "region_runs")
+    return I.codons_to_regions(regions.agg(F.max("end")).first()[0] // 3, regions)
 
 
 @query("region_cover_check", oracle("""WITH r AS (SELECT start + (tree_id = 'T2')::INT AS start, "end" + 2 * (tree_id = 'T3')::INT AS "end" FROM region_runs), s AS (SELECT start, "end", COALESCE(start - lag("end") OVER (ORDER BY start) - 1, 0) AS s FROM r) SELECT start, "end", greatest(s, 0) AS gap, greatest(-s, 0) AS overlap FROM s"""))
@@ -291,9 +292,9 @@ def cover_check(spark, sf):
     return I.cover_check(r)
 
 
-@query("sites_to_local_trees", oracle("SELECT DISTINCT taxon, site, tree_id FROM aln JOIN region_runs ON site BETWEEN start AND \"end\" WHERE taxon = 0"))
+@query("sites_to_local_trees", oracle("SELECT DISTINCT taxon, site, tree_id FROM aln JOIN region_runs ON site BETWEEN start AND \"end\""))
 def sites_to_trees(spark, sf):
-    return I.locate(relation(spark, sf, "aln").filter("taxon = 0").select("taxon", "site"), "site", relation(spark, sf, "region_runs")).select("taxon", "site", "tree_id")
+    return I.locate(relation(spark, sf, "aln").select("taxon", "site"), "site", relation(spark, sf, "region_runs")).select("taxon", "site", "tree_id")
 
 
 @query("region_overlaps", oracle("""WITH b AS (SELECT start + 5 AS start, "end" + 9 AS "end", tree_id FROM region_runs) SELECT a.tree_id AS a_id, b.tree_id AS b_id, a.start AS "as", b.start AS bs, least(a."end", b."end") - greatest(a.start, b.start) + 1 AS shared

@@ -1,7 +1,8 @@
 """The domain relations, derived from the driver's tables by expressions that Spark and DuckDB share.
 
 Each relation has a DataFrame builder here and, for the oracles, the same definition as SQL in
-``RELATION_SQL``. All arithmetic that must agree bit for bit is on integers.
+``RELATION_SQL``. All arithmetic that must agree bit for bit is on integers. Sites, keys, chains and
+regions grow with the tables.
 """
 
 from __future__ import annotations
@@ -13,15 +14,21 @@ from pyspark.sql import functions as F
 
 from .session import TABLES, table
 
-#: Taxa and nucleotide sites of the derived alignment.
-TAXA, SITES = 8, 300
+#: Taxa of the derived alignment.
+TAXA = 8
+
+
+def _sites(spark: SparkSession, sf_dir: str, orders: int) -> DataFrame:
+    """site from 0 on, one for every so many orders."""
+    last = table(spark, sf_dir, "lineitem").agg(F.max("l_orderkey").alias("last"))
+    return last.select(F.explode(F.sequence(F.lit(0), F.expr(f"int(last div {orders})"))).alias("site"))
 
 
 def aln(spark: SparkSession, sf_dir: str) -> DataFrame:
     """taxon, site (1-based), base (0..3; null is a gap)."""
     cells = (
         table(spark, sf_dir, "lineitem")
-        .groupBy((F.col("l_suppkey") % TAXA).cast("int").alias("taxon"), (F.col("l_orderkey") % SITES + 1).cast("int").alias("site"))
+        .groupBy((F.col("l_suppkey") % TAXA).cast("int").alias("taxon"), F.expr("int(l_orderkey div 5 + 1)").alias("site"))
         .agg(F.sum("l_partkey").alias("p"), F.sum("l_linenumber").alias("n"))
     )
     return cells.select("taxon", "site", F.when(F.col("n") % 11 != 0, (F.col("p") % 4).cast("int")).alias("base"))
@@ -29,7 +36,7 @@ def aln(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """taxon, site, letter of the full matrix, gaps as '-'."""
-    grid = spark.range(TAXA).select(F.col("id").cast("int").alias("taxon")).crossJoin(spark.range(1, SITES + 1).select(F.col("id").cast("int").alias("site")))
+    grid = spark.range(TAXA).select(F.col("id").cast("int").alias("taxon")).crossJoin(_sites(spark, sf_dir, 5).select((F.col("site") + 1).alias("site")))
     letter = F.coalesce(F.substring(F.lit("ACGT"), F.col("base") + 1, F.lit(1)), F.lit("-"))
     return grid.join(aln(spark, sf_dir), ["taxon", "site"], "left").select("taxon", "site", letter.alias("letter"), "base")
 
@@ -74,37 +81,37 @@ def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lik(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """site (0..199), category (0..24), logl; a cell without rows is at the floor."""
+    """site (from 0), category (0..24), logl; a cell without rows is at the floor."""
     cell = (
         table(spark, sf_dir, "lineitem")
-        .groupBy((F.col("l_orderkey") % 200).cast("int").alias("site"), ((F.col("l_partkey") % 5) * 5 + F.col("l_suppkey") % 5).cast("int").alias("category"))
+        .groupBy(F.expr("int(l_orderkey div 8)").alias("site"), ((F.col("l_partkey") % 5) * 5 + F.col("l_suppkey") % 5).cast("int").alias("category"))
         .agg((-F.sum(F.col("l_quantity").cast("long")) / F.lit(100.0)).alias("logl"))
     )
-    full = spark.range(200).select(F.col("id").cast("int").alias("site")).crossJoin(spark.range(25).select(F.col("id").cast("int").alias("category")))
+    full = _sites(spark, sf_dir, 8).crossJoin(spark.range(25).select(F.col("id").cast("int").alias("category")))
     return full.join(cell, ["site", "category"], "left").select("site", "category", F.greatest(F.coalesce("logl", F.lit(-9.0)), F.lit(-60.0)).alias("logl"))
 
 
 def emission(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """tree_id (0..3), site (1..120), logl."""
+    """tree_id (0..3), site (1-based), logl."""
     cell = (
         table(spark, sf_dir, "lineitem")
-        .groupBy((F.col("l_suppkey") % 4).cast("int").alias("tree_id"), (F.col("l_orderkey") % 120 + 1).cast("int").alias("site"))
+        .groupBy((F.col("l_suppkey") % 4).cast("int").alias("tree_id"), F.expr("int(l_orderkey div 12 + 1)").alias("site"))
         .agg((-(F.sum("l_partkey") % 97) / F.lit(40.0)).alias("logl"))
     )
-    full = spark.range(4).select(F.col("id").cast("int").alias("tree_id")).crossJoin(spark.range(1, 121).select(F.col("id").cast("int").alias("site")))
+    full = spark.range(4).select(F.col("id").cast("int").alias("tree_id")).crossJoin(_sites(spark, sf_dir, 12).select((F.col("site") + 1).alias("site")))
     return full.join(cell, ["tree_id", "site"], "left").select("tree_id", "site", F.coalesce("logl", F.lit(-1.0)).alias("logl"))
 
 
 def region_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """start, end (inclusive, 1-based), tree_id: an ordered cover of the alignment's sites by 25 runs."""
-    nation = table(spark, sf_dir, "nation")
-    return nation.select((12 * F.col("n_nationkey") + 1).alias("start"), (12 * F.col("n_nationkey") + 12).alias("end"), F.concat(F.lit("T"), F.col("n_regionkey")).alias("tree_id"))
+    """start, end (inclusive, 1-based), tree_id: an ordered cover of the alignment's sites by runs of 30."""
+    run = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("int").alias("k"), (F.col("s_nationkey") % 5).alias("t"))
+    return run.select((30 * F.col("k") + 1).alias("start"), (30 * F.col("k") + 30).alias("end"), F.concat(F.lit("T"), F.col("t")).alias("tree_id"))
 
 
 def signal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """dataset, source, method, metric, key, value: three metrics by customer group and market segment."""
     joined = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey"))
-    base = joined.groupBy(F.col("c_mktsegment").alias("dataset"), (F.col("c_custkey") % 40).cast("int").alias("key")).agg(
+    base = joined.groupBy(F.col("c_mktsegment").alias("dataset"), F.expr("int(c_custkey div 4)").alias("key")).agg(
         F.count(F.lit(1)).alias("n"), F.sum((F.col("o_orderkey") % 101).cast("long")).alias("a"), F.sum(F.when(F.col("o_orderstatus") == "F", 1).otherwise(0)).alias("f")
     )
     stack = F.explode(
@@ -125,11 +132,11 @@ def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def events_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """chain, pos (1-based), state (0..3): event types of each user group in time order."""
+    """chain, pos (1-based), state (0..3): event types of each user in time order."""
     from pyspark.sql import Window
 
     events = table(spark, sf_dir, "events")
-    chain = (F.col("user_id") % 20).cast("int")
+    chain = F.col("user_id").cast("int")
     order = Window.partitionBy(chain).orderBy("ts", "event_id")
     return events.select(chain.alias("chain"), F.row_number().over(order).alias("pos"), F.expr("int(length(event_type) % 4)").alias("state"))
 
@@ -138,10 +145,10 @@ RELATIONS = {f.__name__: f for f in (aln, cells, sequences, codons, tree, clades
 
 RELATION_SQL = {
     "aln": """SELECT taxon, site, CASE WHEN n % 11 <> 0 THEN (p % 4)::INT END AS base FROM (
-        SELECT (l_suppkey % 8)::INT AS taxon, (l_orderkey % 300 + 1)::INT AS site, SUM(l_partkey)::BIGINT AS p, SUM(l_linenumber)::BIGINT AS n
+        SELECT (l_suppkey % 8)::INT AS taxon, (l_orderkey // 5 + 1)::INT AS site, SUM(l_partkey)::BIGINT AS p, SUM(l_linenumber)::BIGINT AS n
         FROM lineitem GROUP BY ALL)""",
     "cells": """SELECT t.taxon, s.site, COALESCE(substr('ACGT', a.base + 1, 1), '-') AS letter, a.base
-        FROM (SELECT unnest(range(8))::INT AS taxon) t CROSS JOIN (SELECT unnest(range(1, 301))::INT AS site) s
+        FROM (SELECT unnest(range(8))::INT AS taxon) t CROSS JOIN (SELECT unnest(range(1, (SELECT MAX(l_orderkey) // 5 + 2 FROM lineitem)))::INT AS site) s
         LEFT JOIN aln a ON a.taxon = t.taxon AND a.site = s.site""",
     "sequences": "SELECT taxon, 't' || taxon AS name, string_agg(letter, '' ORDER BY site) AS sequence FROM cells GROUP BY taxon",
     "codons": "SELECT taxon, ((site - 1) // 3 + 1)::INT AS codon_site, string_agg(letter, '' ORDER BY site) AS codon FROM cells GROUP BY 1, 2",
@@ -154,25 +161,25 @@ RELATION_SQL = {
         FROM (SELECT i, greatest(power(10.0::DOUBLE, -1.3010299956639813 + i * 0.6505149978319906) - 0.05, 0.0)::DOUBLE AS v FROM (SELECT unnest(range(5))::INT AS i)) a
         CROSS JOIN (SELECT i, greatest(power(10.0::DOUBLE, -1.3010299956639813 + i * 0.6505149978319906) - 0.05, 0.0)::DOUBLE AS v FROM (SELECT unnest(range(5))::INT AS i)) b""",
     "lik": """SELECT s.site, c.category, greatest(COALESCE(k.logl, -9.0), -60.0)::DOUBLE AS logl
-        FROM (SELECT unnest(range(200))::INT AS site) s CROSS JOIN (SELECT unnest(range(25))::INT AS category) c
-        LEFT JOIN (SELECT (l_orderkey % 200)::INT AS site, ((l_partkey % 5) * 5 + l_suppkey % 5)::INT AS category,
+        FROM (SELECT unnest(range((SELECT MAX(l_orderkey) // 8 + 1 FROM lineitem)))::INT AS site) s CROSS JOIN (SELECT unnest(range(25))::INT AS category) c
+        LEFT JOIN (SELECT (l_orderkey // 8)::INT AS site, ((l_partkey % 5) * 5 + l_suppkey % 5)::INT AS category,
                           -SUM(l_quantity::BIGINT)::BIGINT / 100.0::DOUBLE AS logl FROM lineitem GROUP BY 1, 2) k USING (site, category)""",
     "emission": """SELECT t.tree_id, s.site, COALESCE(k.logl, -1.0)::DOUBLE AS logl
-        FROM (SELECT unnest(range(4))::INT AS tree_id) t CROSS JOIN (SELECT unnest(range(1, 121))::INT AS site) s
-        LEFT JOIN (SELECT (l_suppkey % 4)::INT AS tree_id, (l_orderkey % 120 + 1)::INT AS site, -(SUM(l_partkey)::BIGINT % 97) / 40.0::DOUBLE AS logl
+        FROM (SELECT unnest(range(4))::INT AS tree_id) t CROSS JOIN (SELECT unnest(range(1, (SELECT MAX(l_orderkey) // 12 + 2 FROM lineitem)))::INT AS site) s
+        LEFT JOIN (SELECT (l_suppkey % 4)::INT AS tree_id, (l_orderkey // 12 + 1)::INT AS site, -(SUM(l_partkey)::BIGINT % 97) / 40.0::DOUBLE AS logl
                    FROM lineitem GROUP BY 1, 2) k USING (tree_id, site)""",
-    "region_runs": "SELECT 12 * n_nationkey + 1 AS start, 12 * n_nationkey + 12 AS \"end\", 'T' || n_regionkey AS tree_id FROM nation",
+    "region_runs": "SELECT (30 * s_suppkey + 1)::INT AS start, (30 * s_suppkey + 30)::INT AS \"end\", 'T' || (s_nationkey % 5) AS tree_id FROM supplier",
     "signal": """SELECT dataset, m.source, m.method, m.metric, key, m.value FROM (
         SELECT dataset, key, unnest([
           {'source': 'grid', 'method': 'selection', 'metric': 'posterior', 'value': f / n::DOUBLE},
           {'source': 'grid', 'method': 'ratio_test', 'metric': 'p_value', 'value': (a % 50) / 50.0::DOUBLE},
           {'source': 'scan', 'method': 'mixture', 'metric': 'omega', 'value': (a % 97) / 40.0::DOUBLE}]) AS m
-        FROM (SELECT c_mktsegment AS dataset, (c_custkey % 40)::INT AS key, COUNT(*) AS n, SUM(o_orderkey % 101)::BIGINT AS a,
+        FROM (SELECT c_mktsegment AS dataset, (c_custkey // 4)::INT AS key, COUNT(*) AS n, SUM(o_orderkey % 101)::BIGINT AS a,
                      SUM(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END)::BIGINT AS f
               FROM customer JOIN orders ON c_custkey = o_custkey GROUP BY 1, 2))""",
     "truth": """SELECT doc_id AS site, quality AS label, (n_chars % 211) / 211.0::DOUBLE AS score, (n_chars % 103) / 103.0::DOUBLE AS p
         FROM documents JOIN labels USING (doc_id)""",
-    "events_chain": """SELECT (user_id % 20)::INT AS chain, (row_number() OVER (PARTITION BY user_id % 20 ORDER BY ts, event_id))::INT AS pos,
+    "events_chain": """SELECT user_id::INT AS chain, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id))::INT AS pos,
         (length(event_type) % 4)::INT AS state FROM events""",
 }
 _NEEDS = {"cells": ["aln"], "sequences": ["aln", "cells"], "codons": ["aln", "cells"]}
