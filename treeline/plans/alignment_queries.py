@@ -209,7 +209,13 @@ def tips_without(spark, sf):
     return A.join_tips(relation(spark, sf, "tree").filter("depth = 2").select("name"), have)[1]
 
 
-@query("codon_equilibrium_all_codes", None)
+_EVERY_CODE = ", ".join(f"({t}, '{c}', '{a}')" for t in codes.DIFFERENCES for c, a in sorted(codes.genetic_code(t).items()))
+
+
+@query("codon_equilibrium_all_codes", oracle(f"""WITH {_F3}, c(table_id, codon, aa) AS (VALUES {_EVERY_CODE}),
+    p AS (SELECT table_id, codon, x.frequency * y.frequency * z.frequency AS v FROM c JOIN f x ON x.position = 1 AND x.letter = substr(codon, 1, 1)
+      JOIN f y ON y.position = 2 AND y.letter = substr(codon, 2, 1) JOIN f z ON z.position = 3 AND z.letter = substr(codon, 3, 1) WHERE aa <> '*')
+    SELECT table_id, codon, round(v / SUM(v) OVER (PARTITION BY table_id), 6) AS pi FROM p"""))
 def equilibrium_all(spark, sf):
     return rounded(A.codon_equilibrium(A.f3x4(relation(spark, sf, "codons")), codes.code_table(spark)))
 

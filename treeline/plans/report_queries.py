@@ -128,7 +128,14 @@ def bit_transitions(spark, sf):
     return rounded(P.bit_transitions(relation(spark, sf, "events_chain").withColumnRenamed("state", "mask"), 2))
 
 
-@query("rate_model_bank", None)
+_CODE = ", ".join(f"('{c}', '{a}')" for c, a in sorted(codes.genetic_code(1).items()))
+
+
+@query("rate_model_bank", oracle(f"""WITH f AS (SELECT ((site - 1) % 3 + 1)::INT AS position, letter, COUNT(*)::DOUBLE / SUM(COUNT(*)) OVER (PARTITION BY (site - 1) % 3) AS frequency FROM cells GROUP BY 1, 2, (site - 1) % 3),
+    c(codon, aa) AS (VALUES {_CODE}), p AS (SELECT codon, aa, x.frequency * y.frequency * z.frequency AS v FROM c JOIN f x ON x.position = 1 AND x.letter = substr(codon, 1, 1)
+      JOIN f y ON y.position = 2 AND y.letter = substr(codon, 2, 1) JOIN f z ON z.position = 3 AND z.letter = substr(codon, 3, 1) WHERE aa <> '*'), e AS (SELECT codon, aa, v / SUM(v) OVER () AS pi FROM p)
+    SELECT round(alpha, 6) AS alpha, round(beta, 6) AS beta, a.codon AS from_codon, b.codon AS to_codon, round(CASE WHEN a.aa = b.aa THEN alpha ELSE beta END * b.pi, 6) AS rate
+    FROM (SELECT DISTINCT alpha, beta FROM grid) CROSS JOIN e a JOIN e b ON hamming(a.codon, b.codon) = 1"""))
 def rate_bank(spark, sf):
     table_one = codes.code_table(spark, (1,))
     pi = A.codon_equilibrium(A.f3x4(relation(spark, sf, "codons")), table_one)
