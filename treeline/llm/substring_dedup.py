@@ -10,7 +10,7 @@ window can only recur under a recurring anchor, and two windows of one run are n
 2. Documents are dealt to buckets of bounded size by hash, and with them one occurrence of each
    confirmed or open passage of the bucket. Each bucket compiles its shard of the passages into an
    Aho-Corasick automaton and streams all its documents through it, which finds every occurrence.
-3. Windows of open passages are counted by their own hashes (128 bits) over all documents; those that
+3. Windows of open passages are counted by their own hashes (96 bits) over all documents; those that
    recur are removed too.
 
 A passage in a third of all documents gives one counted row for each batch in step 1 and one pattern
@@ -156,9 +156,9 @@ def _cover(n: int, first: np.ndarray, last: np.ndarray) -> np.ndarray:
     return np.cumsum(step[:-1]) > 0
 
 
-def _window_hashes(hashes: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
-    """[2, window]: two independent hashes of the windows at these words."""
-    return np.stack([sequence_hash(hashes, at, width, lane).view(np.int64) for lane in (0, 1)])
+def _window_hashes(hashes: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent hashes of the windows at these words, of 64 and 32 bits."""
+    return sequence_hash(hashes, at, width).view(np.int64), (sequence_hash(hashes, at, width, 1) >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
 def _text_or_digest(kept: list[str], digest: bool) -> pa.Array:
@@ -213,19 +213,19 @@ def _locate(names: list[str], width: int, digest: bool):
         out |= {
             "_n_words": pa.array(n_words, pa.int64()), "_n_removed": pa.array(n_removed, pa.int64()), "_kept": pa.array(kept, pa.string()),
             "_text": pa.array([x if o else None for x, o in zip(text, is_open, strict=True)], pa.string()),
-            "_first": pa.array(open_first, pa.list_(pa.int32())), "_hash": pa.nulls(len(kept), pa.list_(pa.int64())), "_hash2": pa.nulls(len(kept), pa.list_(pa.int64())), "_cover": pa.array(cover, pa.list_(pa.int32())),
+            "_first": pa.array(open_first, pa.list_(pa.int32())), "_hash": pa.nulls(len(kept), pa.list_(pa.int64())), "_hash2": pa.nulls(len(kept), pa.list_(pa.int32())), "_cover": pa.array(cover, pa.list_(pa.int32())),
         }
         out = pa.table(out)
         if not open_hash:
             return out
         # one row more: the different open windows of the bucket (_hash, _hash2) and how often each is there (_first)
-        one, two = np.concatenate(open_hash, axis=1)
+        one, two = (np.concatenate(h) for h in zip(*open_hash, strict=True))
         order = np.lexsort((two, one))
         one, two = one[order], two[order]
         new = np.flatnonzero(np.concatenate([[True], (one[1:] != one[:-1]) | (two[1:] != two[:-1])]))
         n = np.diff(np.append(new, len(one)))
         own = {
-            "_bucket": group.column("_bucket")[:1], "_hash": pa.array([one[new]], pa.list_(pa.int64())), "_hash2": pa.array([two[new]], pa.list_(pa.int64())),
+            "_bucket": group.column("_bucket")[:1], "_hash": pa.array([one[new]], pa.list_(pa.int64())), "_hash2": pa.array([two[new]], pa.list_(pa.int32())),
             "_first": pa.array([n.astype(np.int32)], pa.list_(pa.int32())),
         }
         return pa.concat_tables([out, pa.table({c: own.get(c, pa.nulls(1, out.schema.field(c).type)) for c in out.column_names})])
@@ -307,7 +307,7 @@ def dedup(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, digest: bool =
     fields = [T.StructField(f.name, f.dataType) for f in docs.schema.fields if f.name != "text"]
     long, text = T.LongType(), T.StringType()
     done = [T.StructField("_n_words", long), T.StructField("_n_removed", long), T.StructField("_kept", text)]
-    opened = [T.StructField("_text", text), T.StructField("_first", T.ArrayType(T.IntegerType())), T.StructField("_hash", T.ArrayType(long)), T.StructField("_hash2", T.ArrayType(long)), T.StructField("_cover", T.ArrayType(T.IntegerType()))]
+    opened = [T.StructField("_text", text), T.StructField("_first", T.ArrayType(T.IntegerType())), T.StructField("_hash", T.ArrayType(long)), T.StructField("_hash2", T.ArrayType(T.IntegerType())), T.StructField("_cover", T.ArrayType(T.IntegerType()))]
     spread = max(partitions(spark), min(buckets, 4 * partitions(spark)))
     located = map_groups(both, "_bucket", _locate(docs.columns, width, digest), T.StructType([T.StructField("_bucket", long), *fields, *done, *opened]), spread=spread)
     located = scratch.write(located, "located")
