@@ -177,7 +177,7 @@ class _Arrays(dict):
         if self.bytes >= REMEMBER_BYTES:
             self.clear()
             self.bytes = 0
-        self.bytes += 250 + 8 * len(word)
+        self.bytes += 180 + 8 * len(word)
         if word.isascii() and word.isprintable():
             letters = word.replace(" ", self.alphabet[0x20])  # other printable ASCII stands for itself
         else:
