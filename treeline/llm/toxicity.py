@@ -239,6 +239,8 @@ def learn(docs: DataFrame, labels: DataFrame, learn_docs: int = LEARN_DOCS, lear
 
     # the sample is bounded, so one task trains on it; the driver gets a float for each bucket
     made = map_arrow(rows.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id"), fit, "buckets binary, bias double").first()
+    if made is None:  # no labelled document has a text
+        return train([], np.empty(0, np.int64))
     return Model(np.frombuffer(made.buckets, np.float32), made.bias)
 
 
