@@ -266,8 +266,7 @@ def weighted_intervals(starts: np.ndarray, ends: np.ndarray, weights: np.ndarray
     n = len(order)
     best = np.zeros((most + 1, n + 1))
     for m in range(1, most + 1):
-        for i in range(1, n + 1):
-            best[m, i] = max(best[m, i - 1], best[m - 1, before[i - 1]] + weights[order[i - 1]])
+        best[m, 1:] = np.maximum.accumulate(np.maximum(best[m - 1, before] + weights[order], 0.0))
     out, m, i = [], most, n
     while m and i:
         if best[m, i] == best[m, i - 1]:
@@ -292,20 +291,96 @@ def match_breakpoints(found: list[int], truth: list[int], tolerance: int) -> tup
     return n, -e
 
 
+def triplet_switches(positions: np.ndarray, states: np.ndarray, expected: np.ndarray, sites: int, accuracy: float) -> tuple[np.ndarray, np.ndarray]:
+    """(probability of a switch in each gap between events, weight of each expected number of switches).
+
+    The three-state chain runs in continuous time over the sites and is solved for all rates at once; a state is
+    left for either other one at equal rates, and rates are averaged by their evidence.
+    """
+    n = len(states)
+    rates = 1.5 * np.asarray(expected, float) / max(1, sites - 1)
+    e = np.full((n, 3), (1 - accuracy) / 2)
+    e[np.arange(n), states] = accuracy
+    stay = np.exp(-np.maximum(1, np.diff(positions))[:, None] * rates)
+    forward, scale = np.empty((n, len(rates), 3)), np.empty((n, len(rates)))
+    at = np.broadcast_to(e[0] / 3, (len(rates), 3))
+    for t in range(n):
+        if t:
+            at = (stay[t - 1][:, None] * forward[t - 1] + (1 - stay[t - 1][:, None]) / 3) * e[t]
+        scale[t] = at.sum(1)
+        forward[t] = at / scale[t][:, None]
+    switch, after = np.empty((n - 1, len(rates))), np.ones((len(rates), 3))
+    for t in range(n - 2, -1, -1):
+        x = e[t + 1] * after / scale[t + 1][:, None]
+        switch[t] = 1 - (forward[t] * x).sum(1) * stay[t] - (forward[t] * x).sum(1) * (1 - stay[t]) / 3
+        after = stay[t][:, None] * x + (1 - stay[t][:, None]) * x.mean(1, keepdims=True)
+    evidence = np.log(scale).sum(0)
+    weight = np.exp(evidence - evidence.max())
+    weight /= weight.sum()
+    return np.maximum(switch @ weight, 0.0), weight
+
+
 def climb_mode(values: np.ndarray, start: int) -> tuple[int, int, int]:
-    """(mode, left end, right end) of the basin that a hill climb on the smoothed values reaches."""
-    padded = np.concatenate([values[:1], values, values[-1:]])
-    v = (padded[:-2] + 2 * padded[1:-1] + padded[2:]) / 4
+    """(mode, left end, right end) of the basin that a hill climb reaches on values smoothed by 1, 2, 1 over what is there; ties go left."""
+    taps = np.array([1.0, 2.0, 1.0])
+    v = np.convolve(values, taps)[1:-1] / np.convolve(np.ones(len(values)), taps)[1:-1]
+    at = lambda j: v[j] if 0 <= j < len(v) else -np.inf
     k = start
-    while True:
-        near = [j for j in (k - 1, k, k + 1) if 0 <= j < len(v)]
-        best = max(near, key=lambda j: (v[j], -j))
-        if v[best] <= v[k]:
-            break
-        k = best
+    while max(at(k - 1), at(k + 1)) > v[k]:
+        k += -1 if at(k - 1) >= at(k + 1) else 1
     a = b = k
     while a > 0 and v[a - 1] <= v[a]:
         a -= 1
     while b < len(v) - 1 and v[b + 1] <= v[b]:
         b += 1
     return k, a, b
+
+
+def mass_position(weights: np.ndarray, share: float) -> int:
+    """First index whose running sum reaches a share of the total; in proportion to the length if all are zero."""
+    total = weights.sum()
+    return int(np.searchsorted(np.cumsum(weights), share * total)) if total > 0 else round(share * (len(weights) - 1))
+
+
+def low_switch_states(logl: np.ndarray, q: float, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(states that stay, path over them) of a reset chain with even weights: states that the smoothed best path leaves out are dropped until none is."""
+    kept = np.arange(logl.shape[1])
+    while True:
+        here = logl[:, kept]
+        path = merge_short_runs(reset_viterbi(here, np.full(len(kept), 1 / len(kept)), q), here, least)
+        used = np.unique(path)
+        if len(used) == len(kept):
+            return kept, kept[path]
+        kept = kept[used]
+
+
+def proxy_weights(logl: np.ndarray, pseudo: float = 0.05) -> np.ndarray:
+    """Weights of the states of a reset chain, from the sum of each one's share of every site."""
+    share = np.exp(np.maximum(-60, logl - logl.max(1, keepdims=True)))
+    weight = pseudo + (share / share.sum(1, keepdims=True)).sum(0)
+    return weight / weight.sum()
+
+
+def rapid_forward(logl: np.ndarray, expected: float, weights: np.ndarray) -> float:
+    """Log likelihood of a reset chain with an expected number of resets, by the forward pass alone."""
+    if expected <= 0:
+        return float(np.logaddexp.reduce(np.log(np.maximum(weights, 5e-324)) + logl.sum(0)))
+    n, k = logl.shape
+    q = 0.0 if k < 2 or n < 2 else 1 - np.exp(-expected / (n - 1))
+    top = logl.max(1, keepdims=True)
+    e, at, total = np.exp(logl - top), weights, float(top.sum())
+    for t in range(n):
+        at = (at if t == 0 else (1 - q) * at + q * weights) * e[t]
+        total += float(np.log(at.sum()))
+        at = at / at.sum()
+    return total
+
+
+def spread_cuts(positions: np.ndarray, evidence: np.ndarray, sites: int, most: int = 12, least: int = 30) -> np.ndarray:
+    """Indexes of at most ``most`` cuts with ``least`` sites on both sides: strongest first, first those that are apart, then by evidence."""
+    inside = np.flatnonzero((positions >= least) & (sites - positions >= least))
+    ranked = inside[np.lexsort((positions[inside], -evidence[inside]))]
+    if len(ranked) <= most:
+        return ranked
+    first = [int(ranked[k]) for k in suppress(positions[ranked], evidence[ranked], max(least, sites // most), most)]
+    return np.array([*first, *[int(k) for k in ranked if k not in set(first)][: most - len(first)]])

@@ -47,6 +47,79 @@ def coalescent(taxa: int, rng: np.random.Generator, preset: str = "constant", sa
     return live[0][0]
 
 
+#: Population by equal steps of time, times the larger of tips and 10, and samples by equal steps, times tips over the horizon.
+CURVES = {
+    "constant": {"population": [5, 5], "sampling": [0, 0]},
+    "serial": {"population": [5, 5], "sampling": [1, 1], "initial": 2},
+    "exponential": {"population": [100, 35, 10, 2], "sampling": [0, 0]},
+    "logistic": {"population": [80, 60, 12, 2, 1.2], "sampling": [1.2, 1.8, 0.75, 0.25], "initial": 3},
+    "bottleneck": {"population": [15, 15, 0.2, 0.2, 12, 12], "sampling": [0, 0]},
+}
+#: The seasonal curves, whose population goes with the root of the tips.
+SEASONAL = {"population": [12, 180, 16, 220, 14, 160, 12], "sampling": [0.15, 2.4, 0.2, 2.8, 0.2, 2.1, 0.15], "initial": 2}
+
+
+def preset_curves(preset: str, horizon: float, tips: int) -> dict:
+    """initial tips and (time, value) points of population size and sampling rate."""
+    spec, scale = SEASONAL if preset == "seasonal" else CURVES[preset], max(10, tips)
+    size = scale**0.5 if preset == "seasonal" else scale
+    points = lambda v, factor: [(horizon * k / (len(v) - 1), x * factor) for k, x in enumerate(v)]
+    return {"initial": min(tips, spec.get("initial", tips)), "population": points(spec["population"], size), "sampling": points(spec["sampling"], tips / horizon)}
+
+
+def hazard(points: list[tuple[float, float]], horizon: float, bins: int = 4096, inverse: bool = False) -> tuple[np.ndarray, np.ndarray, float]:
+    """(times, integral up to each, rate after the horizon) of a smooth curve through points; inverse: of 1 / value."""
+    from .inference import pchip
+
+    t, v = (np.array(x, float) for x in zip(*points, strict=True))
+    at = np.linspace(0, horizon, bins + 1)
+    log = bool((v > 0).all())
+    y = pchip(t, np.log(v) if log else v, np.clip(at, t[0], t[-1]))
+    rate = np.exp(y) if log else np.maximum(y, 0.0)
+    rate = 1 / np.maximum(rate, 1e-12) if inverse else rate
+    return at, np.concatenate([[0.0], np.cumsum((rate[1:] + rate[:-1]) / 2) * horizon / bins]), float(rate[-1])
+
+
+def next_event(now: float, pairs: float, coalescent_hazard, sampling_hazard, rng: np.random.Generator) -> tuple[float, bool]:
+    """(time, whether it is a coalescence) of the first of two competing events: the summed integral is inverted, with constant rates after its end."""
+    times, c, tail_c = coalescent_hazard
+    _, s, tail_s = sampling_hazard or (times, np.zeros_like(c), 0.0)
+    total, tail = pairs * c + s, pairs * tail_c + tail_s
+    start = np.interp(now, times, total) + max(0.0, now - times[-1]) * tail
+    target = start + rng.exponential()
+    if target > total[-1]:
+        if tail <= 0:
+            return float("inf"), True
+        when = times[-1] + (target - total[-1]) / tail
+        return float(when), bool(rng.random() * tail < pairs * tail_c)
+    when = float(np.interp(target, total, times))
+    k = min(int(np.searchsorted(times, when, "right")), len(times) - 1)
+    rate_c, rate_s = pairs * (c[k] - c[k - 1]), s[k] - s[k - 1]
+    return when, bool(rng.random() * (rate_c + rate_s) < rate_c)
+
+
+def coalescent_curves(tips: int, rng: np.random.Generator, curves: dict, horizon: float, ploidy: int = 1, bins: int = 4096) -> Node:
+    """A tree of tips under curves of population and sampling: some at time 0, the rest sampled back in time; the last waits for none."""
+    merge, draw = hazard(curves["population"], horizon, bins, True), hazard(curves["sampling"], horizon, bins)
+    merge = merge[0], merge[1] / ploidy, merge[2] / ploidy
+    live = [(Node(f"t{k}"), 0.0) for k in range(curves["initial"])]
+    now, sampled = 0.0, len(live)
+    while len(live) > 1 or sampled < tips:
+        when, joins = next_event(now, len(live) * (len(live) - 1) / 2, merge, draw if sampled < tips else None, rng)
+        if when == float("inf"):  # nothing can happen before the next sample, and none is drawn: take it now
+            when, joins = max(now, horizon), False
+        now = when
+        if not joins:
+            live.append((Node(f"t{sampled}"), now))
+            sampled += 1
+            continue
+        i, j = sorted(rng.choice(len(live), 2, replace=False))
+        (a, ta), (b, tb) = live[i], live[j]
+        a.length, b.length = now - ta, now - tb
+        live = [x for k, x in enumerate(live) if k not in (i, j)] + [(Node(children=[a, b]), now)]
+    return live[0][0]
+
+
 def hotspot_weights(sites: int, centres: list[tuple[float, float, float]]) -> np.ndarray:
     """1 plus Gaussians (centre, intensity, width) at each boundary."""
     x = np.arange(1, sites)

@@ -116,6 +116,15 @@ def emission_normalise(emission: DataFrame) -> DataFrame:
     return emission.withColumn("relative", F.col("logl") - F.max("logl").over(Window.partitionBy("site")))
 
 
+def proxy_weights(emission: DataFrame, state: str, pseudo: float = 0.05) -> DataFrame:
+    """state, weight of a reset chain for searches: each state's share of every site's likelihood, added up."""
+    site = Window.partitionBy("site")
+    l = F.exp(F.greatest(F.lit(-60.0), F.col("logl") - F.max("logl").over(site)))  # noqa: E741
+    share = emission.select(state, "site", l.alias("_l")).select(state, (F.col("_l") / F.sum("_l").over(site)).alias("_r"))
+    summed = share.groupBy(state).agg((F.sum("_r") + pseudo).alias("weight"))
+    return summed.withColumn("weight", F.col("weight") / F.sum("weight").over(Window.partitionBy()))
+
+
 def occupancy(post: DataFrame) -> DataFrame:
     return post.groupBy("state").agg(F.sum("p").alias("sites"))
 
