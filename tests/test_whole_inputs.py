@@ -2,6 +2,7 @@
 
 from treeline.operators import analyses as X
 from treeline.operators import grids as G
+from treeline.operators import signals as Z
 from treeline.plans import registry
 from treeline.relations import TAXA, relation
 
@@ -29,22 +30,21 @@ def test_relations_grow_with_the_tables(spark):
         assert large >= 4 * small, name
 
 
-def peaks_of(spark, scores):
-    rows = [("d", 0, 1, 2, site, float(g)) for site, g in scores]
-    return spark.createDataFrame(rows, "dataset string, a int, b int, c int, site int, g double")
+def signals_of(spark, scores):
+    rows = [(k, 100, 101, site, site, float(e), 1.0, site - 1, site + 1) for k, (site, e) in enumerate(scores)]
+    return spark.createDataFrame(rows, "a int, b int, c int, event int, breakpoint int, evidence double, switch double, interval_low int, interval_high int")
 
 
 def test_consensus_is_the_heaviest_separated_set(spark):
-    # more than 10 separated centres all stay
-    found = X.consensus_breakpoints(peaks_of(spark, [(100 * k, 10 + k) for k in range(1, 31)])).collect()
-    assert sorted(r.breakpoint for r in found) == [100 * k for k in range(1, 31)] and [r.rank for r in found] == list(range(1, 31))
-    assert found[0].breakpoint == 3000
-    # a strong centre between two that are heavier together; the limit; the penalty
-    near = peaks_of(spark, [(100, 8), (110, 10), (120, 8)])
-    taken = lambda **options: [r.breakpoint for r in X.consensus_breakpoints(near, bandwidth=1.0, **options).collect()]
-    assert taken() == [100, 120]
-    assert taken(sites=130) == [110] and taken(sites=114) == []
-    assert taken(most=1) == [110] and taken(penalty=7.0) == [110] and taken(penalty=11.0) == []
+    # more than 10 separated centres all stay, strongest first
+    found = Z.merged(signals_of(spark, [(100 * k, 5 + k / 10) for k in range(1, 31)]), 3100).collect()
+    assert sorted(r.breakpoint for r in found) == [100 * k for k in range(1, 31)] and sorted(r["rank"] for r in found) == list(range(1, 31))
+    assert min(found, key=lambda r: r["rank"]).breakpoint == 3000
+    # a strong centre between two that are heavier together; the limit; the penalty; the ends
+    near = signals_of(spark, [(100, 6), (110, 8), (120, 6)])
+    taken = lambda sites=1000, **options: sorted(r.breakpoint for r in Z.merged(near, sites, bandwidth=1, **options).collect())
+    assert taken() == [100, 120] and taken(130) == [110] and taken(114) == []
+    assert taken(most=1) == [110] and taken(penalty=2.8) == [110] and taken(penalty=11.0) == []
 
 
 def test_site_grids_are_whole_and_arguments(spark):

@@ -220,33 +220,6 @@ def mask_path(cost: np.ndarray, bits: int, price: np.ndarray) -> tuple[np.ndarra
     return np.array(path[::-1]), float(held[-1].min())
 
 
-def triplet_chain(positions: np.ndarray, states: np.ndarray, rates: list[float], accuracy: float = 0.9) -> np.ndarray:
-    """Posterior [event, state] of a three-state chain in continuous time, averaged over rates by evidence."""
-    emission = np.full((len(states), 3), np.log((1 - accuracy) / 2))
-    emission[np.arange(len(states)), states] = np.log(accuracy)
-    gaps = np.diff(positions)
-    out, evidence = [], []
-    for r in rates:
-        forward, backward, scale = np.empty((len(states), 3)), np.ones((len(states), 3)), np.empty(len(states))
-        e = np.exp(emission)
-        at = e[0] / 3
-        scale[0] = at.sum()
-        forward[0] = at / scale[0]
-        stay = np.exp(-r * gaps)
-        for t in range(1, len(states)):
-            at = (stay[t - 1] * forward[t - 1] + (1 - stay[t - 1]) / 3) * e[t]
-            scale[t] = at.sum()
-            forward[t] = at / scale[t]
-        for t in range(len(states) - 2, -1, -1):
-            x = e[t + 1] * backward[t + 1]
-            backward[t] = (stay[t] * x + (1 - stay[t]) * x.mean()) / scale[t + 1]
-        out.append(forward * backward)
-        evidence.append(np.log(scale).sum())
-    share = np.exp(np.array(evidence) - max(evidence))
-    share /= share.sum()
-    return sum(s * p for s, p in zip(share, out, strict=True))
-
-
 def suppress(positions: np.ndarray, scores: np.ndarray, apart: float, most: int) -> list[int]:
     """Greedy: best first (ties by position), none within ``apart`` of one that is taken."""
     taken: list[int] = []

@@ -428,30 +428,38 @@ def tree_segments(profiles: DataFrame, expected: tuple[float, ...] = (1.0, 3.0,
     return profiles.groupBy("dataset").applyInPandas(run, "dataset string, start int, end int, state int")
 
 
-def consensus_breakpoints(peaks: DataFrame, bandwidth: float = 20.0, apart: int = 15, most: int = 64, penalty: float = 2.5, sites: int | None = None) -> DataFrame:
-    """dataset, rank, breakpoint, score: peaks of triplets vote with a quadratic kernel, one vote for each triplet and centre.
-
-    Of the centres at least ``apart`` sites from each other, the set with the largest sum of score less ``penalty`` and
-    at most ``most`` centres, best first. With ``sites``, no centre is nearer than ``apart`` to an end of the alignment.
-    """
-    p = peaks.select("dataset", F.concat_ws("-", "a", "b", "c").alias("triplet"), "site", "g")
-    centres = p.select("dataset", F.col("site").alias("centre")).distinct()
-    bin_ = lambda c: F.floor(F.col(c) / bandwidth)
-    spread = p.withColumn("_bin", F.explode(F.array(bin_("site") - 1, bin_("site"), bin_("site") + 1)))
-    near = centres.withColumn("_bin", bin_("centre")).join(spread, ["dataset", "_bin"]).withColumn("u", (F.col("site") - F.col("centre")) / bandwidth).filter("abs(u) < 1")
-    if sites is not None:
-        near = near.filter(F.col("centre").between(apart, sites - apart))
-    votes = near.groupBy("dataset", "centre", "triplet").agg(F.max((1 - F.col("u") * F.col("u")) * F.col("g")).alias("v"))
-    scores = votes.groupBy("dataset", "centre").agg(F.sum("v").alias("score"))
+def low_switch_segments(profiles: DataFrame, resets: float = 4.0, least: int = 10) -> DataFrame:
+    """dataset, start, end, state of a chain with even weights from which states go that its best path leaves out, until none does."""
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("centre")
-        at, s = rows["centre"].to_numpy(), rows["score"].round(9).to_numpy()
-        taken = hmm.weighted_intervals(at, at, s - penalty, apart, min(most, len(at)))
-        taken = sorted(taken, key=lambda k: (-s[k], at[k]))
-        return pd.DataFrame({"dataset": key[0], "rank": np.arange(1, len(taken) + 1, dtype=np.int32), "breakpoint": at[taken].astype(np.int32), "score": s[taken]})
+        wide = rows.pivot(index="site", columns="state", values="logl").sort_index()
+        _, path = hmm.low_switch_states(wide.to_numpy(), 1 - np.exp(-resets / max(1, len(wide) - 1)), least)
+        edges = np.concatenate([[0], np.flatnonzero(np.diff(path)) + 1, [len(path)]])
+        sites, states = wide.index.to_numpy(), wide.columns.to_numpy()
+        return pd.DataFrame({"dataset": key[0], "start": [int(sites[a]) for a in edges[:-1]], "end": [int(sites[b - 1]) for b in edges[1:]], "state": [int(states[path[a]]) for a in edges[:-1]]})
+
+    return profiles.groupBy("dataset").applyInPandas(run, "dataset string, start int, end int, state int")
+
 
-    return scores.groupBy("dataset").applyInPandas(run, "dataset string, rank int, breakpoint int, score double")
+def hmm_regions(sequences: DataFrame, least: int = 30) -> DataFrame:
+    """dataset, start, end, newick: regions of the tree HMM over trees that windows of the alignment suggest."""
+    seeds = seed_trees(sequences)
+    profiles = tree_profiles(sequences, seeds).select("dataset", "site", F.col("seed").alias("state"), "logl")
+    found = tree_segments(profiles, least=least)
+    return found.join(seeds.select("dataset", F.col("seed").alias("state"), "newick"), ["dataset", "state"]).select("dataset", "start", "end", "newick")
+
+
+def by_region(sequences: DataFrame, regions: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(sequences, trees, where) of every region as a dataset of its own: where has dataset, whole, first.
+
+    A codon belongs to the region of its middle base; a region without one is left out. ``first`` is the whole alignment's
+    number of the region's first codon, less one.
+    """
+    first, last = F.ceil((F.col("start") + 1) / 3).cast("int"), F.floor((F.col("end") + 1) / 3).cast("int")
+    named = regions.select(F.col("dataset").alias("whole"), first.alias("_a"), last.alias("_b"), "newick").filter("_b >= _a").withColumn("dataset", F.concat("whole", F.lit("#"), "_a"))
+    cut = sequences.withColumnRenamed("dataset", "whole").join(named.select("whole", "dataset", "_a", "_b"), "whole")
+    cut = cut.select("dataset", "name", F.expr("substring(sequence, 3 * (_a - 1) + 1, 3 * (_b - _a + 1))").alias("sequence")).filter("length(sequence) > 0")
+    return cut, named.select("dataset", "newick"), named.select("dataset", "whole", (F.col("_a") - 1).alias("first"))
 
 
 def spr_reconstruction(sequences: DataFrame, window: int = 60, jump: float = 4.0, least: int = 30) -> DataFrame:
@@ -506,10 +514,6 @@ def align_profiles(profiles: DataFrame, chains: DataFrame) -> DataFrame:
     return rows.select("profile", "cells", "chain", "residues").mapInPandas(run, "profile string, chain string, score double, pairs long")
 
 
-def states_of(table: int = 1) -> int:
-    return len(sense_codons(table))
-
-
 def prune_to_taxa(root: Node, keep: set[str]) -> Node | None:
     """A parsed tree cut to some tips, with lengths of suppressed nodes added up."""
     if not root.children:
@@ -523,16 +527,23 @@ def prune_to_taxa(root: Node, keep: set[str]) -> Node | None:
     return Node(root.name, root.length, root.tag, kids)
 
 
+def _network(names, rows, switch: float, charge: float, most: int):
+    """(network, trees that it displays, mask of each site) of one alignment."""
+    from ..kernels import network
+
+    masks = {n: np.array([1 << "ACGT".find(c) if c in "ACGT" else 0 for c in s]) for n, s in zip(names, rows, strict=True)}
+    tree, _ = topology.search_parsimony(topology.canonical(topology.nested(topology.nj_tree(names, rows))), masks)
+    net, root, path, _total = network.search(tree, masks, switch, charge, most)
+    return net, network.displays(net, root), path
+
+
 def joint_network(sequences: DataFrame, switch: float = 4.0, charge: float = 4.0, most: int = 2) -> DataFrame:
     """dataset, event, start, end, displayed tree and network hash of each occurrence of a reticulation, from a parsimony network of the alignment."""
     from ..kernels import network
 
     def run(d, names, rows, _):
-        masks = {n: np.array([1 << "ACGT".find(c) if c in "ACGT" else 0 for c in s]) for n, s in zip(names, rows, strict=True)}
-        tree, _ = topology.search_parsimony(topology.canonical(topology.nested(topology.nj_tree(names, rows))), masks)
-        net, root, path, _total = network.search(tree, masks, switch, charge, most)
-        shown, own = network.displays(net, root), network.reticulations(net)
-        found = network.occurrences(path, len(own))
+        net, shown, path = _network(names, rows, switch, charge, most)
+        found = network.occurrences(path, len(network.reticulations(net)))
         out = pd.DataFrame({
             "event": np.array([b for b, _, _ in found], np.int32), "start": np.array([s for _, s, _ in found], np.int32), "end": np.array([e for _, _, e in found], np.int32),
             "newick": [topology.unit_newick(shown[int(path[s - 1])]) for _, s, _ in found], "network": [topology.network_hash(net)] * len(found),
@@ -542,6 +553,18 @@ def joint_network(sequences: DataFrame, switch: float = 4.0, charge: float = 4.0
     return _grouped(sequences, None, run, "event int, start int, end int, newick string, network string")
 
 
+def network_regions(sequences: DataFrame, switch: float = 4.0, charge: float = 4.0, most: int = 2) -> DataFrame:
+    """dataset, start, end, newick: the alignment covered by runs of one displayed tree of its parsimony network."""
+
+    def run(d, names, rows, _):
+        _net, shown, path = _network(names, rows, switch, charge, most)
+        path = np.asarray(path)
+        edges = np.concatenate([[0], np.flatnonzero(np.diff(path)) + 1, [len(path)]])
+        return pd.DataFrame({"start": (edges[:-1] + 1).astype(np.int32), "end": edges[1:].astype(np.int32), "newick": [topology.unit_newick(shown[int(path[a])]) for a in edges[:-1]]})
+
+    return _grouped(sequences, None, run, "start int, end int, newick string")
+
+
 def stepwise_regions(sequences: DataFrame, least: int = 40, charge: float = 12.0, grid: int = 10) -> DataFrame:
     """dataset, start, end, newick: best-first partition by parsimony of a tree of each range's own, with cuts on a grid of sites."""
     from ..kernels import network

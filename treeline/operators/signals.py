@@ -102,9 +102,9 @@ def merged(signals: DataFrame, sites: int, bandwidth: int = 12, apart: int = 15,
         rows = rows.sort_values("breakpoint", ignore_index=True)
         at, s = rows["breakpoint"].to_numpy(), rows["score"].round(9).to_numpy()
         taken = hmm.weighted_intervals(at, at, s - penalty, apart, min(most, len(at)))
-        return rows.iloc[sorted(taken, key=lambda k: (-s[k], at[k]))].assign(rank=np.arange(1, len(taken) + 1, dtype=np.int32))
+        return rows.drop(columns="_all").iloc[sorted(taken, key=lambda k: (-s[k], at[k]))].assign(rank=np.arange(1, len(taken) + 1, dtype=np.int32))
 
-    return held.groupBy(F.lit(0)).applyInPandas(run, "breakpoint int, triplets long, score double, low int, high int, rank int")
+    return held.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(run, "breakpoint int, triplets long, score double, low int, high int, rank int")
 
 
 def cuts(candidates: DataFrame, sites: int, most: int = 12, least: int = 30) -> DataFrame:

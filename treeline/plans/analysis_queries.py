@@ -100,14 +100,41 @@ def tree_segments(spark, sf):
     return X.tree_segments(profiles.select("dataset", "site", F.col("seed").alias("state"), "logl"))
 
 
-@query("recombination_consensus")
-def consensus(spark, sf):
+def _refined(spark, sf):
+    """(refined signals of all triplets of the derived alignment, its sites)."""
     from ..operators.alignment import triplet_events
+    from ..operators.signals import refine
     from ..operators.windows import rolling_scan
 
     aln = relation(spark, sf, "aln")
-    peaks = rolling_scan(triplet_events(aln), 10).filter("peak AND g > 3").withColumn("dataset", F.lit("aln"))
-    return rounded(X.consensus_breakpoints(peaks, sites=aln.agg(F.max("site")).first()[0] or 0))
+    sites = aln.agg(F.max("site")).first()[0] or 0
+    return refine(rolling_scan(triplet_events(aln), 10), sites, 10), sites
+
+
+@query("recombination_signals")
+def refined_signals(spark, sf):
+    return rounded(_refined(spark, sf)[0])
+
+
+@query("recombination_consensus")
+def consensus(spark, sf):
+    from ..operators.signals import merged
+
+    return rounded(merged(*_refined(spark, sf)))
+
+
+@query("recombination_cuts")
+def cuts(spark, sf):
+    from ..operators.signals import cuts, merged
+
+    signals, sites = _refined(spark, sf)
+    return rounded(cuts(merged(signals, sites).withColumn("dataset", F.lit("aln")), sites))
+
+
+@query("recombination_retained_states")
+def retained_states(spark, sf):
+    profiles = relation(spark, sf, "emission").select(F.lit("aln").alias("dataset"), "site", F.col("tree_id").alias("state"), "logl")
+    return X.low_switch_segments(profiles)
 
 
 @query("recombination_spr_path")

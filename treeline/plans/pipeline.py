@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Stages of a pipeline in order, and the node kinds of each.
-STAGES = {"input": ("alignment", "tree", "simulator"), "source": ("user-tree", "true-tree", "nj-tree", "segments"), "selection": ("selection",)}
+STAGES = {"input": ("alignment", "tree", "simulator"), "source": ("user-tree", "true-tree", "nj-tree", "tree-hmm", "spr-history", "joint-network"), "selection": ("selection",)}
+#: Sources that give each region of an alignment a tree of its own.
+REGIONAL = ("tree-hmm", "spr-history", "joint-network")
 SIGNAL = "dataset string, source string, method string, metric string, key string, value double"
 
 
@@ -72,7 +74,7 @@ def _signals(rows: DataFrame, method: str, metrics: list[str], key: str = "site"
 def methods() -> dict[str, Method]:
     from ..operators import analyses as X
 
-    trees = ("user-tree", "true-tree", "nj-tree")
+    trees = ("user-tree", "true-tree", "nj-tree", *REGIONAL)
     threshold = Parameter("threshold", "number", 0.9, 0, 1)
     return {
         "selection": Method(Manifest("selection", "1", trees, (threshold,)), lambda s, t, **p: _signals(X.site_selection(s, t, **p), "selection", ["p_positive", "p_purifying", "mean_alpha", "mean_beta", "lrt"])),
@@ -129,6 +131,17 @@ def routes(nodes: list[Node]) -> list[tuple[Node, Node]]:
     return [(s, m) for s in nodes if stage_of(s.kind) == "source" for m in nodes if m.kind == "selection" and s.kind in known[m.model].manifest.accepts]
 
 
+def _regional(method: Analysis, sequences: DataFrame, regions: DataFrame, parameters: dict[str, Any]) -> DataFrame:
+    """Signals of a method run on every region with its own tree; sites are numbered through the whole alignment, branches by region."""
+    from ..operators.analyses import by_region
+
+    cut, trees, where = by_region(sequences, regions)
+    found = method.plan(cut, trees, parameters).join(where, "dataset")
+    site = found["key"].try_cast("int")
+    key = F.when(site.isNotNull(), (site + F.col("first")).cast("string")).otherwise(F.concat(F.col("first") + 1, F.lit(":"), "key"))
+    return found.select(F.col("whole").alias("dataset"), "method", "metric", key.alias("key"), "value")
+
+
 def run(spark: SparkSession, text: str, sequences: DataFrame | None = None, trees: DataFrame | None = None) -> tuple[DataFrame, list[str]]:
     """(signals of all routes in one lazy union, failed routes). A route that can't be planned leaves the others alone."""
     from ..operators import analyses as X
@@ -140,14 +153,18 @@ def run(spark: SparkSession, text: str, sequences: DataFrame | None = None, tree
             sequences, true_trees, _, _ = X.simulate_datasets(spark, **{"replicates": 1, **n.parameters})
     if sequences is None:
         raise ValueError("there is no alignment")
-    source = {"user-tree": lambda: trees, "true-tree": lambda: true_trees, "nj-tree": lambda: X.join_trees(sequences)}
+    source = {
+        "user-tree": lambda: trees, "true-tree": lambda: true_trees, "nj-tree": lambda: X.join_trees(sequences), "tree-hmm": lambda: X.hmm_regions(sequences),
+        "spr-history": lambda: X.spr_reconstruction(sequences), "joint-network": lambda: X.network_regions(sequences),
+    }
     known, out, failed = methods(), None, []
     for s, m in routes(nodes):
         try:
             of = source[s.kind]()
             if of is None:
                 raise ValueError("there is no tree")
-            found = known[m.model].plan(sequences, of, m.parameters).withColumn("source", F.lit(s.id)).select("dataset", "source", "method", "metric", "key", "value")
+            found = _regional(known[m.model], sequences, of, m.parameters) if s.kind in REGIONAL else known[m.model].plan(sequences, of, m.parameters)
+            found = found.withColumn("source", F.lit(s.id)).select("dataset", "source", "method", "metric", "key", "value")
             out = found if out is None else out.unionByName(found)
         except Exception as e:  # the others go on; what failed is told
             failed.append(f"{s.id} -> {m.id}: {e}")
