@@ -15,9 +15,9 @@ _SITES = "s AS (SELECT site, COALESCE(SUM(mass) FILTER (beta > alpha), 0) AS p,
 
 
 @query("selection_report", oracle(f"""WITH {_em(3)}, {_SITES} SELECT site AS "Codon Sites", round(p, 6) AS "P(beta > alpha)", round(q, 6) AS "P(alpha > beta)", round(a, 6) AS "mean(alpha)", round(b, 6) AS "mean(beta)",
-    p > 0.8 AS positive_selected, q > 0.8 AS purifying_selected, CASE WHEN p > 0.8 THEN 'positive' WHEN q > 0.8 THEN 'purifying' ELSE 'none' END AS selection FROM s"""))
+    p > 0.5 AS positive_selected, q > 0.5 AS purifying_selected, CASE WHEN p > 0.5 THEN 'positive' WHEN q > 0.5 THEN 'purifying' ELSE 'none' END AS selection FROM s"""))
 def selection_report(spark, sf):
-    report = P.selection_report(M.selection_table(_posterior(spark, sf, 3), relation(spark, sf, "grid")), 0.8)
+    report = P.selection_report(M.selection_table(_posterior(spark, sf, 3), relation(spark, sf, "grid")), 0.5)
     return report.select(*[F.round(f"`{c}`", 6).alias(c) if t == "double" else F.col(f"`{c}`") for c, t in report.dtypes])
 
 
@@ -27,13 +27,13 @@ def ratio_report(spark, sf):
     return rounded(P.ratio_report(rows, 0.1))
 
 
-@query("violin_lanes", oracle(f"""WITH {_em(3)}, {_SITES}, c AS (SELECT site, CASE WHEN p > 0.7 THEN 'positive' ELSE 'purifying' END AS call FROM s WHERE p > 0.7 OR q > 0.7),
+@query("violin_lanes", oracle(f"""WITH {_em(3)}, {_SITES}, c AS (SELECT site, CASE WHEN p > 0.5 THEN 'positive' ELSE 'purifying' END AS call FROM s WHERE p > 0.5 OR q > 0.5),
     m AS (SELECT site, 'alpha' AS axis, alpha_idx AS bin, SUM(mass) AS mass FROM post JOIN grid USING (category) GROUP BY site, alpha_idx UNION ALL SELECT site, 'beta', beta_idx, SUM(mass) FROM post JOIN grid USING (category) GROUP BY site, beta_idx)
     SELECT site, call, axis, bin, round(mass, 6) AS mass FROM c JOIN m USING (site)"""))
 def violin_lanes(spark, sf):
     grid = relation(spark, sf, "grid")
     post = _posterior(spark, sf, 3)
-    rows = P.violin_rows(M.marginals(post, grid), M.selection_table(post, grid), 0.7)
+    rows = P.violin_rows(M.marginals(post, grid), M.selection_table(post, grid), 0.5)
     lanes = rows.select("site", "call", F.explode(F.create_map(F.lit("alpha"), "alpha", F.lit("beta"), "beta")).alias("axis", "lane"))
     return rounded(lanes.select("site", "call", "axis", F.posexplode("lane").alias("bin", "mass")))
 
@@ -52,7 +52,7 @@ def newick_found(spark, sf):
     return P.newick_texts(nested.select("result", F.create_map("tree_id", F.concat(F.lit("("), "tree_id", F.lit(");"))).alias("names")))
 
 
-@query("nested_rows", oracle("SELECT row_number() OVER (PARTITION BY tree_id ORDER BY start) AS row, start, \"end\" FROM region_runs"))
+@query("nested_rows", oracle("SELECT row_number() OVER (PARTITION BY tree_id ORDER BY start)::INT AS row, start, \"end\" FROM region_runs"))
 def nested_rows(spark, sf):
     nested = relation(spark, sf, "region_runs").groupBy("tree_id").agg(F.struct(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("regions")).alias("result"))
     return P.nested_tables(nested)["result.regions"]
@@ -66,10 +66,10 @@ def restored_names(spark, sf):
     return P.restored_names(n.groupBy(F.col("r_name").alias("tree_id")).agg(text.alias("newick")), n.select(F.col("n_nationkey").alias("index"), F.col("n_name").alias("name")))
 
 
-@query("null_vector", "SELECT n_regionkey AS model, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS position, n_name AS name, n_nationkey / 10.0::DOUBLE AS value FROM nation WHERE n_name <> 'CHINA'")
+@query("null_vector", "SELECT n_regionkey AS model, (row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1)::INT AS position, n_name AS name, n_nationkey / 10.0::DOUBLE AS value FROM nation WHERE n_name <> 'NATION_7'")
 def null_vector(spark, sf):
     n = table(spark, sf, "nation").select(F.col("n_regionkey").alias("model"), F.col("n_nationkey").alias("position"), F.col("n_name").alias("name"), (F.col("n_nationkey") / 10.0).alias("value"))
-    return P.null_vector(n, "CHINA")
+    return P.null_vector(n, "NATION_7")
 
 
 @query("saved_index", oracle("SELECT dataset, source, method, string_agg(DISTINCT metric, ',' ORDER BY metric) AS metrics, COUNT(DISTINCT key) AS keys FROM signal GROUP BY ALL"))
@@ -127,7 +127,7 @@ def path_penalties(spark, sf):
 
 @query("simulation_settings", """WITH c AS (SELECT c_custkey, c_custkey % 2500 AS tips, c_custkey % 7 AS first, c_acctbal AS horizon, c_nationkey AS nation FROM customer), t AS (SELECT *, greatest(2, least(2000, tips)) AS kept FROM c)
     SELECT c_custkey, kept::INT AS tips, greatest(1, least(kept, first))::INT AS initial, round(greatest(0.1, horizon), 6) AS horizon, CASE WHEN nation % 2 = 0 THEN 'scuff' ELSE 'mg94' END AS engine,
-    round(CASE WHEN nation % 2 = 0 THEN greatest(0, nation - 5.0) END, 6) AS burnin, round(greatest(1, least(20, nation)), 6)::DOUBLE AS oversample, (2 * kept)::INT AS carrier_tips,
+    round(CASE WHEN nation % 2 = 0 THEN greatest(0, nation - 5.0) END, 6)::DOUBLE AS burnin, round(greatest(1, least(20, nation)), 6)::DOUBLE AS oversample, (2 * kept)::INT AS carrier_tips,
     CASE WHEN greatest(1, least(kept, first)) = kept THEN 2 * kept ELSE greatest(1, least(2 * kept, 2 * greatest(1, least(kept, first)))) END::INT AS carrier_initial FROM t""")
 def simulation_settings(spark, sf):
     c = table(spark, sf, "customer")
