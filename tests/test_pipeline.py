@@ -48,3 +48,14 @@ def test_command_line(spark, tmp_path, capsys):
     assert main(["run", "--config", str(tmp_path / "c.json"), "--input", str(tmp_path / "in"), "--output", str(tmp_path / "out")]) == 0
     assert spark.read.option("header", True).csv(str(tmp_path / "out/signals")).count() == 4
     assert "episodic" in capsys.readouterr().out
+
+
+def test_replot_makes_the_tables_again(spark, tmp_path):
+    rows = [("d", "nj", m, metric, str(k), k / 2) for m in ("selection", "episodic") for metric in ("a", "b") for k in range(3)]
+    pipeline.write_reports(spark.createDataFrame(rows, pipeline.SIGNAL), str(tmp_path / "one"))
+    pipeline.replot(spark, str(tmp_path / "one"), str(tmp_path / "two"))
+    pipeline.replot(spark, str(tmp_path / "one"), str(tmp_path / "three"), ["episodic"])
+    read = lambda n, t: sorted(map(str, spark.read.option("header", True).csv(str(tmp_path / n / t)).collect()))
+    assert all(read("one", t) == read("two", t) for t in ("signals", "catalog", "tables")) and len(read("three", "tables")) == 3
+    with pytest.raises(ValueError):
+        pipeline.replot(spark, str(tmp_path / "one"), f"{tmp_path}/one/")

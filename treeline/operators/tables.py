@@ -111,3 +111,10 @@ def null_vector(parameters: DataFrame, dropped: str) -> DataFrame:
 def saved_index(signals: DataFrame) -> DataFrame:
     """dataset, source, method, signals, keys: what a saved run holds, so that tables can be made again without its analysis."""
     return signals.groupBy("dataset", "source", "method").agg(F.array_sort(F.collect_set("metric")).alias("metrics"), F.countDistinct("key").alias("keys"))
+
+
+def named_moves(moves: DataFrame, taxa: DataFrame) -> DataFrame:
+    """moves with index arrays ``moved`` and ``target`` as sorted arrays of names; an index without a name is left out."""
+    names = F.broadcast(taxa.agg(F.map_from_entries(F.collect_list(F.struct("index", "name"))).alias("_names")))  # the taxa of one alignment
+    label = lambda c: F.array_sort(F.filter(F.transform(c, lambda i: F.try_element_at("_names", i)), lambda x: x.isNotNull())).alias(c)
+    return moves.crossJoin(names).select(*[c for c in moves.columns if c not in ("moved", "target")], label("moved"), label("target"))

@@ -184,12 +184,20 @@ def write_reports(signals: DataFrame, folder: str) -> None:
     """Long table, catalog, and a wide table of each method, as CSV."""
     from ..operators.compare import catalog
 
-    signals.write.mode("overwrite").option("header", True).csv(f"{folder}/signals")
+    signals.select("dataset", "source", "method", "metric", "key", "value").write.mode("overwrite").option("header", True).csv(f"{folder}/signals")
     catalog(signals).coalesce(1).write.mode("overwrite").option("header", True).csv(f"{folder}/catalog")
     wide = signals.groupBy("dataset", "source", "method", "key").pivot("metric").agg(F.first("value"))
     wide.write.mode("overwrite").partitionBy("method").option("header", True).csv(f"{folder}/tables")
 
 
+def replot(spark: SparkSession, saved: str, folder: str, methods: list[str] | None = None) -> None:
+    """Tables made again from a saved run, of some methods or all, without its analyses."""
+    if saved.rstrip("/") == folder.rstrip("/"):
+        raise ValueError("a run can't be made again in its own folder")
+    signals = spark.read.option("header", True).schema(SIGNAL).csv(f"{saved}/signals")
+    write_reports(signals if methods is None else signals.filter(F.col("method").isin(methods)), folder)
+
+
 SCHEMA_OF_DEFINITION = T.StructType([
     T.StructField("schemaVersion", T.IntegerType()), T.StructField("id", T.StringType()),
     T.StructField("nodes", T.ArrayType(T.StructType([T.StructField("id", T.StringType()), T.StructField("kind", T.StringType()), T.StructField("modelId", T.StringType()), T.StructField("parameters", T.MapType(T.StringType(), T.StringType()))]))),

@@ -152,3 +152,12 @@ def marginal_draws(spark, sf):
     SELECT tree_id, round(w / SUM(w) OVER (), 6) AS weight FROM w"""))
 def proxy_weights(spark, sf):
     return rounded(M.proxy_weights(relation(spark, sf, "emission"), "tree_id"))
+
+
+@query("named_moves", "SELECT s_suppkey, list_aggregate(list_sort(['NATION_' || s_nationkey, 'NATION_' || (s_nationkey + 7) % 25]), 'string_agg', ',') AS moved, 'NATION_' || (s_suppkey % 25) AS target FROM supplier")
+def named_moves(spark, sf):
+    s, nation = table(spark, sf, "supplier"), table(spark, sf, "nation").select(F.col("n_nationkey").cast("int").alias("index"), F.col("n_name").alias("name"))
+    one = lambda c: c.cast("int")
+    moves = s.select("s_suppkey", F.array(one(F.col("s_nationkey")), one((F.col("s_nationkey") + 7) % 25)).alias("moved"), F.array(one(F.col("s_suppkey") % 25), F.lit(99)).alias("target"))
+    found = P.named_moves(moves, nation)
+    return found.select("s_suppkey", F.array_join("moved", ",").alias("moved"), F.array_join("target", ",").alias("target"))
