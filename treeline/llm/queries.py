@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, embed_dedup, fim, html_extract, langid, mixing, ngram_join, spelling, sst, substring_dedup, toxicity
+from . import ann, bpe, embed_dedup, fim, html_extract, langid, mixing, ngram_join, spelling, sst, substring_dedup, suffix_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": bpe.op1_bpe,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_nearest": ann.op9_nearest,
     "op10_language_id": langid.op10_language_id,
+    "op11_suffix_dedup": suffix_dedup.op11_suffix_dedup,
     "op12_fill_in_middle": fim.op12_fill_in_middle,
     "op13_spelling_variants": spelling.op13_spelling_variants,
 }
@@ -77,6 +78,7 @@ ORACLE_SQL: dict[str, str] = {
     "op7_embedding_dedup": OP7_SQL,
     "op10_language_id": OP10_SQL,
     "op5_mixing": mixing.OP5_SQL,
+    "op11_suffix_dedup": suffix_dedup.OP11_SQL,
     "op12_fill_in_middle": fim.OP12_SQL,
     "op13_spelling_variants": spelling.OP13_SQL,
 }
