@@ -18,4 +18,4 @@ def test_oracles(spark, sf_dir):
 
 
 def test_names():
-    assert [int(n[2:].split("_")[0]) for n in queries.QUERIES] == list(range(1, 11))
+    assert [int(n[2:].split("_")[0]) for n in queries.QUERIES] == list(range(1, 14))

@@ -115,7 +115,7 @@ class Chunk:
     """Texts side by side with a gap after each, and what is known of their windows."""
 
     def __init__(self, number: int, ids: list[int | None], sizes: list[int], data: bytes, width: int, buckets: int, replies: dict[int, bytes]):
-        self.number, self.ids, self.width, self.half, self.buckets, self.replies = number, ids, width, width // 2, buckets, replies
+        self.number, self.ids, self.width, self.half, self.buckets, self.replies = number, ids, width, -(-width // 2), buckets, replies
         self.size = np.maximum(np.array(sizes, np.int64), 0)
         self.begin = np.cumsum(self.size + 1) - self.size - 1
         self.data = np.frombuffer(data, np.uint8)
@@ -157,7 +157,7 @@ class Chunk:
             one, _ = paired(h[first], h[first + step])
             two, _ = paired(h[last], h[last + step])
             name, extra = paired(one, two, last - first)
-            rank = h[anchor[first]]
+            rank = mix64(h[anchor[first]])  # the least of many are small; buckets go by the upper bits
             # in text of one letter every window is a stretch: equal neighbours are one record
             same = (name[1:] == name[:-1]) & (extra[1:] == extra[:-1]) & (first[1:] == last[:-1] + 1)
             heads, tails = np.concatenate([[True], ~same])[: len(name)], np.concatenate([~same, [True]])[: len(name)]
