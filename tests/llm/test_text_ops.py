@@ -434,3 +434,59 @@ def test_held_out_rule(spark):
     got = [r.h for r in spark.createDataFrame([(i,) for i in ids], "doc_id long").select(common.held_out(F.col("doc_id")).alias("h")).collect()]
     assert got == [i is not None and zlib.crc32(str(i).encode()) % 5 == 0 for i in ids]
 
+
+# op6: what is compared
+
+
+def test_texts_that_share_half_are_not_compared(spark):
+    """Texts that share 60 of 100 words meet in bands, but hardly any pair is plausible, so few are shipped."""
+    rng = random.Random(11)
+    shared = [f"s{k}" for k in range(60)]
+    rows = [(k, " ".join(shared + [f"u{k}x{j}" for j in range(40)])) for k in range(1500)]
+    rows += [(5000, " ".join(f"v{j}" for j in range(100))), (5001, " ".join(f"v{j}" for j in range(101)))]
+    rng.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    bands, per = ngram_join.banding()
+    ties = ngram_join.plausible(ngram_join.signed(docs, bands, per), ngram_join.least_agreement(bands * per, 0.8)).distinct().count()
+    assert 1 <= ties < 150
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in joined(docs)}
+    assert got[5000] == got[5001] == (5000, 1)
+    assert all(got[k] == (k, 0) for k in range(1500))
+
+
+def joined(docs):
+    rows, nodes, _ = ngram_join.near_duplicates(docs)
+    return rows.join(nodes, "set_key").select("doc_id", "class_id", "n_links").collect()
+
+
+def test_many_equal_rows_are_one_text(spark):
+    text = " ".join(f"w{k}" for k in range(80))
+    docs = spark.createDataFrame([(1, text)] * 6000 + [(2, text + " more")], "doc_id long, text string").repartition(6)
+    got = joined(docs)
+    assert len(got) == 6001
+    assert {(r["doc_id"], r["class_id"], r["n_links"]) for r in got} == {(1, 1, 6000), (2, 1, 6000)}
+
+
+def test_large_buckets_are_tiled(spark):
+    """More near copies than a tile of signatures or texts holds: all are linked with all."""
+    base = [f"w{k}" for k in range(400)]
+    rows = [(k, " ".join([*base[: k % 380], f"x{k}", *base[k % 380 :]])) for k in range(700)]
+    got = joined(spark.createDataFrame(rows, "doc_id long, text string").repartition(6))
+    assert {(r["class_id"], r["n_links"]) for r in got} == {(0, 699)}
+
+
+def test_runs_are_whole(spark):
+    """map_runs hands over whole groups, wherever batches end."""
+
+    def sizes(table):
+        keys = table.column("k").to_numpy()
+        begin = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        return pa.table({"k": pa.array(keys[begin]), "n": pa.array(np.diff(np.append(begin, len(keys))))})
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        rows = [(k,) for k in range(40) for _ in range(1 + k * 3 % 23)]
+        got = common.map_runs(spark.createDataFrame(rows, "k long"), "k", sizes, "k long, n long").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted((r["k"], r["n"]) for r in got) == [(k, 1 + k * 3 % 23) for k in range(40)]

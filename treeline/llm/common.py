@@ -138,6 +138,31 @@ def map_groups(df: DataFrame, key: str, fn: Callable[[pa.Table], pa.Table | None
     return dealt.mapInArrow(stream, schema)
 
 
+def map_runs(df: DataFrame, key: str, fn: Callable[[pa.Table], pa.Table | None], schema: T.StructType | str) -> DataFrame:
+    """``fn`` on tables of many whole groups of ``key`` (a non-null long), in its order; a table is a batch and what began before it."""
+    dealt = df.repartition(partitions(df.sparkSession), F.col(key)).sortWithinPartitions(key)
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            keys = batch.column(batch.schema.get_field_index(key)).to_numpy(zero_copy_only=False)
+            if not len(keys):
+                continue
+            last = len(keys) - int((keys[::-1] != keys[-1]).argmax()) if keys[0] != keys[-1] else 0
+            if last or (held and held[-1].column(batch.schema.get_field_index(key))[-1].as_py() != keys[0]):
+                out = fn(pa.Table.from_batches([*held, batch.slice(0, last)]))
+                if out is not None and out.num_rows:
+                    yield from out.to_batches()
+                held = []
+            held.append(batch.slice(last))
+        if held:
+            out = fn(pa.Table.from_batches(held))
+            if out is not None and out.num_rows:
+                yield from out.to_batches()
+
+    return dealt.mapInArrow(stream, schema)
+
+
 def texts_of(column: pa.ChunkedArray | pa.Array) -> list[str | None]:
     return column.to_pylist()
 

@@ -1,13 +1,15 @@
 """Self-join of documents on Jaccard similarity of their word 5-gram sets: MinHash banding, then verification.
 
-1. Each text gives its shingle set, a 128-bit key of that set, and one hash for each band of its
-   MinHash signature. Bands and rows are chosen for a target recall at the threshold.
-2. Texts of equal sets become one node with a count of copies.
-3. Nodes are shuffled on band hashes. Each node of a band bucket is tied to the bucket's least node
-   only, so a bucket of any size gives one row for each member.
-4. Ties are closed to candidate groups, which contain every pair that shares a bucket. A group is cut
-   by hash into tiles; each pair of tiles compares its texts' full sets in one matrix product.
-   Tiles return counts of links and a spanning forest, never the pairs.
+1. Each text gives its shingle set, a 128-bit key of that set, one hash for each band of its MinHash
+   signature, and a byte of each of the signature's minima. Bands and rows are chosen for a target recall
+   at the threshold.
+2. Texts of equal sets become one node with a count of copies; rows equal in doc_id and text are one.
+3. Nodes are shuffled on band hashes. Within a bucket the signatures are compared, in tiles if it is large:
+   a pair is plausible if no fewer minima agree than chance allows at the threshold. A bucket returns a
+   spanning forest of its plausible pairs; texts that share a band but not much more are not tied.
+4. Ties are closed to candidate groups. A group is cut by hash into tiles; each pair of tiles compares
+   its texts' full sets in one matrix product. Tiles return counts of links and a spanning forest,
+   never the pairs.
 5. The forests of all tiles are closed to classes.
 """
 
@@ -22,13 +24,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, hide, map_arrow, map_groups
+from .common import Scratch, hide, map_arrow, map_groups, map_runs
 from .components import components
 from .words import by_bytes, mix64, shingle_sets, words_of
 
 WIDTH, THRESHOLD, RECALL = 5, 0.8, 0.9999
-#: Texts and shingles in a tile at most, but for single texts that are larger.
-TILE_TEXTS, TILE_SHINGLES = 256, 400_000
+#: Texts and shingles in a tile at most, but for single texts that are larger; signatures in a bucket's tile.
+TILE_TEXTS, TILE_SHINGLES, TILE_SIGNATURES = 256, 400_000, 512
+#: Standard deviations that a signature's agreement may fall short at the threshold: about one pair in ten million.
+SHORT = 5.5
 
 
 def banding(threshold: float = THRESHOLD, recall: float = RECALL, most_hashes: int = 160) -> tuple[int, int]:
@@ -47,12 +51,12 @@ def _multipliers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 1 << 63, n, dtype=np.uint64)
 
 
-def band_hashes(sets: np.ndarray, begin: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    """[text, band] for the texts with shingles; each is of ``rows`` minima of 64-bit hashes."""
+def band_hashes(sets: np.ndarray, begin: np.ndarray, bands: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """[text, band] for the texts with shingles, each of ``rows`` minima of 64-bit hashes, and a byte of each minimum."""
     some = np.flatnonzero(np.diff(begin) > 0)
-    out = np.zeros((len(begin) - 1, bands), np.uint64)
+    out, signature = np.zeros((len(begin) - 1, bands), np.uint64), np.zeros((len(begin) - 1, bands * rows), np.uint8)
     if not len(some):
-        return out
+        return out, signature
     a, b = _multipliers(bands * rows)
     with np.errstate(over="ignore"):
         for band in range(bands):
@@ -60,8 +64,14 @@ def band_hashes(sets: np.ndarray, begin: np.ndarray, bands: int, rows: int) -> n
             for k in range(band * rows, band * rows + rows):
                 low = np.minimum.reduceat((sets * a[k] + b[k]) ^ (sets >> np.uint64(32)), begin[:-1][some])
                 h = mix64(h * np.uint64(0x2545F4914F6CDD1D) + low)
+                signature[some, k] = low * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(56)
             out[some, band] = h
-    return out
+    return out, signature
+
+
+def least_agreement(hashes: int, threshold: float) -> int:
+    """How many of so many minima a pair at the threshold shares at least."""
+    return max(1, math.floor(hashes * threshold - SHORT * math.sqrt(hashes * threshold * (1 - threshold))))
 
 
 def set_keys(sets: np.ndarray, begin: np.ndarray) -> list[bytes | None]:
@@ -69,24 +79,56 @@ def set_keys(sets: np.ndarray, begin: np.ndarray) -> list[bytes | None]:
 
 
 def signed(docs: DataFrame, bands: int, rows: int) -> DataFrame:
-    """doc_id, text_hash, set_key and set_id (its first half; null without words), n (shingles), bands."""
+    """doc_id, text_hash, set_key and set_id (its first half; null without words), n (shingles), bands, signature."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in by_bytes(batch, 2):
                 sets, begin = shingle_sets(words_of(part.column(2)), WIDTH)
-                hashes = band_hashes(sets, begin, bands, rows)
+                hashes, signature = band_hashes(sets, begin, bands, rows)
                 flat = pa.array(hashes.ravel().view(np.int64))
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1) * bands, pa.int32()), flat)
                 keys = set_keys(sets, begin)
                 ids = pa.array([k and int.from_bytes(k[:8], "big", signed=True) for k in keys], pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(keys, pa.binary()), ids, pa.array(np.diff(begin), pa.int64()), lists],
-                    ["doc_id", "text_hash", "set_key", "set_id", "n", "bands"],
+                    [part.column(0), part.column(1), pa.array(keys, pa.binary()), ids, pa.array(np.diff(begin), pa.int64()), lists, pa.array([x.tobytes() for x in signature], pa.binary())],
+                    ["doc_id", "text_hash", "set_key", "set_id", "n", "bands", "signature"],
                 )
 
     thin = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    return map_arrow(thin, sign, "doc_id long, text_hash long, set_key binary, set_id long, n long, bands array<long>")
+    return map_arrow(thin, sign, "doc_id long, text_hash long, set_key binary, set_id long, n long, bands array<long>, signature binary")
+
+
+def _tie(least: int):
+    def tie(batch: pa.Table) -> pa.Table | None:
+        """Whole buckets or pairs of their tiles (rows of one task): a spanning forest of the plausible pairs of each, a and b."""
+        task = batch.column("task").to_numpy()
+        side = batch.column("side").to_numpy()
+        ids = batch.column("set_id").to_numpy()
+        signature = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint8).reshape(len(ids), -1)
+        begin = np.flatnonzero(np.concatenate([[True], task[1:] != task[:-1]]))
+        size = np.diff(np.append(begin, len(task)))
+        two = begin[size == 2]
+        near = two[(signature[two] == signature[two + 1]).sum(1) >= least]
+        a, b = [ids[near]], [ids[near + 1]]
+        for lo, n in zip(begin[size > 2].tolist(), size[size > 2].tolist(), strict=True):
+            own, known = signature[lo : lo + n], ids[lo : lo + n]
+            left = np.flatnonzero(side[lo : lo + n] == 0)
+            right = np.flatnonzero(side[lo : lo + n] == 1) if side[lo : lo + n].any() else left
+            agree = np.zeros((len(left), len(right)), np.int16)
+            for k in range(own.shape[1]):
+                agree += own[left, None, k] == own[None, right, k]
+            i, j = np.nonzero(agree >= least)
+            rank = np.argsort(np.argsort(known, kind="stable"), kind="stable")
+            root = forest(n, rank[left[i]], rank[right[j]])
+            ordered = np.sort(known)
+            some = np.flatnonzero(root != np.arange(n))
+            a.append(ordered[some])
+            b.append(ordered[root[some]])
+        a, b = np.concatenate(a), np.concatenate(b)
+        return pa.table({"a": a, "b": b}) if len(a) else None
+
+    return tie
 
 
 def compare(sets_a: list[np.ndarray], sets_b: list[np.ndarray] | None, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -172,6 +214,21 @@ def _verify(threshold: float):
     return verify
 
 
+def plausible(sets: DataFrame, least: int) -> DataFrame:
+    """sets: set_id, bands, signature -> a, b: ties of those that share a band and at least so many minima, a forest of each bucket's tile."""
+    # a band's number is in its hash
+    banded = sets.select("set_id", F.explode("bands").alias("h"))
+    # sets that share half a key may share a group: groups are where to look, no more
+    buckets = banded.groupBy("h").agg(F.min("set_id").alias("least"), F.max("set_id").alias("most"), F.count(F.lit(1)).alias("m")).filter("least <> most")
+    shared = banded.join(buckets.select("h", F.ceil(F.col("m") / TILE_SIGNATURES).cast("int").alias("tiles")), "h")
+    shared = shared.join(sets.select(F.col("set_id").alias("s_id"), "signature"), F.col("set_id") == F.col("s_id")).withColumn("tile", F.pmod(F.xxhash64("set_id"), F.col("tiles")).cast("int"))
+    shared = shared.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select(
+        F.when(F.col("tiles") == 1, F.col("h")).otherwise(F.xxhash64("h", F.least("tile", "other"), F.greatest("tile", "other"))).alias("task"),
+        F.when(F.col("tile") <= F.col("other"), 0).otherwise(1).alias("side"), "set_id", "signature",
+    )
+    return map_runs(shared, "task", _tie(least), "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, scratch: Scratch | None = None) -> tuple[DataFrame, DataFrame, Scratch]:
     """(rows, nodes): doc_id, text_hash, set_key of each row; and set_key, class_key, class_id, copies, n_links of each different set.
 
@@ -185,29 +242,24 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     scratch = scratch or Scratch(spark, "ngram-join")
     bands, rows = banding(threshold, recall)
     every = scratch.write(signed(docs, bands, rows), "signed")
+    # equal sets have equal bands and signatures
     sets = every.filter("set_key is not null").groupBy("set_key").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")).alias("of"),
-        F.count(F.lit(1)).alias("copies"), F.max("n").alias("n"), F.max("set_id").alias("set_id"),
+        F.count(F.lit(1)).alias("copies"), *[F.first(c).alias(c) for c in ("n", "set_id", "bands", "signature")],
     )
-    sets = scratch.write(sets.select("set_key", "set_id", "of.doc_id", "of.text_hash", "copies", "n"), "sets")
-    # one row of each set carries its bands on; a band's number is in its hash
-    e, r = every.alias("e"), sets.alias("r")
-    same = (F.col("e.set_key") == F.col("r.set_key")) & F.col("e.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("e.text_hash") == F.col("r.text_hash"))
-    banded = e.join(r, same, "left_semi").select("set_id", F.explode("bands").alias("h"))
-    # sets that share half a key may share a group: groups are where to look, no more
-    buckets = banded.groupBy("h").agg(F.min("set_id").alias("least"), F.max("set_id").alias("most")).filter("least <> most").drop("most")
-    ties = banded.join(buckets, "h").select(F.col("set_id").alias("a"), F.col("least").alias("b"))
-    groups = components(ties, scratch, "ties")
+    sets = scratch.write(sets.select("set_key", "set_id", "of.doc_id", "of.text_hash", "copies", "n", "bands", "signature"), "sets")
+    groups = components(plausible(sets, least_agreement(bands * rows, threshold)), scratch, "ties")
     # tiles of each candidate group, by hash
-    size = sets.join(groups, sets["set_id"] == groups["node"]).select(sets["*"], F.col("root").alias("grp"))
+    size = sets.join(groups, sets["set_id"] == groups["node"]).select("set_key", "doc_id", "text_hash", "copies", "n", F.col("root").alias("grp"))
     totals = size.groupBy("grp").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("shingles"))
     totals = totals.withColumn("tiles", F.greatest(F.ceil(F.col("texts") / TILE_TEXTS), F.ceil(F.col("shingles") / TILE_SHINGLES)).cast("int"))
     members = size.join(totals.select("grp", "tiles"), "grp").withColumn("tile", F.pmod(F.xxhash64("set_key"), F.col("tiles")).cast("int"))
     named = docs.select(F.col("doc_id").cast("long").alias("d_id"), F.xxhash64("text").alias("d_hash"), "text")
     m = members.alias("m")
     texts = named.join(m, F.col("d_id").eqNullSafe(F.col("m.doc_id")) & (F.col("d_hash") == F.col("m.text_hash")))
-    other = F.explode(F.sequence(F.lit(0), F.col("m.tiles") - 1))
-    tiled = texts.select("m.grp", "m.set_key", "m.tile", "m.copies", "text", other.alias("other")).select(
+    # rows equal in doc_id and text are one
+    texts = texts.select("m.grp", "m.set_key", "m.tile", "m.tiles", "m.copies", "text").dropDuplicates(["set_key"])
+    tiled = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select(
         F.xxhash64("grp", F.least("tile", "other"), F.greatest("tile", "other")).alias("task"),
         F.when(F.col("tile") == F.col("other"), "self").otherwise("cross").alias("kind"),
         F.when(F.col("tile") <= F.col("other"), 0).otherwise(1).alias("side"),
@@ -228,8 +280,9 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, class_id, n_links of each document."""
     rows, nodes, scratch = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    found = rows.join(nodes, "set_key", "left")
-    return scratch.keep(found.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")))
+    found = rows.filter("set_key is not null").join(nodes, "set_key").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), "n_links")
+    alone = rows.filter("set_key is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    return scratch.keep(found.unionByName(alone))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
