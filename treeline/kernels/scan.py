@@ -101,3 +101,18 @@ def decode_block(emission: np.ndarray, initial: np.ndarray, transition: np.ndarr
         backward[t] = at
         at = log_sum(transition + (emission[t] + at)[None, :], 1)
     return prior, forward, backward
+
+
+def best_margins(emission: np.ndarray, initial: np.ndarray, transition: np.ndarray, first: bool, before: np.ndarray, rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Best scores of paths up to each state of each site, and from it on, its own emission in both; ``rest`` is what follows the block."""
+    n, k = emission.shape
+    upto, onward = np.empty((n, k)), np.empty((n, k))
+    at = before
+    for t in range(n):
+        at = (initial if first and t == 0 else (at[:, None] + transition).max(0)) + emission[t]
+        upto[t] = at
+    at = rest
+    for t in range(n - 1, -1, -1):
+        onward[t] = emission[t] + at
+        at = (transition + onward[t][None, :]).max(1)
+    return upto, onward

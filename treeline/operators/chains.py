@@ -10,6 +10,7 @@ The tables of a level are checkpointed into the shared folder, so a lost executo
 
 from __future__ import annotations
 
+import copy
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -93,6 +94,12 @@ class Chains:
         types = {f.name: f for f in self.blocks.schema.fields}
         self.key_fields = [types[k] for k in self.keys]
 
+    def again(self, models: dict[int, Model], members: dict[int, tuple[int, ...]] | None = None) -> Chains:
+        """The same blocks under other models, which keep the numbers of these."""
+        other = copy.copy(self)
+        other.models, other.members = models, members
+        return other
+
     def _schema(self, ddl: str) -> T.StructType:
         return T.StructType([*self.key_fields, *T.StructType.fromDDL(ddl).fields])
 
@@ -162,25 +169,25 @@ class Chains:
         return _rows(self.folded((product,))[-1], total, self._schema("total double"))
 
     def _entering(self) -> DataFrame:
-        """keys, _idx, _before (forward), _best (best scores), _after (backward) and _total of each block."""
+        """keys, _idx, _before (forward), _best (best scores so far), _after (backward), _rest (best scores to come) and _total of each block."""
         models = self.models
 
         def spread(row: dict) -> list[dict]:
             k = len(models[int(row["_model"])][0])
             every = np.stack([_number(m) for m in row["_m"]]).reshape(-1, 2, k, k)
             top = "_before" not in row
-            before, best, after = (scan.enter(k), scan.enter(k), np.zeros(k)) if top else (_number(row[c]) for c in ("_before", "_best", "_after"))
+            before, best, after, rest = (scan.enter(k), scan.enter(k), np.zeros(k), np.zeros(k)) if top else (_number(row[c]) for c in ("_before", "_best", "_after", "_rest"))
             out = []
             for plus, most in every:
                 out.append({"_before": before, "_best": best})
                 before, best = scan.log_sum(before[:, None] + plus, 0), (best[:, None] + most).max(0)
             total = float(scan.log_sum(before, 0)) if top else row["_total"]
-            for got, (plus, _) in zip(reversed(out), every[::-1], strict=True):
-                got |= {"_after": after, "_total": total}
-                after = scan.log_sum(plus + after[None, :], 1)
+            for got, (plus, most) in zip(reversed(out), every[::-1], strict=True):
+                got |= {"_after": after, "_rest": rest, "_total": total}
+                after, rest = scan.log_sum(plus + after[None, :], 1), (most + rest[None, :]).max(1)
             return out
 
-        return self._down(self.folded(), spread, "_before array<double>, _best array<double>, _after array<double>, _total double")
+        return self._down(self.folded(), spread, "_before array<double>, _best array<double>, _after array<double>, _rest array<double>, _total double")
 
     def _ends(self, entered: DataFrame) -> DataFrame:
         """keys, _idx, _end: the state in which the best path leaves each block."""
@@ -243,6 +250,19 @@ class Chains:
         out = _rows(whole, run, self._schema("site long, posterior array<double>, state int, switch double, resets array<double>, total double"))
         return out if resets is not None else out.drop("resets")
 
+    def margins(self) -> DataFrame:
+        """keys, site, upto, onward: for each state the best score of paths from the chain's start to it, and of paths from it to the end; both with its own emission."""
+        block, keys = self._block(), self.keys
+
+        def run(row: dict) -> list[dict]:
+            sites, emission, (initial, transition), first = block(row)
+            upto, onward = scan.best_margins(emission, initial, transition, first, _number(row["_best"]), _number(row["_rest"]))
+            own = {k: row[k] for k in keys}
+            return [own | {"site": int(s), "upto": u, "onward": o} for s, u, o in zip(sites, upto, onward, strict=True)]
+
+        whole = self.blocks.join(self._entering(), [*keys, "_idx"])
+        return _rows(whole, run, self._schema("site long, upto array<double>, onward array<double>"))
+
 
 def fit_resets(rows: DataFrame, states: int, expected: list[float], steps: int = 50, pseudo: float = 0.05, tolerance: float = 1e-6, **sizes: int) -> tuple[dict[int, np.ndarray], dict[int, float], Chains]:
     """(weights, log likelihood of each rate, their chains) of a reset chain over all rows, by EM for all expected numbers of resets at once.

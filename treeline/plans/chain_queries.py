@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 from ..operators import chains as C
+from ..operators import path_search as S
 from ..operators import triplets as P
 from ..operators.subset_search import SubsetSearch
 from .helpers import F, oracle, query, relation, rounded, table
@@ -143,3 +144,47 @@ def triplet_plan_pairs(spark, sf):
     three = _plan(spark, sf)
     sides = F.explode(F.array(*[F.struct(F.col(x).alias("p"), F.col(y).alias("q")) for x, y in (("a", "b"), ("a", "c"), ("b", "c"))]))
     return three.select(sides.alias("s")).select("s.*").distinct()
+
+
+#: Costs in whole fortieths; six candidates, each without cost in one of six stretches of every 300 sites.
+_CANDIDATE = "CASE WHEN (site // 50) % 6 = c THEN 0 ELSE e[c % 4 + 1] + 20 END"
+_INTERVALS = f"""WITH RECURSIVE em AS MATERIALIZED (SELECT site, list(round(-logl * 40)::BIGINT ORDER BY tree_id) AS e FROM emission GROUP BY site), n AS (SELECT MAX(site) AS n FROM em),
+    fw(site, v) AS (SELECT site, e FROM em WHERE site = 1
+      UNION ALL SELECT em.site, list_transform(range(1, 5), lambda j: em.e[j] + list_min(list_transform(range(1, 5), lambda i: fw.v[i] + CASE WHEN i = j THEN 0 ELSE 30 + 5 * abs(i - j) END))) FROM fw JOIN em ON em.site = fw.site + 1),
+    bw(site, v) AS (SELECT site, e FROM em, n WHERE site = n
+      UNION ALL SELECT em.site, list_transform(range(1, 5), lambda j: em.e[j] + list_min(list_transform(range(1, 5), lambda i: bw.v[i] + CASE WHEN i = j THEN 0 ELSE 30 + 5 * abs(i - j) END))) FROM bw JOIN em ON em.site = bw.site - 1),
+    cand AS (SELECT c, list_transform(range(4), lambda s: 1 + abs(s - c % 4)) AS d FROM (SELECT unnest(range(6)) AS c)),
+    own AS (SELECT c, site, {_CANDIDATE} AS own, COALESCE((SELECT list_min(list_transform(range(1, 5), lambda s: fw.v[s] + 30 + 5 * d[s])) FROM fw WHERE fw.site = em.site - 1), 0) AS enter,
+      COALESCE((SELECT list_min(list_transform(range(1, 5), lambda s: bw.v[s] + 30 + 5 * d[s])) FROM bw WHERE bw.site = em.site + 1), 0) AS leave FROM em CROSS JOIN cand),
+    p AS (SELECT *, SUM(own) OVER (PARTITION BY c ORDER BY site ROWS UNBOUNDED PRECEDING) AS p FROM own),
+    m AS (SELECT c, MIN(start + p + leave) AS best FROM (SELECT *, MIN(enter - (p - own)) OVER (PARTITION BY c ORDER BY site ROWS UNBOUNDED PRECEDING) AS start FROM p) GROUP BY c)
+    SELECT c::INT AS candidate, ((SELECT list_min(v) FROM fw, n WHERE site = n) - best)::DOUBLE AS gain FROM m"""
+
+
+@query("interval_prices", oracle(_INTERVALS))
+def interval_prices(spark, sf):
+    """What six candidate states would save along the emission's best path in one interval each, by blocks of 128 sites."""
+    k = np.arange(4)
+    away = np.abs(k[:, None] - k[None, :]).astype(float)
+    model = (np.zeros(4), np.where(np.eye(4, dtype=bool), 0.0, -(30 + 5 * away)))
+    rows = _emission(spark, sf).withColumn("value", F.round(F.col("value") * 40))
+    chains = C.Chains(rows, [], {0: model}, block=64, fan=8)
+    margins = chains.margins().select("site", *[F.transform(x, lambda v: -v).alias(x) for x in ("upto", "onward")])
+    objective = -chains.totals("most").first()["total"]
+    own = rows.crossJoin(F.broadcast(spark.range(6).select(F.col("id").cast("int").alias("candidate")))).filter("state = candidate % 4")
+    scores = own.select("candidate", "site", F.when(F.expr("(site div 50) % 6 = candidate"), 0.0).otherwise(20 - F.col("value")).alias("score"))
+    away = {c: [1.0 + abs(s - c % 4) for s in range(4)] for c in range(6)}
+    return S.interval_prices(margins, scores, away, dict.fromkeys(range(6), 0.0), objective, 30.0, 5.0, block=128)
+
+
+@query("rooted_path", oracle("SELECT 1::BIGINT AS first, MAX(site)::BIGINT AS last, 0::BIGINT AS gaps, true AS falls, COUNT(DISTINCT site)::BIGINT AS sites FROM aln"))
+def rooted_path(spark, sf):
+    """Trees along the alignment of eight taxa, by a short search; what every path must be: whole, in order, and no costlier round by round."""
+    search = S.PathSearch(relation(spark, sf, "aln"), 8, S.Settings(states=12, rounds=2, screen=24, block=512))
+    found = search.run((((("0", "1"), "2"), "3"), ((("4", "5"), "6"), "7")))
+    runs = search.runs(found)
+    gaps = runs.select((F.col("end") + 1).alias("start")).join(runs.select("start"), "start", "left_anti")
+    costs = [r[1] for r in found.rounds]
+    falls = all(b <= a + 1e-9 for a, b in zip(costs, costs[1:], strict=False))
+    whole = runs.agg(F.min("start").alias("first"), F.max("end").alias("last"), F.sum(F.col("end") - F.col("start") + 1).alias("sites"))
+    return whole.crossJoin(gaps.agg((F.count(F.lit(1)) - 1).alias("gaps"))).select("first", "last", "gaps", F.lit(falls).alias("falls"), "sites")
