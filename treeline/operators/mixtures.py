@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .chains import kept
+
 
 def max_shift(lik: DataFrame) -> DataFrame:
     """site, category, l = exp(logl - site maximum)."""
@@ -16,6 +18,40 @@ def normalise(shifted: DataFrame) -> DataFrame:
     return shifted.withColumn("l", F.col("l") / F.sum("l").over(Window.partitionBy("site")))
 
 
+def normalise_packed(sites: DataFrame) -> DataFrame:
+    """site, l of a site's categories in one array (site, logl): as max_shift and normalise, without a shuffle."""
+    shifted = sites.select("site", F.transform("logl", lambda x: F.exp(x - F.array_max("logl"))).alias("l"))
+    total = F.aggregate("l", F.lit(0.0), lambda a, x: a + x)
+    return shifted.withColumn("_t", total).select("site", F.transform("l", lambda x: x / F.col("_t")).alias("l"))
+
+
+def em_packed(packed: DataFrame, steps: int, concentration: float = 0.5) -> DataFrame:
+    """category, theta as ``em`` gives them, of arrays (site, l) of equal length.
+
+    The arrays are written into the shared folder once; a step is one pass over them, and the driver holds a number for each category.
+    """
+    held = kept(packed.select("l"))
+    first = held.select(F.size("l").alias("n")).first()
+    n = first["n"] if first else 0
+    theta = [1.0 / n] * n
+    for _ in range(steps if n else 0):
+        weights = F.array(*[F.lit(t) for t in theta])
+        weighted = held.select(F.zip_with("l", weights, lambda l, t: l * t).alias("w"))  # noqa: E741
+        each = weighted.select(F.aggregate("w", F.lit(0.0), lambda a, x: a + x).alias("t"), F.posexplode("w").alias("category", "one"))
+        counts = {r["category"]: r["n"] for r in each.groupBy("category").agg(F.sum(F.col("one") / F.col("t")).alias("n")).collect()}
+        whole = sum(counts.values()) + concentration * n
+        theta = [(counts[c] + concentration) / whole for c in range(n)]
+    return packed.sparkSession.createDataFrame(list(enumerate(theta)), "category int, theta double")
+
+
+def posterior_packed(packed: DataFrame, theta: DataFrame) -> DataFrame:
+    """site, category, mass as ``posterior`` gives them: a site's categories never leave its row before they are exploded."""
+    one = theta.agg(F.transform(F.sort_array(F.collect_list(F.struct("category", "theta"))), lambda x: x["theta"]).alias("theta"))
+    weighted = packed.crossJoin(F.broadcast(one)).select("site", F.zip_with("l", "theta", lambda l, t: l * t).alias("w"))  # noqa: E741
+    total = F.aggregate("w", F.lit(0.0), lambda a, x: a + x)
+    return weighted.select("site", total.alias("_t"), F.posexplode("w").alias("category", "one")).select("site", "category", (F.col("one") / F.col("_t")).alias("mass"))
+
+
 def sparsify(normal: DataFrame, cutoff: float) -> tuple[DataFrame, DataFrame]:
     """(cells at or above a cutoff, sites that lost all of theirs)."""
     kept = normal.filter(F.col("l") >= cutoff)

@@ -42,6 +42,23 @@ def evenly_spaced(spark: SparkSession, n: int, k: int) -> DataFrame:
     return spark.range(k).select(F.col("id").cast("int").alias("i"), F.floor((F.col("id") + 0.5) * n / k).cast("int").alias("index"))
 
 
+def round_robin(rows: DataFrame, key: list[str], width: int, orders: list[tuple[Column, list[Column]]]) -> DataFrame:
+    """``width`` rows taken in turn from several rankings, each of the rows that its condition lets in; a row counts once.
+
+    Rows are told apart by ``key``. After as many turns as ``width`` that many rows are chosen, so only the first
+    ``width`` of each ranking matter; each is one bounded heap for each task.
+    """
+    turns = []
+    for n, (condition, order) in enumerate(orders):
+        first = rows.filter(condition).orderBy(*order).limit(width)
+        turns.append(first.withColumn("_turn", F.row_number().over(Window.orderBy(*order))).withColumn("_order", F.lit(n)))
+    every = turns[0]
+    for turn in turns[1:]:
+        every = every.unionByName(turn)
+    once = every.groupBy(*key).agg(F.min_by(F.struct(*rows.columns), F.struct("_turn", "_order")).alias("r"), F.min(F.struct("_turn", "_order")).alias("_at"))
+    return once.orderBy("_at").limit(width).select("r.*")
+
+
 def best_of(rows: DataFrame, key: list[str], score: Column, tie: str) -> DataFrame:
     """The row of each key with the least score, ties by ``tie``; one aggregate without a sort."""
     value = F.struct(*rows.columns)

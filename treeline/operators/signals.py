@@ -91,9 +91,10 @@ def centres(signals: DataFrame, bandwidth: int = 12) -> DataFrame:
     return best.select("breakpoint", "m.*")
 
 
-def merged(signals: DataFrame, sites: int, bandwidth: int = 12, apart: int = 15, most: int = 64, penalty: float = 2.5) -> DataFrame:
+def merged(signals: DataFrame, sites: int, bandwidth: int = 12, apart: int = 15, most: int | None = None, penalty: float = 2.5) -> DataFrame:
     """rank and the columns of ``centres``: of those ``apart`` from each other and from both ends, the set with the largest sum of score less penalty.
 
+    ``most``: how many at most; by default as many as find room.
     Only the centres of one alignment, fewer than its sites, come together in the last step.
     """
     held = centres(signals, bandwidth).filter(F.col("breakpoint").between(apart, sites - apart))
@@ -101,7 +102,7 @@ def merged(signals: DataFrame, sites: int, bandwidth: int = 12, apart: int = 15,
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("breakpoint", ignore_index=True)
         at, s = rows["breakpoint"].to_numpy(), rows["score"].round(9).to_numpy()
-        taken = hmm.weighted_intervals(at, at, s - penalty, apart, min(most, len(at)))
+        taken = hmm.weighted_intervals(at, at, s - penalty, apart, min(most or sites // apart + 1, len(at)))
         return rows.drop(columns="_all").iloc[sorted(taken, key=lambda k: (-s[k], at[k]))].assign(rank=np.arange(1, len(taken) + 1, dtype=np.int32))
 
     return held.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(run, "breakpoint int, triplets long, score double, low int, high int, rank int")

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .chains import kept
+
 
 def depth_of(tree: DataFrame) -> int:
     return int(tree.agg(F.coalesce(F.max("depth"), F.lit(0))).first()[0])
@@ -135,8 +137,9 @@ def bfs(edges: DataFrame, start: DataFrame, most: int) -> DataFrame:
     at = seen
     for level in range(1, most + 1):
         step = at.join(both, at["node"] == both["a"]).select("source", F.col("b").alias("node")).distinct()
-        # kept, as each frontier is read twice; it can be computed again from its lineage if an executor is lost
-        at = step.join(seen.select("source", "node"), ["source", "node"], "left_anti").withColumn("level", F.lit(level)).persist()
+        at = kept(step.join(seen.select("source", "node"), ["source", "node"], "left_anti").withColumn("level", F.lit(level)))
+        if at.isEmpty():
+            break
         seen = seen.unionByName(at)
     return seen
 

@@ -248,3 +248,19 @@ def file_pairs(spark, sf):
     alignments = n.filter("n_nationkey % 4 <> 0").select(F.concat(F.lit("in/"), "n_name", F.lit(".fasta")).alias("path"))
     trees = n.select(F.concat(F.lit("in/"), F.lower("n_name"), F.lit(".nwk")).alias("path")).unionByName(n.filter("n_nationkey % 6 = 1").select(F.concat(F.lit("more/"), "n_name", F.lit(".tree")).alias("path")))
     return pair_by_stem(alignments, trees).select("stem", "status")
+
+
+@query("job_progress", "SELECT date_trunc('hour', ts) AS start, date_trunc('hour', ts) + INTERVAL 1 HOUR AS \"end\", event_type, COUNT(*) AS n, round(SUM(value), 4) AS total FROM events GROUP BY ALL")
+def job_progress(spark, sf):
+    from ..streaming.jobs import windowed_progress
+
+    return rounded(windowed_progress(table(spark, sf, "events")), 4)
+
+
+@query("job_sessions", """WITH s AS (SELECT user_id, ts, COALESCE(ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE, true) AS opens FROM events),
+    g AS (SELECT user_id, ts, SUM(opens::INT) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM s)
+    SELECT MIN(ts) AS start, MAX(ts) + INTERVAL 30 MINUTE AS "end", user_id, COUNT(*) AS n FROM g GROUP BY user_id, k""")
+def job_sessions(spark, sf):
+    from ..streaming.jobs import sessions
+
+    return sessions(table(spark, sf, "events"))

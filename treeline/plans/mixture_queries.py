@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from ..operators import grids as G
 from ..operators import mixtures as M
+from ..relations import lik_sites
 from .helpers import F, oracle, query, relation, rounded
 
 _N = """n0 AS MATERIALIZED (SELECT site, category, e / SUM(e) OVER (PARTITION BY site) AS l FROM (SELECT site, category, exp(logl - MAX(logl) OVER (PARTITION BY site)) AS e FROM lik))"""
@@ -19,13 +20,13 @@ def _em(steps: int) -> str:
 
 
 def _cells(spark, sf):
-    """Normalised cells: every step of EM reads one and the same exchange of them, by site."""
-    return M.normalise(M.max_shift(relation(spark, sf, "lik")))
+    """Normalised cells, those of a site in one array."""
+    return M.normalise_packed(lik_sites(spark, sf))
 
 
 def _posterior(spark, sf, steps: int = 5):
-    normal = _cells(spark, sf)
-    return M.posterior(normal, M.em(normal, steps))
+    packed = _cells(spark, sf)
+    return M.posterior_packed(packed, M.em_packed(packed, steps))
 
 
 @query("flagship_site_selection", oracle(f"""WITH {_em(5)}, s AS (SELECT site, COALESCE(SUM(mass) FILTER (beta > alpha), 0) AS p, COALESCE(SUM(mass) FILTER (beta < alpha), 0) AS q, SUM(mass * alpha) AS a, SUM(mass * beta) AS b
@@ -43,7 +44,7 @@ def shift(spark, sf):
 
 @query("lik_normalised", oracle(f"WITH {_N} SELECT site, category, round(l, 6) AS l FROM n0"))
 def normalised(spark, sf):
-    return rounded(M.normalise(M.max_shift(relation(spark, sf, "lik"))))
+    return rounded(_cells(spark, sf).select("site", F.posexplode("l").alias("category", "l")))
 
 
 @query("lik_sparse_counts", oracle(f"WITH {_N} SELECT site, COUNT(*) AS kept FROM n0 WHERE l >= 0.01 GROUP BY site"))
@@ -53,7 +54,7 @@ def sparse(spark, sf):
 
 @query("em_weights", oracle(f"WITH {_em(5)} SELECT category, round(theta, 6) AS theta FROM t5"))
 def weights(spark, sf):
-    return rounded(M.em(_cells(spark, sf), 5))
+    return rounded(M.em_packed(_cells(spark, sf), 5))
 
 
 @query("posterior_mass", oracle(f"WITH {_em(3)} SELECT site, category, round(mass, 6) AS mass FROM post"))
@@ -86,7 +87,7 @@ def episodic(spark, sf):
 
 @query("prior_mass_positive", oracle(f"WITH {_em(5)} SELECT round(SUM(theta) FILTER (beta > alpha), 6) AS positive, round(SUM(theta) FILTER (beta <= alpha), 6) AS other FROM t5 JOIN grid USING (category)"))
 def prior_mass(spark, sf):
-    t = M.em(_cells(spark, sf), 5).join(relation(spark, sf, "grid"), "category")
+    t = M.em_packed(_cells(spark, sf), 5).join(relation(spark, sf, "grid"), "category")
     return rounded(t.agg(F.sum(F.when(F.col("beta") > F.col("alpha"), F.col("theta"))).alias("positive"), F.sum(F.when(F.col("beta") <= F.col("alpha"), F.col("theta"))).alias("other")))
 
 

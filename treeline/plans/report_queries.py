@@ -110,10 +110,10 @@ def hypotheses(spark, sf):
     return P.hypotheses(relation(spark, sf, "truth"), ["score", "p"], 0.8)
 
 
-@query("hotspot_weights", "SELECT s::INT AS site, round(1 + SUM(i * exp(-0.5 * ((s - c) / w::DOUBLE) * ((s - c) / w::DOUBLE))), 6) AS weight FROM (SELECT unnest(range(1, 300)) AS s), (SELECT 12 * n_nationkey AS c, 1 + n_regionkey AS i, 3 + n_nationkey % 4 AS w FROM nation) GROUP BY s")
+@query("hotspot_weights", "SELECT s::INT AS site, round(1 + SUM(i * exp(-0.5 * ((s - c) / w::DOUBLE) * ((s - c) / w::DOUBLE))), 6) AS weight FROM (SELECT unnest(range(1, (SELECT MAX(l_orderkey) // 5 + 1 FROM lineitem))) AS s), (SELECT 12 * n_nationkey AS c, 1 + n_regionkey AS i, 3 + n_nationkey % 4 AS w FROM nation) GROUP BY s")
 def hotspots(spark, sf):
     n = table(spark, sf, "nation").select((12 * F.col("n_nationkey")).alias("centre"), (1 + F.col("n_regionkey")).alias("intensity"), (3 + F.col("n_nationkey") % 4).alias("width"))
-    return rounded(P.hotspots(300, n))
+    return rounded(P.hotspots(table(spark, sf, "lineitem").agg(F.max("l_orderkey")).first()[0] // 5 + 1, n))
 
 
 @query("event_pool", "SELECT l_shipmode AS move, SUM(n)::BIGINT AS support, COUNT(*) AS seen FROM (SELECT l_returnflag || l_linestatus || (l_partkey % 50) AS l_shipmode, l_linenumber AS n FROM lineitem) GROUP BY 1 ORDER BY SUM(n) DESC, 1 LIMIT 20")

@@ -241,6 +241,34 @@ def sankoff(spark, sf):
     return T.sankoff(relation(spark, sf, "tree"), _tip_masks(spark, sf), 1.0, 2.0)
 
 
+_NETWORKS = """n AS (SELECT o_custkey AS hash, o_orderkey AS id, round(o_totalprice)::BIGINT AS objective, o_orderkey % 1009 AS data, o_custkey % 4 AS bridges, least(o_orderkey % 5, o_custkey % 4) AS used, o_orderkey % 13 AS priority FROM orders),
+    c AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY hash ORDER BY objective, id) = 1)"""
+
+
+@query("candidate_beam", oracle(f"""WITH {_NETWORKS}, t AS (
+      SELECT *, row_number() OVER (ORDER BY objective, data, hash) AS turn, 0 AS o FROM c WHERE used = bridges
+      UNION ALL SELECT *, row_number() OVER (ORDER BY objective, data, hash), 1 FROM c
+      UNION ALL SELECT *, row_number() OVER (ORDER BY data, objective, hash), 2 FROM c
+      UNION ALL SELECT *, row_number() OVER (ORDER BY used DESC, objective, hash), 3 FROM c
+      UNION ALL SELECT *, row_number() OVER (ORDER BY priority DESC, objective - 8 * bridges, hash), 4 FROM c WHERE used <> bridges)
+    SELECT hash, id, objective, data, bridges, used, priority FROM (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY hash ORDER BY turn, o) = 1) ORDER BY turn, o LIMIT 24"""))
+def candidate_beam(spark, sf):
+    """24 candidates in turn from five rankings: whole use, objective, fit, coverage and bridges not used yet; one of each hash."""
+    o = table(spark, sf, "orders")
+    bridges = F.col("o_custkey") % 4
+    rows = o.select(
+        F.col("o_custkey").alias("hash"), F.col("o_orderkey").alias("id"), F.round("o_totalprice").cast("long").alias("objective"), (F.col("o_orderkey") % 1009).alias("data"),
+        bridges.alias("bridges"), F.least(F.col("o_orderkey") % 5, bridges).alias("used"), (F.col("o_orderkey") % 13).alias("priority"),
+    )
+    rows = R.best_of(rows, ["hash"], F.col("objective"), "id")
+    every, whole = F.lit(True), F.col("used") == F.col("bridges")
+    orders = [
+        (whole, [F.col("objective"), F.col("data"), F.col("hash")]), (every, [F.col("objective"), F.col("data"), F.col("hash")]), (every, [F.col("data"), F.col("objective"), F.col("hash")]),
+        (every, [F.desc("used"), F.col("objective"), F.col("hash")]), (~whole, [F.desc("priority"), F.col("objective") - 8 * F.col("bridges"), F.col("hash")]),
+    ]
+    return R.round_robin(rows, ["hash"], 24, orders)
+
+
 _EDGES = "e AS (SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b FROM (SELECT n_nationkey AS a, (n_nationkey * 3 + 1) % 25 AS b FROM nation UNION SELECT n_nationkey, (n_nationkey + 5) % 25 FROM nation) WHERE a <> b), f AS (SELECT a, b FROM e UNION SELECT b, a FROM e)"
 
 
@@ -251,13 +279,13 @@ def _edges(spark, sf):
     return one.unionByName(two).filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-_BFS = f"{_EDGES}, s(source, node, level) AS (SELECT n_nationkey, n_nationkey, 0 FROM nation WHERE n_nationkey < 5 UNION SELECT s.source, f.b, s.level + 1 FROM s JOIN f ON f.a = s.node WHERE s.level < 5)"
+_BFS = f"{_EDGES}, s(source, node, level) AS (SELECT n_nationkey, n_nationkey, 0 FROM nation UNION SELECT s.source, f.b, s.level + 1 FROM s JOIN f ON f.a = s.node WHERE s.level < 8)"
 
 
 @query("graph_bfs", oracle(f"WITH RECURSIVE {_BFS} SELECT source, node, MIN(level) AS level FROM s GROUP BY source, node"))
 def bfs(spark, sf):
-    start = table(spark, sf, "nation").filter("n_nationkey < 5").select(F.col("n_nationkey").alias("node"))
-    return T.bfs(_edges(spark, sf), start, 5)
+    start = table(spark, sf, "nation").select(F.col("n_nationkey").alias("node"))
+    return T.bfs(_edges(spark, sf), start, 8)
 
 
 @query("graph_medoid", oracle(f"""WITH RECURSIVE {_BFS}, d AS (SELECT source, node, MIN(level) AS level FROM s GROUP BY source, node)
@@ -312,17 +340,18 @@ def family_windows(spark, sf):
 
 @query("region_window_union", oracle("""WITH w AS (SELECT start, "end", lead("end", 1) OVER (ORDER BY start) AS e2, lead("end", 2) OVER (ORDER BY start) AS e3 FROM region_runs), u AS (
       SELECT MIN(start) AS start, MAX("end") AS "end", 'global' AS label, 0 AS rank FROM region_runs UNION ALL SELECT start, "end", 'segment', 1 FROM w UNION ALL SELECT start, e2, 'pair', 2 FROM w WHERE e2 IS NOT NULL UNION ALL SELECT start, e3, 'triplet', 3 FROM w WHERE e3 IS NOT NULL
-      UNION ALL SELECT s::INT, (s + 74)::INT, 'overlap', 4 FROM (SELECT unnest(range(1, 227, 37)) AS s))
+      UNION ALL SELECT s::INT, (s + w - 1)::INT, 'overlap', 4 FROM (SELECT unnest(range(1, n - w + 2, w // 2)) AS s, w FROM (SELECT MAX("end") AS n, MAX("end") // 4 AS w FROM region_runs)))
     SELECT start, "end", label, rank FROM (SELECT *, row_number() OVER (PARTITION BY start, "end" ORDER BY rank, label) AS k FROM u) WHERE k = 1"""))
 def window_union(spark, sf):
-    both = I.family_windows(relation(spark, sf, "region_runs")).unionByName(I.overlap_windows(spark, 300))
+    regions = relation(spark, sf, "region_runs")
+    both = I.family_windows(regions).unionByName(I.overlap_windows(spark, regions.agg(F.max("end")).first()[0]))
     return R.union_first(both, "rank")
 
 
-@query("breaks_per_site", oracle("""SELECT s AS site, COALESCE(n, 0) AS breaks FROM (SELECT unnest(range(1, 301))::INT AS s) LEFT JOIN (SELECT (o_orderkey % 300 + 1)::INT AS b, COUNT(*) AS n FROM orders WHERE o_orderpriority LIKE '1%' GROUP BY 1) ON b = s"""))
+@query("breaks_per_site", oracle("""SELECT s AS site, COALESCE(n, 0) AS breaks FROM (SELECT unnest(range(1, (SELECT MAX(l_orderkey) // 5 + 2 FROM lineitem)))::INT AS s) LEFT JOIN (SELECT (o_orderkey // 5 + 1)::INT AS b, COUNT(*) AS n FROM orders GROUP BY 1) ON b = s"""))
 def breaks(spark, sf):
-    b = table(spark, sf, "orders").filter("o_orderpriority LIKE '1%'").select((F.col("o_orderkey") % 300 + 1).cast("int").alias("breakpoint"))
-    return I.break_counts(b, 300)
+    b = table(spark, sf, "orders").select(F.expr("int(o_orderkey div 5 + 1)").alias("breakpoint"))
+    return I.break_counts(b, table(spark, sf, "lineitem").agg(F.max("l_orderkey")).first()[0] // 5 + 1)
 
 
 @query("region_changed_splits", oracle(f"""WITH {_SPLITS}, r AS (SELECT "end", CASE WHEN tree_id IN ('T0', 'T3') THEN 'A' ELSE 'B' END AS t, start FROM region_runs), p AS (SELECT "end" AS boundary, t AS before, lead(t) OVER (ORDER BY start) AS after FROM r), q AS (SELECT * FROM p WHERE after IS NOT NULL AND before <> after),

@@ -80,15 +80,21 @@ def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selection_grid(spark, 5)
 
 
-def lik(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """site (from 0), category (0..24), logl; a cell without rows is at the floor."""
+def lik_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """site (from 0), logl: the 25 categories of a site in one array; a cell without rows is at the floor."""
     cell = (
         table(spark, sf_dir, "lineitem")
         .groupBy(F.expr("int(l_orderkey div 8)").alias("site"), ((F.col("l_partkey") % 5) * 5 + F.col("l_suppkey") % 5).cast("int").alias("category"))
         .agg((-F.sum(F.col("l_quantity").cast("long")) / F.lit(100.0)).alias("logl"))
     )
-    full = _sites(spark, sf_dir, 8).crossJoin(spark.range(25).select(F.col("id").cast("int").alias("category")))
-    return full.join(cell, ["site", "category"], "left").select("site", "category", F.greatest(F.coalesce("logl", F.lit(-9.0)), F.lit(-60.0)).alias("logl"))
+    held = cell.groupBy("site").agg(F.map_from_entries(F.collect_list(F.struct("category", "logl"))).alias("held"))
+    value = F.transform(F.sequence(F.lit(0), F.lit(24)), lambda c: F.greatest(F.coalesce(F.try_element_at("held", c), F.lit(-9.0)), F.lit(-60.0)))
+    return _sites(spark, sf_dir, 8).join(held, "site", "left").select("site", value.alias("logl"))
+
+
+def lik(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """site (from 0), category (0..24), logl."""
+    return lik_sites(spark, sf_dir).select("site", F.posexplode("logl").alias("category", "logl"))
 
 
 def emission(spark: SparkSession, sf_dir: str) -> DataFrame:
