@@ -25,19 +25,19 @@ def normalise_packed(sites: DataFrame) -> DataFrame:
     return shifted.withColumn("_t", total).select("site", F.transform("l", lambda x: x / F.col("_t")).alias("l"))
 
 
-def em_packed(packed: DataFrame, steps: int, concentration: float = 0.5) -> DataFrame:
-    """category, theta as ``em`` gives them, of arrays (site, l) of equal length.
+def em_packed(packed: DataFrame, steps: int, concentration: float = 0.5, weight: str | None = None) -> DataFrame:
+    """category, theta as ``em`` gives them, of arrays (site, l) of equal length; ``weight`` says for how many sites a row stands.
 
     The arrays are written into the shared folder once; a step is one pass over them, and the driver holds a number for each category.
     """
-    held = kept(packed.select("l"))
+    held = kept(packed.select("l", (F.col(weight) if weight else F.lit(1)).alias("n")))
     first = held.select(F.size("l").alias("n")).first()
     n = first["n"] if first else 0
     theta = [1.0 / n] * n
     for _ in range(steps if n else 0):
         weights = F.array(*[F.lit(t) for t in theta])
-        weighted = held.select(F.zip_with("l", weights, lambda l, t: l * t).alias("w"))  # noqa: E741
-        each = weighted.select(F.aggregate("w", F.lit(0.0), lambda a, x: a + x).alias("t"), F.posexplode("w").alias("category", "one"))
+        weighted = held.select("n", F.zip_with("l", weights, lambda l, t: l * t).alias("w"))  # noqa: E741
+        each = weighted.select((F.aggregate("w", F.lit(0.0), lambda a, x: a + x) / F.col("n")).alias("t"), F.posexplode("w").alias("category", "one"))
         counts = {r["category"]: r["n"] for r in each.groupBy("category").agg(F.sum(F.col("one") / F.col("t")).alias("n")).collect()}
         whole = sum(counts.values()) + concentration * n
         theta = [(counts[c] + concentration) / whole for c in range(n)]
