@@ -53,7 +53,7 @@ def align(scores: np.ndarray, opening: float = -10.0, extension: float = -0.5, l
         raise ValueError("the alignment has too many cells")
     low = -1e18
     h, e, f = np.full((n + 1, m + 1), low), np.full((n + 1, m + 1), low), np.full((n + 1, m + 1), low)
-    h[0, 0] = 0
+    h[0, 0], place = 0, np.arange(m + 1)
     edge = lambda k: 0.0 if local else opening + extension * (k - 1)
     for i in range(1, n + 1):
         h[i, 0] = f[i, 0] = edge(i)
@@ -64,6 +64,11 @@ def align(scores: np.ndarray, opening: float = -10.0, extension: float = -0.5, l
         diagonal = np.maximum(h[i - 1, :-1] + scores[i - 1], f[i, 1:])
         if local:
             diagonal = np.maximum(diagonal, 0)
+        if opening <= extension:  # a gap never opens again where it could go on: a running maximum gives the row
+            reach = np.maximum.accumulate(np.concatenate([h[i, :1], diagonal]) - extension * place)
+            e[i, 1:] = reach[:-1] + opening + extension * (place[1:] - 1)
+            h[i, 1:] = np.maximum(diagonal, e[i, 1:])
+            continue
         for j in range(1, m + 1):
             e[i, j] = max(h[i, j - 1] + opening, e[i, j - 1] + extension)
             h[i, j] = max(diagonal[j - 1], e[i, j])
@@ -93,7 +98,7 @@ def align(scores: np.ndarray, opening: float = -10.0, extension: float = -0.5, l
 
 
 def align_text(a: str, b: str, match: float = 2.0, mismatch: float = -1.0, opening: float = -4.0, extension: float = -1.0) -> tuple[str, str, float]:
-    x, y = np.frombuffer(a.encode(), np.uint8), np.frombuffer(b.encode(), np.uint8)
+    x, y = (np.frombuffer(s.encode("utf-32-le"), np.uint32) for s in (a, b))
     score, pairs = align(np.where(x[:, None] == y[None, :], match, mismatch), opening, extension)
     return "".join("-" if i is None else a[i] for i, _ in pairs), "".join("-" if j is None else b[j] for _, j in pairs), score
 
