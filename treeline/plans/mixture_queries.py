@@ -167,3 +167,16 @@ def activation(spark, sf):
     edges = relation(spark, sf, "lik").groupBy((F.col("site") % 10).alias("edge")).agg(F.avg(F.exp(F.col("logl") / 10)).alias("r"))
     nodes = edges.crossJoin(F.broadcast(G.quadrature_table(spark, 24)))
     return rounded(nodes.groupBy("edge").agg(F.ln(F.sum(F.col("w") * (1 - F.col("x") + F.col("x") * F.col("r")))).alias("log_mean")))
+
+
+@query("gibbs_weights", oracle("SELECT category, true AS dense, true AS sparse, true AS collapsed FROM grid"))
+def gibbs_weights(spark, sf):
+    """Weights of every category by three samplers over all sites: within the sampling error of those of EM, which is an oracle's of its own."""
+    from ..operators import sampling as P
+
+    packed = _cells(spark, sf)
+    sites = packed.count()
+    em = {r["category"]: r["theta"] for r in M.em_packed(packed, 30).collect()}
+    found = [P.gibbs(packed, 30, 10)[0], P.gibbs(P.sparse(packed, 1e-4), 30, 10)[0], P.gibbs_collapsed(packed, 20, 8)]
+    near = lambda theta, c: bool(abs(theta[c] - em[c]) < 0.03 + 6 * (max(em[c], 1 / sites) / sites) ** 0.5)
+    return spark.createDataFrame([(c, *[near(x, c) for x in found]) for c in sorted(em)], "category int, dense boolean, sparse boolean, collapsed boolean")
