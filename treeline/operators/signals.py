@@ -64,6 +64,7 @@ def refine(scan: DataFrame, sites: int, width: int, least: float = 4.0, mass: fl
 
 def strength(evidence: Column, switch: Column) -> Column:
     """What one signal counts for: evidence above a floor, compressed, less where the chain doubts a switch."""
+    # fixed values: 0.4, 0.6, 12 and 0.75, as in the score of a centre 1.5
     doubt = 0.4 + 0.6 * F.sqrt(F.least(F.greatest(switch, F.lit(0.0)), F.lit(1.0)))
     return F.log1p(F.greatest(F.lit(0.0), F.least(evidence, F.lit(12.0)) - 0.75)) * doubt
 
