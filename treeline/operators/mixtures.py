@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,9 +24,16 @@ def normalise(shifted: DataFrame) -> DataFrame:
 
 def normalise_packed(sites: DataFrame) -> DataFrame:
     """site, l of a site's categories in one array (site, logl): as max_shift and normalise, without a shuffle."""
-    shifted = sites.select("site", F.transform("logl", lambda x: F.exp(x - F.array_max("logl"))).alias("l"))
-    total = F.aggregate("l", F.lit(0.0), lambda a, x: a + x)
-    return shifted.withColumn("_t", total).select("site", F.transform("l", lambda x: x / F.col("_t")).alias("l"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            if len(frame):
+                logl = np.stack(frame["logl"].to_numpy())
+                l = np.exp(logl - logl.max(1, keepdims=True))  # noqa: E741
+                yield pd.DataFrame({"site": frame["site"], "l": list(l / l.sum(1, keepdims=True))})
+
+    kind = dict(sites.dtypes)["site"]
+    return sites.select("site", "logl").mapInPandas(run, f"site {kind}, l array<double>")
 
 
 def em_packed(packed: DataFrame, steps: int, concentration: float = 0.5, weight: str | None = None) -> DataFrame:
