@@ -41,17 +41,27 @@ def em_packed(packed: DataFrame, steps: int, concentration: float = 0.5, weight:
 
     The arrays are written into the shared folder once; a step is one pass over them, and the driver holds a number for each category.
     """
-    held = kept(packed.select("l", (F.col(weight) if weight else F.lit(1)).alias("n")))
+    parts = max(1, packed.sparkSession.sparkContext.defaultParallelism)
+    held = kept(packed.select("l", (F.col(weight) if weight else F.lit(1)).alias("n")).repartition(parts))
     first = held.select(F.size("l").alias("n")).first()
     n = first["n"] if first else 0
-    theta = [1.0 / n] * n
+    theta = np.full(n, 1.0 / max(n, 1))
     for _ in range(steps if n else 0):
-        weights = F.array(*[F.lit(t) for t in theta])
-        weighted = held.select("n", F.zip_with("l", weights, lambda l, t: l * t).alias("w"))  # noqa: E741
-        each = weighted.select((F.aggregate("w", F.lit(0.0), lambda a, x: a + x) / F.col("n")).alias("t"), F.posexplode("w").alias("category", "one"))
-        counts = {r["category"]: r["n"] for r in each.groupBy("category").agg(F.sum(F.col("one") / F.col("t")).alias("n")).collect()}
-        whole = sum(counts.values()) + concentration * n
-        theta = [(counts[c] + concentration) / whole for c in range(n)]
+        now = theta
+
+        def expect(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total = np.zeros(n)
+            for frame in frames:
+                if len(frame):
+                    w = np.stack(frame["l"].to_numpy()) * now  # noqa: B023
+                    total += (frame["n"].to_numpy() / w.sum(1)) @ w
+            yield pd.DataFrame({"category": np.arange(n, dtype=np.int32), "n": total})
+
+        counts = np.zeros(n)
+        for r in held.mapInPandas(expect, "category int, n double").groupBy("category").agg(F.sum("n").alias("n")).collect():
+            counts[r["category"]] = r["n"]
+        theta = (counts + concentration) / (counts.sum() + concentration * n)
+    theta = theta.tolist()
     return packed.sparkSession.createDataFrame(list(enumerate(theta)), "category int, theta double")
 
 
