@@ -284,19 +284,27 @@ def dedup(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, digest: bool =
     scratch = Scratch(spark, "substring-dedup")
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, partitions(spark), -(-int(total) // bucket_bytes))
-    keyed = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
+    # two hashes name a row: one is its key, the other picks its bucket, and only rows of one bucket meet
+    keyed = docs.withColumn("_row", F.xxhash64("doc_id", "text")).withColumn("_other", F.xxhash64(F.lit("bucket"), "text", "doc_id"))
+    name = ["_row", "_other"]
     # rows equal in doc_id and text that fill more than a bucket, and over how many buckets they go
-    heavy = keyed.groupBy("_row").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes")).filter((F.col("n") > 1) & (F.col("bytes") > bucket_bytes))
-    heavy = scratch.write(heavy.select("_row", F.ceil(F.col("bytes") / bucket_bytes).cast("int").alias("_parts")), "heavy")
-    place = lambda part: F.pmod(F.when(F.col("_parts").isNull(), F.col("_row")).otherwise(F.xxhash64("_row", part)), F.lit(buckets)).cast("long")
-    marked = keyed.join(heavy, "_row", "left").withColumn("_bucket", place(F.monotonically_increasing_id() % F.col("_parts")))
+    heavy = keyed.groupBy(*name).agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes")).filter((F.col("n") > 1) & (F.col("bytes") > bucket_bytes))
+    heavy = scratch.write(heavy.select(*name, F.ceil(F.col("bytes") / bucket_bytes).cast("int").alias("_parts")), "heavy")
+    place = lambda h: F.pmod(h, F.lit(buckets)).cast("long")
+    texts = keyed.filter("text is not null")
+    marked = keyed.withColumn("_bucket", place(F.col("_other")))
+    known = texts.select(place(F.col("_other")).alias("_bucket"), "_row", "text")
+    if not heavy.isEmpty():
+        part = F.xxhash64("_other", "_part")
+        # equal rows are told apart by their order only, so their parts are written before anything reads them: a task that runs again finds the same
+        hot = scratch.write(keyed.join(heavy, name).withColumn("_part", F.monotonically_increasing_id() % F.col("_parts")), "hot")
+        cold = lambda df: df.join(heavy.select(*name), name, "left_anti")
+        marked = cold(marked).unionByName(hot.withColumn("_bucket", place(part)).drop("_part", "_parts"))
+        once = hot.groupBy(*name, "_parts").agg(F.first("text").alias("text")).withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts").cast("long") - 1)))
+        known = cold(texts).select(place(F.col("_other")).alias("_bucket"), "_row", "text").unionByName(once.select(place(part).alias("_bucket"), "_row", "text"))
     counted = map_arrow(docs.select("text").filter("text is not null"), _anchor_rows(width, gram), "anchor long, run long, n long")
     counted = counted.groupBy("anchor").agg(F.sum("n").alias("n"), F.min("run").alias("low"), F.max("run").alias("high")).filter("n > 1")
     anchors = scratch.write(counted.select("anchor", (F.col("low") != F.col("high")).alias("open")), "anchors")
-    texts = keyed.select("_row", "text").filter("text is not null")
-    once = texts.join(heavy, "_row").groupBy("_row").agg(F.first("text").alias("text"), F.first("_parts").alias("_parts")).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
-    known = texts.join(heavy, "_row", "left_anti").select(F.pmod("_row", F.lit(buckets)).cast("long").alias("_bucket"), "_row", "text")
-    known = known.unionByName(once.select(place(F.col("_part").cast("long")).alias("_bucket"), "_row", "text"))
     refs = map_arrow(known, _reference_rows(width, gram), "anchor long, bucket long, row long, place long")
     refs = refs.join(anchors, "anchor").select(F.col("bucket").alias("_bucket"), F.col("row").alias("_row"), F.col("place").alias("_place"), F.col("open").alias("_open"))
     empty = [F.lit(None).cast(f.dataType).alias(f.name) for f in docs.schema.fields]
