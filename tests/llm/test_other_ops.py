@@ -288,7 +288,8 @@ def brute_template(htmls):
     room = sum(1 for u in every if at in u.chain)
     share, gone = 0, {k for k in texts if not any(u.key == k and at in u.chain for u in every)}
     for vector, keys in sorted(classes.items(), key=lambda c: -sum(v > 0 for v in c[0])):
-        inside = [k for k in keys if k in texts and any(u.key == k and at in u.chain for u in every)]
+        enough = sum(v > 0 for v in vector) >= min(n, html_extract.LEAST_ON)
+        inside = [k for k in keys if enough and k in texts and any(u.key == k and at in u.chain for u in every)]
         share += sum(vector) * len(inside) / room
         if share <= 0.5:
             gone |= set(inside)
@@ -306,12 +307,13 @@ def test_templates_against_brute_force(spark):
     """Real pages and pages whose elements are all div, by whole vectors; the article comes out of both."""
     table = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
     rows = [r for r in table.collect() if r.url]
+    hosts = {r.url: r.host for r in table.select("url", html_extract.host().alias("host")).collect()}
     names = {"nav": "x81", "article": "x7", "footer": "x33", "header": "x4", "section": "x95", "aside": "x12", "main": "x60", "ad": "x48"}
     plain = [(r.page_id, r.url, scrambled(r.html, names)) for r in rows]
     for pages in (rows, plain):
         by_host = {}
         for _, url, page in pages:
-            by_host.setdefault(html_extract.host_of(url), []).append(page)
+            by_host.setdefault(hosts[url], []).append(page)
         frame = spark.createDataFrame([tuple(r) for r in pages], "page_id long, url string, html string")
         found = {r.host: json.loads(r.template) for r in html_extract.templates(frame).collect()}
         assert set(found) == set(by_host)
@@ -322,7 +324,7 @@ def test_templates_against_brute_force(spark):
     known = {r.page_id: r.text for r in html_extract.main_text(table).collect()}
     got = {r.page_id: r.text for r in html_extract.main_text(frame).collect()}
     large = {h for h, pages in by_host.items() if len(pages) >= 4}
-    same = [got[i] == known[i] for i, url, _ in plain if html_extract.host_of(url) in large]
+    same = [got[i] == known[i] for i, url, _ in plain if hosts[url] in large]
     assert len(same) > 100 and all(same)
     nothing = html_extract.Template(None)
     assert all(html_extract.extract(r.html, nothing) != known[r.page_id] for r in rows)
@@ -366,7 +368,23 @@ def test_template_classes():
         (1, 0.1, 50, 4, 4, 0, 10, 80, 4), (1, 0.6, 51, 4, 4, 0, 11, 90, 4), (3, 0.7, 52, 3, 3, 0, 10, 30, 3),
     ]
     assert html_extract.nest(members, 4) == {"pages": 4, "path": [0, 10], "named": False, "slots": [[10, [50, 52]], [11, [51]]]}
-    assert html_extract.host_of("HTTPS://u@A.example:80/x") == "a.example" and html_extract.host_of(None) == "" == html_extract.host_of("x/y")
+
+
+def test_hosts(spark):
+    urls = ["HTTPS://u@A.example:80/x", None, "x/y", "\u00a0http://b.example/", " http://c.example"]
+    got = spark.createDataFrame(list(enumerate(urls)), "i int, url string").orderBy("i").select(html_extract.host()).collect()
+    assert [r[0] for r in got] == ["a.example", "", "", "", "c.example"]
+
+
+def test_quoted_paragraph_of_a_small_host(spark):
+    page = "<body><div class='k1'>Menu of all</div><article><h1>Title {0}</h1><p>{1}</p>{2}<p>{3}</p><p>Notice of all.</p></article><div class='k2'>Foot of all</div></body>"
+    rng = random.Random(4)
+    prose = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    parts = [(k, prose(60), "<p>A saying that two articles quote.</p>" if k else "", prose(50)) for k in range(3)]
+    want = [f"Title {k}\n{a}\n" + ("A saying that two articles quote.\n" if q else "") + b for k, a, q, b in parts]
+    assert texts_of(spark, [page.format(*p) for p in parts]) == want
+    # one reading of an address finds one host: with a blank that is none of a host's pages, menu and foot still go
+    assert texts_of(spark, [page.format(*p) for p in parts], "\u00a0http://h.example/") == want
 
 
 def test_vectors_of_occurrences_ignore_order(spark):

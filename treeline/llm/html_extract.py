@@ -27,7 +27,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -72,6 +72,8 @@ LISTS = frozenset(("ul", "ol", "dl"))
 REGIONS = frozenset("body main article section div td center form aside header".split())
 #: How much more the text of an element named as an article weighs, and the share of text for which a slot is entered.
 NAMED, ENTER = 8, 0.75
+#: Two articles of a host may quote the same text; what more of its pages have, or all of them, may be its template's.
+LEAST_ON = 3
 
 
 class Tag:
@@ -119,9 +121,9 @@ def _tag(m: re.Match) -> Tag:
     return known
 
 
-def host_of(url: str | None) -> str:
-    m = re.match(r"\s*(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]*)", url or "")
-    return m[1].lower() if m else ""
+def host(url: str = "url") -> Column:
+    """The host of a column's addresses in lower case, empty where there is none."""
+    return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^\s*(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]*)", 1))
 
 
 def _hash(data: bytes) -> int:
@@ -287,15 +289,15 @@ def tokens_of(units: list[Unit], elements: dict[int, Element]) -> list[tuple]:
 
 
 def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """url, html -> host, content, size, tokens of each page that has some text."""
+    """host, html -> host, content, size, tokens of each page that has some text."""
     kinds = (pa.string(), pa.int64(), pa.int32(), pa.list_(pa.struct(list(_KINDS.items()))))
     for batch in batches:
         out = []
-        for url, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for own, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             units, elements = parse(page)
             if units:
                 content = _hash(b"".join(u.key.to_bytes(8, "big", signed=True) for u in units))
-                out.append((host_of(url), content, len(units), [dict(zip(_KINDS, t, strict=True)) for t in tokens_of(units, elements)]))
+                out.append((own, content, len(units), [dict(zip(_KINDS, t, strict=True)) for t in tokens_of(units, elements)]))
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], ["host", "content", "size", "tokens"])
 
 
@@ -341,7 +343,8 @@ def nest(members: list[tuple], pages: int) -> dict:
         if not enough:
             break
         at = max(enough, key=lambda p: (worth[p], -once[p][_PLACE], p))
-    inside = [t for t in texts if at in chain(t[_PATH])]
+    # few pages may quote the same text; of the slot's own texts only those on all pages, or on enough of them, are the template's
+    inside = [t for t in texts if at in chain(t[_PATH]) and t[_ON] >= min(pages, LEAST_ON)]
     room = once[at][_IN] if at in once else 0
     dropped, share = [], 0.0
     for _, group in itertools.groupby(sorted(inside, key=lambda t: (-t[_ON], t[_VECTOR], t[_PLACE])), key=lambda t: (-t[_ON], t[_VECTOR])):
@@ -397,7 +400,7 @@ def _templates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def templates(pages: DataFrame) -> DataFrame:
     """host, template (JSON) of every host with a text, from all its pages."""
     scratch = Scratch(pages.sparkSession, "html-tokens")
-    rows = map_arrow(pages.select("url", "html"), _pages, f"host string, content long, size int, {_TOKENS}")
+    rows = map_arrow(pages.select(host().alias("host"), "html"), _pages, f"host string, content long, size int, {_TOKENS}")
     distinct = scratch.write(rows.groupBy("host", "content").agg(F.first("size").alias("size"), F.first("tokens").alias("tokens")), "pages")
     each = distinct.select("host", "content", "size", F.inline("tokens"))
     summed = each.groupBy("host", "token").agg(
@@ -460,8 +463,7 @@ def main_text(pages: DataFrame) -> DataFrame:
     pages, back = hide(pages, "page_id", "url", "html")
     scratch = Scratch(pages.sparkSession, "html-extract")
     known = scratch.write(templates(pages), "templates")
-    address = F.regexp_extract(F.coalesce("url", F.lit("")), r"^\s*(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]*)", 1)
-    marked = pages.withColumn("_host", F.lower(address))
+    marked = pages.withColumn("_host", host())
     joined = marked.join(known.withColumnRenamed("host", "_host"), "_host", "left")
     names = pages.columns
     joined = joined.select(*names, F.col("template").alias("_template"))
