@@ -22,6 +22,8 @@ from .common import held_out, hide, map_arrow
 PROFILE = 400
 #: Learning reads about this many documents of each language, those with the smallest hashes.
 LEARN_DOCS = 4000
+#: Characters of a text that are read at once.
+SLICE = 1_000_000
 #: The pipeline drops documents that are less like every profile than this. Prose of a learned language
 #: is far above it, however short.
 LEAST_SCORE = 0.05
@@ -38,24 +40,43 @@ def _letters(codes: np.ndarray) -> np.ndarray:
     return kind == 1
 
 
-def grams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """The different n-grams of a whole text as 63-bit codes, ascending, and their counts."""
-    codes = np.frombuffer((text or "").lower().encode("utf-32-le", "replace"), np.uint32)
-    if not len(codes):
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    is_letter = _letters(codes)
-    if not is_letter.any():
-        return np.empty(0, np.int64), np.empty(0, np.int64)
+def _together(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of the same codes added up."""
+    if len(parts) == 1:
+        return parts[0]
+    codes, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    return codes, np.bincount(at, np.concatenate([p[1] for p in parts]), len(codes)).astype(np.int64)
+
+
+def grams(text: str | None, size: int = SLICE) -> tuple[np.ndarray, np.ndarray]:
+    """The different n-grams of a whole text as 63-bit codes, ascending, and their counts.
+
+    A text is read in slices of ``size`` characters, each with the two codes before it, so that a text
+    of any length needs no more than a slice and its different n-grams.
+    """
+    low = (text or "").lower()
+    parts: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0, np.int64), np.empty(0, np.int64))]
+    pending, before = 0, False
     # a blank is code 1, so n-grams of different lengths have different codes; one stands for each run of other characters
-    x = np.where(is_letter, codes, 1).astype(np.int64)
-    x = np.concatenate([[1], x[is_letter | np.concatenate([[False], is_letter[:-1]])], [1]])
-    if x[-2] == 1:
-        x = x[:-1]
-    two = x[:-1] | x[1:] << 21
-    three = two[:-1] | x[2:] << 42
-    # a blank alone is no unigram; a blank in the middle is no n-gram of one word
-    found = np.concatenate([x[x > 1], two, three[x[1:-1] > 1]])
-    return np.unique(found, return_counts=True)
+    tail = np.array([1], np.int64)
+    for a in range(0, len(low), size):
+        codes = np.frombuffer(low[a : a + size].encode("utf-32-le", "replace"), np.uint32)
+        is_letter = _letters(codes)
+        new = np.where(is_letter, codes, 1).astype(np.int64)[is_letter | np.concatenate([[before], is_letter[:-1]])]
+        before = bool(is_letter[-1])
+        if before and a + size >= len(low):
+            new = np.append(new, 1)
+        x, t = np.concatenate([tail, new]), len(tail)
+        two = x[:-1] | x[1:] << 21
+        three = two[:-1] | x[2:] << 42
+        # a blank alone is no unigram; a blank in the middle is no n-gram of one word
+        from_ = max(t - 2, 0)
+        found = np.concatenate([new[new > 1], two[t - 1 :], three[from_:][x[1 + from_ : -1] > 1]])
+        parts.append(np.unique(found, return_counts=True))
+        tail, pending = x[-2:], pending + len(parts[-1][0])
+        if pending > len(parts[0][0]) + size:
+            parts, pending = [_together(parts)], 0
+    return _together(parts)
 
 
 def top(codes: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
@@ -115,8 +136,7 @@ def learn(docs: DataFrame, size: int = PROFILE, learn_docs: int = LEARN_DOCS) ->
 
         def merged() -> Iterator[pa.RecordBatch]:
             for lang, parts in held.items():
-                codes, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-                counts = np.bincount(at, np.concatenate([p[1] for p in parts])).astype(np.int64)
+                codes, counts = _together(parts)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes), pa.string()), pa.array(codes), pa.array(counts)], ["lang", "code", "n"])
             held.clear()
 
