@@ -331,6 +331,39 @@ def test_grams_match_brute_force():
     assert len(langid.grams(None)[0]) == len(langid.grams("12 !")[0]) == 0
 
 
+def test_grams_of_slices():
+    rng = random.Random(12)
+    for text in ("", "  ", "a", "Ab, ba! ab", "ΑΣ ΑΣ'Α", *("".join(rng.choice("abC é,1 日") for _ in range(rng.randrange(60))) for _ in range(60))):
+        whole = langid.grams(text)
+        for size in (1, 2, 3, 7):
+            sliced = langid.grams(text, size)
+            assert sliced[0].tolist() == whole[0].tolist() and sliced[1].tolist() == whole[1].tolist(), (text, size)
+
+
+def test_toxicity_of_slices():
+    rng = random.Random(13)
+    texts = [None, "", "!!", *(" ".join("".join(rng.choice("abcdé1Σ'") for _ in range(rng.randrange(1, 9))) for _ in range(rng.randrange(1, 80))) for _ in range(20))]
+    model = toxicity.Model(np.random.default_rng(1).standard_normal(toxicity.BUCKETS), -0.2)
+    whole, bags = model.scores(texts), toxicity.bags(texts)
+    for size in (1, 5, 40):
+        assert np.allclose(model.scores(texts, size), whole, atol=1e-12)
+        for (b, w), (own, weight) in zip(bags, toxicity.bags(texts, size), strict=True):
+            assert b.tolist() == own.tolist() and np.allclose(w, weight, atol=1e-6)
+
+
+def test_long_texts_need_slices_only():
+    import tracemalloc
+
+    text = " ".join(f"word{k % 5000} andre{k % 77}" for k in range(400_000))
+    model = toxicity.Model(np.zeros(toxicity.BUCKETS), 0.0)
+    for read in (langid.grams, lambda t: model.scores([t]), lambda t: toxicity.bags([t])):
+        tracemalloc.start()
+        read(text)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 20 * len(text), peak  # some 6 MB of text; whole-text arrays took 75 to 120 bytes for each
+
+
 def test_out_of_place_distance():
     rng = random.Random(11)
     texts = ["".join(rng.choice("abcde ") for _ in range(80)) for _ in range(6)]

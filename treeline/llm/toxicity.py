@@ -34,6 +34,9 @@ STEPS, VALIDATE = 600, 7
 #: of a few by three-fold cross-validation over the rows of sf0.1 that may be learned from.
 DECAY, LEAST_DOCS = 1.0, 20
 
+#: Characters of a text that are read at once; a slice ends between words.
+SLICE = 250_000
+
 _WORD_CHAR = np.full(0x110000, 2, np.uint8)  # 2: not looked up yet
 _U = np.uint64
 
@@ -47,6 +50,21 @@ def _word_chars(codes: np.ndarray) -> np.ndarray:
     return kind == 1
 
 
+def slices(text: str, size: int = SLICE) -> Iterator[str]:
+    """A text in lower case, cut where no word is cut."""
+    low, a = text.lower(), 0
+    while a < len(low):
+        b = a + size
+        while b < len(low) and low[b].isalnum():
+            b += 1
+        yield low[a:b]
+        a = b
+
+
+def _long(text: str | None, size: int) -> bool:
+    return len(text or "") > size
+
+
 def subwords(texts: list[str | None], sizes: tuple[int, ...] = SIZES) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(bucket, word) of each n-gram, and (text, n-grams) of each word; words are runs of letters and digits, lower case."""
     codes = [np.frombuffer((t or "").lower().encode("utf-32-le", "replace"), np.uint32) for t in texts]
@@ -73,7 +91,7 @@ def subwords(texts: list[str | None], sizes: tuple[int, ...] = SIZES) -> tuple[n
     for n in sizes:
         for k in range(done, n):
             step = np.zeros(len(marked), np.uint64)
-            step[: len(marked) - k] = marked[k:]
+            step[: max(len(marked) - k, 0)] = marked[k:]
             h = h * _U(0x100000001B3) + step + _U(1)
         done = n
         at = np.flatnonzero(place + n <= size[word])
@@ -89,16 +107,26 @@ def subwords(texts: list[str | None], sizes: tuple[int, ...] = SIZES) -> tuple[n
     return bucket, owner, text, np.bincount(owner, minlength=n_words)
 
 
-def bags(texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each text its different buckets and their weights, which sum to 1 (no words: empty)."""
-    bucket, owner, text, grams = subwords(texts)
+def bags(texts: list[str | None], size: int = SLICE) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each text its different buckets and their weights, which sum to 1 (no words: empty). Long texts are read in slices."""
+    bucket, owner, text, grams = subwords([None if _long(t, size) else t for t in texts])
     words = np.bincount(text, minlength=len(texts))
     of = text[owner]
     weight = 1.0 / grams[owner] / words[of]
     key, at = np.unique(of.astype(np.int64) * BUCKETS + bucket, return_inverse=True)
     total = np.bincount(at, weight, len(key)).astype(np.float32)
     edges = np.searchsorted(key, np.arange(len(texts) + 1) * BUCKETS)
-    return [((key[a:b] % BUCKETS).astype(np.int32), total[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+    found = [((key[a:b] % BUCKETS).astype(np.int32), total[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+    for k, t in enumerate(texts):
+        if _long(t, size):
+            sums, n = np.zeros(BUCKETS), 0
+            for part in slices(t, size):
+                bucket, owner, text, grams = subwords([part])
+                sums += np.bincount(bucket, 1.0 / grams[owner], BUCKETS)
+                n += len(text)
+            at = np.flatnonzero(sums)
+            found[k] = (at.astype(np.int32), (sums[at] / max(n, 1)).astype(np.float32))
+    return found
 
 
 class Model:
@@ -107,12 +135,22 @@ class Model:
     def __init__(self, buckets: np.ndarray, bias: float):
         self.buckets, self.bias = buckets.astype(np.float32), float(bias)
 
-    def scores(self, texts: list[str | None]) -> np.ndarray:
+    def _sums(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Of each text the sum of its words' means, and its words."""
         bucket, owner, text, grams = subwords(texts)
-        n = len(texts)
         word = np.bincount(owner, self.buckets[bucket], len(text)) / np.maximum(grams, 1)
-        words = np.bincount(text, minlength=n)
-        mean = np.bincount(text, word, n) / np.maximum(words, 1)
+        return np.bincount(text, word, len(texts)).astype(np.float64), np.bincount(text, minlength=len(texts))
+
+    def scores(self, texts: list[str | None], size: int = SLICE) -> np.ndarray:
+        """Texts longer than ``size`` are read in slices, whose sums add up."""
+        total, words = self._sums([None if _long(t, size) else t for t in texts])
+        for k, t in enumerate(texts):
+            if _long(t, size):
+                for part in slices(t, size):
+                    more, n = self._sums([part])
+                    total[k] += more[0]
+                    words[k] += n[0]
+        mean = total / np.maximum(words, 1)
         return 1.0 / (1.0 + np.exp(-np.clip(GAIN * mean + self.bias, -60, 60)))
 
 
