@@ -148,3 +148,44 @@ def test_codons_belong_to_the_region_of_their_middle(spark):
     cut, trees, where = X.by_region(s, spark.createDataFrame([("d", 1, 4, "p"), ("d", 5, 5, "q"), ("d", 6, 6, "none"), ("d", 7, 12, "r")], "dataset string, start int, end int, newick string"))
     assert {r.dataset: r.sequence for r in cut.collect()} == {"d#1": "AAA", "d#2": "CCC", "d#3": "GGGTTT"} and trees.count() == 3
     assert {r.dataset: r["first"] for r in where.collect()} == {"d#1": 0, "d#2": 1, "d#3": 2}
+
+
+def test_blocks_of_a_triplet_are_its_whole_chain(spark):
+    rng = np.random.default_rng(4)
+    n = 260
+    site, state = np.cumsum(rng.integers(1, 5, n)), (np.arange(n) // 37 + (rng.random(n) < 0.2)) % 3
+    rows = [(0, 1, c, int(s), int(x), k + 1) for c in (2, 3) for k, (s, x) in enumerate(zip(site, state, strict=True))]
+    scan = rolling_scan(spark.createDataFrame(rows, "a int, b int, c int, site int, state int, event int"), 10)
+    sites = int(site[-1]) + 3
+    found = scan.filter("c = 2 AND peak AND g >= 4").orderBy("event").toPandas()
+    at = found["event"].to_numpy() - 1
+    want, _ = hmm.triplet_switches(site, state, len(at) * 2.0 ** np.linspace(-3, 3, 9), sites, 0.7)
+    assert len(at) > 3
+    stay = hmm.switch_stays(np.concatenate([[np.inf], np.diff(site)]), len(at) * 2.0 ** np.linspace(-3, 3, 9), sites)
+    e = hmm.switch_emissions(state, 0.7)
+    _, share = hmm.triplet_switches(site, state, len(at) * 2.0 ** np.linspace(-3, 3, 9), sites, 0.7)
+    got = hmm.switch_block(stay, e, np.full((9, 3), 1 / 3), np.full((9, 3), 1 / 3)) @ share
+    assert np.allclose(got[1:], want)
+    order = ["c", "event"]
+    whole, parts = (Z.refine(scan, sites, 10, block=b).toPandas().sort_values(order, ignore_index=True) for b in (4096, 16))
+    assert len(whole) == 2 * len(at) and np.allclose(whole.to_numpy(float), parts.to_numpy(float))
+
+
+def test_spaced_points_by_blocks_are_the_heaviest_set(spark):
+    rng = np.random.default_rng(7)
+    at, w = np.sort(rng.choice(900, 220, replace=False)), rng.integers(-3, 9, 220)
+    rows = spark.createDataFrame([(int(a), int(x)) for a, x in zip(at, w, strict=True)] + [(5000, 1)], "breakpoint int, weight long")
+    want = sorted(at[hmm.weighted_intervals(at, at, w.astype(float), 15, 61)].tolist()) + [5000]
+    assert sorted(r.breakpoint for r in Z.spaced(rows, 15, 16).collect()) == want
+    # memory of one number for each place, not for each place and member: a whole alignment of 200,000 sites
+    many = spark.range(200_000).selectExpr("int(id) AS breakpoint", "1L AS weight")
+    assert Z.spaced(many, 15).count() == 13_334
+
+
+def test_cuts_of_many_candidates_are_those_of_the_kernel(spark):
+    rng = np.random.default_rng(9)
+    rows = [(d, int(x), float(round(s, 3))) for d in ("p", "q") for x, s in zip(rng.choice(4000, 300, replace=False), rng.random(300), strict=True)] + [("r", 50, 1.0), ("r", 20, 2.0)]
+    got = Z.cuts(spark.createDataFrame(rows, "dataset string, breakpoint int, score double"), 4000, 12, 30).toPandas()
+    for d in "pqr":
+        at, s = (np.array([r[k] for r in rows if r[0] == d]) for k in (1, 2))
+        assert got[got["dataset"] == d].sort_values("rank")["breakpoint"].tolist() == at[hmm.spread_cuts(at, s, 4000, 12, 30)].tolist()
