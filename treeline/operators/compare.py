@@ -65,9 +65,9 @@ def pair_join(rows: DataFrame) -> DataFrame:
 
 
 def pearson(x: str, y: str) -> Column:
-    """Aggregate: null for fewer than two pairs or no variance."""
+    """Aggregate: null for fewer than two pairs or no variance. Merged variances of equal values can be above 0, so the values' range is asked."""
     n, vx, vy = F.count(F.lit(1)), F.var_pop(x), F.var_pop(y)
-    ok = (n >= 2) & (vx > 0) & (vy > 0)
+    ok = (n >= 2) & (vx > 0) & (vy > 0) & (F.min(x) < F.max(x)) & (F.min(y) < F.max(y))
     return F.when(ok, F.try_divide(F.covar_pop(x, y), F.sqrt(vx * vy)))
 
 
