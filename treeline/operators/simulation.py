@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -109,9 +110,14 @@ def carrier_tree(tree: str, carriers: Column) -> Column:
 
 @pandas_udf(T.DoubleType())
 def _gamma_at(p: pd.Series, mean: pd.Series, shape: pd.Series) -> pd.Series:
-    from ..kernels.inference import gamma_quantile
-
-    return pd.Series([None if pd.isna(q) or pd.isna(m) else gamma_quantile(float(q), 1.0 if pd.isna(s) else float(s), float(m)) for q, m, s in zip(p, mean, shape, strict=True)], dtype="float64")
+    from ..kernels.inference import gamma_quantiles
+
+    q, m, k = p.to_numpy(float), mean.to_numpy(float), shape.fillna(1.0).to_numpy(float)
+    out = np.full(len(q), np.nan)
+    for one in np.unique(k):
+        at = np.flatnonzero((k == one) & ~np.isnan(q) & ~np.isnan(m))
+        out[at] = gamma_quantiles(q[at], float(one)) * m[at] / one
+    return pd.Series([None if v else x for x, v in zip(out, np.isnan(out), strict=True)], dtype="float64")
 
 
 def drawn(marginal: Column, *key: Column) -> Column:
