@@ -4,8 +4,8 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from treeline.functions.scalars import combination_rank
-from treeline.kernels import inference
-from treeline.operators import compare, triplets
+from treeline.kernels import align, inference
+from treeline.operators import analyses, compare, triplets
 from treeline.plans import registry
 
 
@@ -39,3 +39,23 @@ def test_residues_of_more_than_four_digits(spark, sf_dir, tmp_path):
             keys = sorted(k for s, k, _ in rows if s == path)
             mine = got[got["path"] == path]
             assert mine["number"].tolist() == [k + 1 for k in keys] and mine["ordinal"].tolist() == list(range(len(keys)))
+
+
+def test_local_alignment_in_rows_is_that_of_the_matrix():
+    rng = np.random.default_rng(3)
+    for t in range(60):
+        n, m = (int(x) for x in rng.integers(1, 45, 2))
+        s = rng.integers(-4, 7, (n, m)).astype(float) if t % 2 else rng.normal(0.2, 3, (n, m))
+        gaps = [(-10, -0.5), (-3, -0.5), (-2, -1)][t % 3]
+        score, pairs = align.align(s, *gaps, local=True)
+        got, extent = align.local_extent(n, s.__getitem__, m, *gaps)
+        assert abs(got - score) < 1e-9 and extent == len(pairs)
+
+
+def test_profiles_of_more_cells_than_a_matrix_holds(spark):
+    n = 10_050  # align refuses 100 million cells
+    letters = "ARND" * (n // 4 + 1)
+    profile = spark.range(n).select(F.lit("p").alias("profile"), F.col("id").alias("codon_site"), F.element_at(F.array(*[F.lit(c) for c in "ARND"]), (F.col("id") % 4 + 1).cast("int")).alias("aa"), F.lit(1.0).alias("frequency"))
+    chains = spark.createDataFrame([("c", letters[:n])], "chain string, residues string")
+    got = analyses.align_profiles(profile, chains).first()
+    assert got["pairs"] == n and got["score"] == sum(map((4.0, 5.0, 6.0, 6.0).__getitem__, (k % 4 for k in range(n))))

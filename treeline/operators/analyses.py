@@ -494,24 +494,29 @@ def simulate_datasets(spark: SparkSession, replicates: int, seed: int = 1, **opt
 
 
 def align_profiles(profiles: DataFrame, chains: DataFrame) -> DataFrame:
-    """chain, score, pairs of every chain against every profile: local affine alignments; both sides are small reference sets."""
-    aa = align_kernel.AMINO
+    """chain, score, pairs of every chain against every profile: local affine alignments.
+
+    All cells of a pair are computed, a row at a time, so a task holds some rows of one pair; the time is the product of the lengths.
+    """
+    aa = {c: k for k, c in enumerate(align_kernel.AMINO)}
     rows = profiles.groupBy("profile").agg(F.array_sort(F.collect_list(F.struct("codon_site", "aa", "frequency"))).alias("cells")).crossJoin(chains)
 
     def run(batches):
         for batch in batches:
             out = []
-            for profile, cells, chain, residues in zip(batch["profile"], batch["cells"], batch["chain"], batch["residues"], strict=True):
-                sites = sorted({c["codon_site"] for c in cells})
-                m = np.zeros((len(sites), 20))
-                for c in cells:
-                    if c["aa"] in aa:
-                        m[sites.index(c["codon_site"]), aa.index(c["aa"])] = c["frequency"]
-                score, pairs = align_kernel.align(align_kernel.profile_scores(m, residues), local=True)
-                out.append((profile, chain, score, len(pairs)))
+            for profile, cells, chain, residues in zip(batch["profile"], zip(batch["sites"], batch["letters"], batch["shares"], strict=True), batch["chain"], batch["residues"], strict=True):
+                at, place = np.unique(cells[0], return_inverse=True)
+                m, known = np.zeros((len(at), 20)), np.array([aa.get(c, -1) for c in cells[1]])
+                m[place[known >= 0], known[known >= 0]] = np.asarray(cells[2], float)[known >= 0]
+                letters, column = np.unique(np.array(list(residues)), return_inverse=True)
+                s = align_kernel.profile_scores(m, "".join(letters)) if len(letters) else np.zeros((len(m), 0))
+                score, extent = align_kernel.local_extent(len(m), lambda i: s[i, column], len(residues))  # noqa: B023
+                out.append((profile, chain, score, extent))
             yield pd.DataFrame(out, columns=["profile", "chain", "score", "pairs"])
 
-    return rows.select("profile", "cells", "chain", "residues").mapInPandas(run, "profile string, chain string, score double, pairs long")
+    arrays = [F.col(f"cells.{c}").alias(n) for c, n in (("codon_site", "sites"), ("aa", "letters"), ("frequency", "shares"))]
+    dealt = rows.select("profile", *arrays, "chain", "residues").repartition(max(1, chains.sparkSession.sparkContext.defaultParallelism), "profile", "chain")
+    return dealt.mapInPandas(run, "profile string, chain string, score double, pairs long")
 
 
 def prune_to_taxa(root: Node, keep: set[str]) -> Node | None:
