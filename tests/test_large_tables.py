@@ -4,9 +4,12 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from treeline.functions.scalars import combination_rank
-from treeline.kernels import align, inference
+from treeline.kernels import align, codon, inference
 from treeline.operators import analyses, compare, triplets
 from treeline.plans import registry
+from treeline.sources.parsers import parse_newick
+
+codon_init = codon.Operators.__init__
 
 
 def test_equal_values_of_many_partitions_have_no_correlation(spark):
@@ -59,3 +62,23 @@ def test_profiles_of_more_cells_than_a_matrix_holds(spark):
     chains = spark.createDataFrame([("c", letters[:n])], "chain string, residues string")
     got = analyses.align_profiles(profile, chains).first()
     assert got["pairs"] == n and got["score"] == sum(map((4.0, 5.0, 6.0, 6.0).__getitem__, (k % 4 for k in range(n))))
+
+
+def test_likelihood_ratios_of_many_sites_are_those_of_one():
+    rng = np.random.default_rng(1)
+    x, rates = np.arange(6), np.array([0.0, 0.2, 0.5, 1.0, 3.0, 9.0])
+    top, width = rng.uniform(-1, 7, (40, 2)), rng.uniform(0.01, 2, (40, 2))
+    surfaces = np.array([-w[0] * (x[:, None] - t[0]) ** 2 - w[1] * (x[None, :] - t[1]) ** 2 for t, w in zip(top, width, strict=True)]) + rng.normal(0, 0.05, (40, 6, 6))
+    got = inference.approximate_fels(surfaces, rates, rates)
+    for k, one in enumerate(inference.approximate_fel(z, rates, rates) for z in surfaces):
+        assert all(np.isclose(got[c][k], one[c], rtol=1e-12, atol=1e-12) for c in one)
+
+
+def test_blocks_of_patterns_share_their_eigensystems(monkeypatch):
+    made = []
+    monkeypatch.setattr(codon, "Operators", type("Counted", (codon.Operators,), {"__init__": lambda self, *x: (made.append(1), codon_init(self, *x))[1]}))
+    tree, model = codon.Tree(parse_newick("((t0:0.1,t1:0.2):0.1,t2:0.3);")), codon.CodonModel(np.ones(6), np.full((3, 4), 0.25))
+    a = b = np.array([0.5, 1.0, 2.0])
+    states, banks = np.random.default_rng(2).integers(-1, 61, (3, 20)), {}
+    parts = [codon.grid_likelihood(tree, model, states[:, lo : lo + 5], a, b, 2, banks) for lo in range(0, 20, 5)]
+    assert len(made) == 2 and np.allclose(np.concatenate(parts, 1), codon.grid_likelihood(tree, model, states, a, b, 2))
