@@ -38,3 +38,12 @@ def test_refined_signals_by_blocks_of_sites(aln):
     order = ["a", "b", "c", "event"]
     want, got = (x.toPandas().sort_values(order, ignore_index=True) for x in (Z.refine(rolling_scan(triplet_events(aln), 10), 699, 10, 2.0), Z.refine_alignment(aln, 699, 10, 2.0, block=64)))
     assert len(want) and want.columns.tolist() == got.columns.tolist() and np.allclose(want.to_numpy(float), got.to_numpy(float))
+
+
+def test_blocks_are_dealt_to_tasks(spark, aln):
+    """Rows that hold blocks of events are few and small to Spark, but not to a task."""
+    from treeline.operators.chains import spread
+
+    rows = spark.range(2000).coalesce(1)
+    assert spread(rows, 2000, 50).rdd.getNumPartitions() == 40 and spread(rows, 3).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert T.scanned(T.event_blocks(aln, 64), 5, lambda row, base, g, peak: None, "a int").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
