@@ -40,3 +40,16 @@ def test_the_largest_cell_stays(spark):
     rows = spark.createDataFrame([(1, [0.4, 0.6]), (2, [0.999, 0.001])], "site int, l array<double>")
     got = {r["site"]: r["l"] for r in sampling.sparse(rows, 0.7).collect()}
     assert got == {1: [0.0, 0.6], 2: [0.999, 0.0]}
+
+
+def test_a_collapsed_chain_does_not_keep_where_it_began(spark):
+    """Sites that fit most categories: counts that grow from nothing hold the first draws for many sweeps."""
+    rng = np.random.default_rng(8)
+    like = np.where(rng.random((4000, 25)) < 0.7, rng.uniform(0.6, 1, (4000, 25)), 1e-4)
+    like /= like.sum(1, keepdims=True)
+    rows = spark.createDataFrame([(k, [float(x) for x in row]) for k, row in enumerate(like)], "site int, l array<double>").coalesce(1).cache()
+    theta = np.full(25, 1 / 25)
+    for _ in range(400):
+        w = like * theta
+        theta = ((w / w.sum(1, keepdims=True)).sum(0) + 0.5) / (4000 + 12.5)
+    assert np.abs(sampling.gibbs_collapsed(rows, 20, 8) - theta).max() < 0.03
