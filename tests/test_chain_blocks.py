@@ -24,6 +24,20 @@ def wide(spark, emissions):
     return spark.createDataFrame(rows, "chain long, site long, v array<double>").repartition(3)
 
 
+def test_f18_paths_of_many_short_chains(spark):
+    """Chains of 1 to 40 sites with ties and impossible states, a row to a site; the rows are read once."""
+    rng = np.random.default_rng(18)
+    emissions = {c: rng.integers(-3, 1, (int(rng.integers(1, 41)), 4)).astype(float) for c in range(60)}
+    emissions[7][0, :3] = -np.inf
+    model = chains.switch_model(4, 2)
+    rows, seen = counted(wide(spark, emissions))
+    got = chains.Chains(rows, ["chain"], {0: model}, values="v", block=8, fan=2).paths().toPandas()
+    assert seen.value == sum(map(len, emissions.values()))
+    for c, e in emissions.items():
+        own = got[got.chain == c].sort_values("site")
+        assert own.site.tolist() == list(range(3, 3 + len(e))) and own.state.tolist() == hmm.decode(e, *model)["path"].tolist()
+
+
 def test_f19_prices_by_blocks_are_those_by_rows(spark):
     """Blocks of one, some and all sites; the values of a site are codes from which costs are made."""
     rng = np.random.default_rng(19)
