@@ -38,6 +38,18 @@ def test_f18_paths_of_many_short_chains(spark):
         assert own.site.tolist() == list(range(3, 3 + len(e))) and own.state.tolist() == hmm.decode(e, *model)["path"].tolist()
 
 
+def test_f27_weights_read_the_rows_once(spark):
+    """All rates and steps share the blocks of one reading."""
+    e = np.random.default_rng(27).normal(size=(70, 3)) * 2
+    rows = spark.createDataFrame([(t + 5, s, float(e[t, s])) for t in range(70) for s in range(3)], "site long, state int, value double")
+    rows, seen = counted(rows)
+    w, totals, _ = chains.fit_resets(rows, 3, [2.0, 9.0], steps=2, block=16, fan=4)
+    assert seen.value == 210
+    for r, x in enumerate((2.0, 9.0)):
+        want, fit = hmm.fit_reset(e, x / 70, steps=2)
+        assert np.allclose(w[r], want) and np.isclose(totals[r], fit["logl"])
+
+
 def test_f19_prices_by_blocks_are_those_by_rows(spark):
     """Blocks of one, some and all sites; the values of a site are codes from which costs are made."""
     rng = np.random.default_rng(19)
