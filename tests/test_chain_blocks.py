@@ -69,3 +69,30 @@ def test_f19_prices_by_blocks_are_those_by_rows(spark):
         scores = spark.createDataFrame([(c, t + 7, float(x)) for t, v in enumerate(costs(codes)) for c, x in enumerate(v)], "candidate int, site long, score double")
         want = {r["candidate"]: -r["gain"] for r in path_search.interval_prices(margins, scores, dict(enumerate(moved.tolist())), {0: 0.0, 1: 0.0}, 0.0, 4.0, 1.0).collect()}
         assert got == want
+
+
+def test_f25_trees_of_partitions_from_one_reading(spark, sf_dir):
+    """Trees and frequencies from patterns are those of each partition's own sites; the query reads its lines once."""
+    from treeline.operators import alignment as A
+    from treeline.operators import site_models as X
+    from treeline.plans import site_model_queries as Q
+
+    rng = np.random.default_rng(25)
+    cells = [(t, s, None if rng.random() < 0.2 else int(rng.integers(0, 4) if rng.random() < 0.5 else s % 4)) for t in range(5) for s in range(1, 301) if rng.random() > 0.1]
+    aln, seen = counted(spark.createDataFrame(cells, "taxon int, site int, base int"))
+    where = spark.createDataFrame([(s, 2 * (s % 3)) for s in range(1, 281)], "site int, partition int")
+    sites = X.kept(A.patterns(aln, 5)[0])
+    weighted = X.kept(X.partition_patterns(sites.join(where, "site")))
+    trees, pi = X.joined_trees(weighted, 5), X.pattern_frequencies(sites)
+    assert seen.value == len(cells)
+    assert trees == {p: X.joined_tree(aln.join(where.filter(F.col("partition") == p).select("site"), "site"), 5) for p in (0, 2, 4)}
+    want = {r["base"]: r["frequency"] for r in A.base_frequencies(aln).collect()}
+    assert np.allclose(pi, [want[b] for b in range(4)])
+    lines, seen = counted(Q.relation(spark, sf_dir, "aln"))
+    other, Q.relation = Q.relation, lambda s, d, name: lines if name == "aln" else other(s, d, name)
+    try:
+        linked, _ = Q._linked(spark, sf_dir)
+        linked.evaluate(np.full(linked.n, 0.5))
+    finally:
+        Q.relation = other
+    assert seen.value == lines.count() > 0
