@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import combination_rank
-
 #: Fixed values of the pair hash.
 _FIRST, _SECOND = 0x9E3779B1, 0x85EBCA77
+#: Pairs that are looked at together, and blocks of them that a task has at most.
+_BLOCK, _BLOCKS = 1 << 16, 512
 
 
 def third_of_pair(a: Column, b: Column, taxa: int) -> Column:
@@ -19,6 +23,59 @@ def third_of_pair(a: Column, b: Column, taxa: int) -> Column:
     return F.when(third >= b, third + 1).otherwise(third)
 
 
+def _thirds(a: np.ndarray, b: np.ndarray, taxa: int) -> np.ndarray:
+    """``third_of_pair`` of arrays."""
+    word = lambda x, m: ((x + 1) & 0xFFFFFFFF).astype(np.uint32) * np.uint32(m)
+    third = (word(a, _FIRST) ^ word(b, _SECOND)).astype(np.int64) % (taxa - 2)
+    third += third >= a
+    third += third >= b
+    return third
+
+
+def pair_cover(spark: SparkSession, taxa: int) -> DataFrame:
+    """rank, a, b, c of the triplets that pairs name, each once and without a shuffle: the first of a triplet's pairs that names it gives the row.
+
+    Pairs are numbered row by row, a long row of the triangle with a short one, so all blocks of numbers have as much work.
+    """
+    rows = taxa // 2  # row p and row taxa - 2 - p have taxa pairs together
+    blocks = -(-rows * taxa // _BLOCK)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        three = lambda m: m * (m - 1) * (m - 2) // 6
+        for batch in batches:
+            for block in batch.column("id").to_pylist():
+                row, slot = np.divmod(np.arange(block * _BLOCK, min((block + 1) * _BLOCK, rows * taxa)), taxa)
+                short = slot - (taxa - 1 - row)  # from 0 on in the short row
+                own = (short < 0) | (row != taxa - 2 - row)
+                p = np.where(short < 0, row, taxa - 2 - row)[own]
+                q = p + 1 + np.where(short < 0, slot, short)[own]
+                r = _thirds(p, q, taxa)
+                a, c = np.minimum(p, r), np.maximum(q, r)
+                b = p + q + r - a - c
+                # the pairs of a triplet in order: a, b; a, c; b, c
+                later = np.flatnonzero(r < q)
+                other = _thirds(a[later], b[later], taxa) == c[later]
+                other |= (r[later] < p[later]) & (_thirds(a[later], c[later], taxa) == b[later])
+                first = np.ones(len(p), bool)
+                first[later[other]] = False
+                a, b, c = a[first], b[first], c[first]
+                rank = three(taxa) - three(taxa - a) + (taxa - a - 1) * (taxa - a - 2) // 2 - (taxa - b) * (taxa - b - 1) // 2 + c - b - 1
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (rank, a, b, c)], ["rank", "a", "b", "c"])
+
+    tasks = max(spark.sparkContext.defaultParallelism, -(-blocks // _BLOCKS))
+    return spark.range(0, blocks, 1, tasks).mapInArrow(run, "rank long, a long, b long, c long")
+
+
+def pairs_held(three: DataFrame, taxa: int) -> DataFrame:
+    """p, q: the different pairs of the triplets a, b, c of a plan of ``taxa``.
+
+    A plan has the triplet that a pair names, so there alone the pair is taken from, and nothing is shuffled.
+    """
+    sides = F.array(*[F.struct(F.col(x).alias("p"), F.col(y).alias("q"), F.col(z).alias("r")) for x, y, z in (("a", "b", "c"), ("a", "c", "b"), ("b", "c", "a"))])
+    each = three.select(F.explode(sides).alias("s")).select("s.*")
+    return each.filter(third_of_pair(F.col("p"), F.col("q"), taxa) == F.col("r")).select("p", "q")
+
+
 def leading(rows: DataFrame, order: str, n: Column, most: int, width: int = 4096) -> DataFrame:
     """The first n rows by a whole number from 0 to ``most``: counts of bins first, so only the rows of one bin are ordered in a task."""
     binned = rows.withColumn("_bin", F.floor(F.col(order) / width))
@@ -62,10 +119,9 @@ def plan(spark: SparkSession, taxa: int, most: int = 250_000) -> DataFrame:
     most = max(1, min(total, most))
     if total <= most:
         return unranked(spark.range(total).select(F.col("id").alias("rank")), taxa)
-    first = spark.range(taxa - 1).select(F.col("id").alias("p"))
-    pairs = first.select("p", F.explode(F.sequence(F.col("p") + 1, F.lit(taxa - 1))).alias("q"))
-    three = F.array_sort(F.array("p", "q", third_of_pair(F.col("p"), F.col("q"), taxa)))
-    cover = pairs.select(three.alias("t")).select(combination_rank(F.col("t")[0], F.col("t")[1], F.col("t")[2], F.lit(taxa)).alias("rank")).distinct()
+    if taxa * (taxa - 1) // 2 >= 3 * most:  # a triplet holds three pairs, so the cover fills the budget
+        return pair_cover(spark, taxa)
+    cover = pair_cover(spark, taxa).select("rank")
     size = cover.agg(F.count(F.lit(1)).alias("size"))
     target = F.least(F.lit(total), F.greatest(F.lit(most), F.col("size")))
     bound = max(most, taxa * (taxa - 1) // 2)
